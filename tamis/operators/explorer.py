@@ -10,6 +10,7 @@ from tamis.dataset import Dataset
 from tamis.functions.pii import redact
 from tamis.issues import ISSUE_TYPES, category_position
 from tamis.operators.numbering import record_positions
+from tamis.operators.skew import attach_by_key
 
 
 def search(dataset: Dataset, query: str) -> Dataset:
@@ -92,31 +93,41 @@ def record_categories(issues: DataFrame) -> DataFrame:
     )
 
 
+ISSUES_PER_ROW = 10_000
+
+
 def annotate(dataset: Dataset, issues: DataFrame) -> DataFrame:
     """Every record with its position, its issues in order, and redacted fields.
 
-    ``issues`` is empty for a clean record. A record in very many near-duplicate
-    pairs has a long list; it is the only unbounded value and is part of the
-    result. Redacted columns are null unless the record has personal data.
+    ``issues`` is empty for a clean record and ``redacted`` is null unless the
+    record has personal data. A record with more than ``ISSUES_PER_ROW`` issues
+    (one near-duplicate of very many others) is spread over several rows,
+    numbered by ``part``, so that no row or task has to hold them all.
     """
+    located = issues.filter("loc is not null and rec_ord is not null")
+    heavy = located.groupBy("rec_ord").agg(F.count(F.lit(1)).alias("n_issues")).filter(
+        F.col("n_issues") > ISSUES_PER_ROW
+    )
+    spread = attach_by_key(located, heavy, "rec_ord", "n_issues", "issue_ord")
+    parts = F.coalesce(F.ceil(F.col("n_issues") / ISSUES_PER_ROW), F.lit(1))
+    part = F.pmod(F.xxhash64("issue_ord"), parts).cast("int")
     ordered = ["issue_ord", *[n for n in ISSUE_TYPES if n not in ("issue_ord", "rec_ord")]]
     nested = (
-        issues.filter("loc is not null and rec_ord is not null")
-        .groupBy("rec_ord")
+        spread.groupBy("rec_ord", part.alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("issues"))
+        .withColumn("has_pii", F.exists("issues", lambda i: i["category"] == "pii"))
     )
     positions = record_positions(dataset.df.select("rec_ord"))
-    joined = dataset.df.join(positions, "rec_ord").join(nested, "rec_ord", "left")
+    found = dataset.df.join(positions, "rec_ord").join(nested, "rec_ord", "left")
     none = F.array().cast(nested.schema["issues"].dataType)
-    found = joined.withColumn("issues", F.coalesce("issues", none))
-    has_pii = F.exists("issues", lambda i: i["category"] == "pii")
     return found.select(
         F.col("rec_idx").alias("index"),
         "rec_ord",
+        F.coalesce("part", F.lit(0)).alias("part"),
         "loc",
         *dataset.content.columns,
-        F.when(has_pii, dataset.content.redacted_struct(redact)).alias("redacted"),
-        "issues",
+        F.when(F.col("has_pii"), dataset.content.redacted_struct(redact)).alias("redacted"),
+        F.coalesce("issues", none).alias("issues"),
     )
 
 
