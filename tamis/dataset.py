@@ -29,7 +29,8 @@ _STRINGS = (T.StringType, T.CharType, T.VarcharType)
 # JSON text in ``json`` (key order kept), the text it contributes in ``parts``,
 # and in ``canon`` the JSON text with sorted keys where that differs from ``json``.
 FIELD_DDL = (
-    "struct<name:string,type:string,str:string,json:string,canon:string,parts:array<string>>"
+    "struct<name:string,type:string,str:string,json:string,canon:string,finite:boolean,"
+    "parts:array<string>>"
 )
 
 
@@ -50,6 +51,17 @@ def type_tag(dtype: T.DataType) -> str:
     return "object"
 
 
+def _widened(dtype: T.DataType) -> T.DataType:
+    """The type with every FLOAT inside it replaced by DOUBLE."""
+    if isinstance(dtype, T.FloatType):
+        return T.DoubleType()
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_widened(dtype.elementType), dtype.containsNull)
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _widened(f.dataType)) for f in dtype.fields])
+    return dtype
+
+
 def _text_parts(value: Column, dtype: T.DataType) -> Column | None:
     """The text a value contributes (string or string array), None for no text."""
     if isinstance(dtype, _STRINGS):
@@ -118,6 +130,14 @@ class TypedContent:
         parts = [p for p in (_text_parts(c, t) for c, t in self._typed()) if p is not None]
         return F.concat_ws(" ", *parts) if parts else F.lit("")
 
+    def parts_array(self, name: str) -> Column:
+        """The text one field contributes, as an array."""
+        dtype = self.schema[name].dataType
+        parts = _text_parts(F.col(f"`{name}`"), dtype)
+        if parts is None:
+            return F.array().cast("array<string>")
+        return parts if isinstance(dtype, (T.ArrayType, T.StructType)) else F.array(parts)
+
     def string_text(self) -> Column:
         """Text of the top-level string fields only."""
         strings = [c for c, t in self._typed() if isinstance(t, _STRINGS)]
@@ -209,7 +229,9 @@ class TypedContent:
         )
 
     def fields_json(self) -> Column:
-        return F.to_json(F.struct(*self.columns), {"ignoreNullFields": "false"})
+        """The record as a JSON object; single precision floats are widened."""
+        values = [c.cast(_widened(t)).alias(n) for n, (c, t) in zip(self.names, self._typed())]
+        return F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
 
 
 @dataclass(frozen=True)
@@ -237,10 +259,9 @@ class TaggedContent:
             "fields",
             lambda f: F.struct(
                 f["name"].alias("name"),
-                F.coalesce(
-                    F.concat(F.lit("s"), _net(f["str"])),
-                    F.concat(F.lit("j"), _net(F.coalesce(f["canon"], f["json"]))),
-                ).alias("value"),
+                F.when(f["type"] == "string", F.concat(F.lit("s"), _net(f["str"])))
+                .otherwise(F.concat(F.lit("j"), _net(F.coalesce(f["canon"], f["json"]))))
+                .alias("value"),
             ),
         )
         flat = F.transform(F.array_sort(parts), lambda p: F.concat(_net(p["name"]), p["value"]))
