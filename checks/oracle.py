@@ -346,4 +346,24 @@ ORACLE_SQL = {
         FROM documents LEFT JOIN n ON rec_ord = doc_id""",
     "record_numbers": """SELECT o_orderkey * 100003 AS rec_ord,
         row_number() OVER (ORDER BY o_orderkey) - 1 AS rec_idx FROM orders WHERE o_orderstatus = 'F'""",
+    "exact_duplicate_customers": exact_issues("customer", "c_custkey", "c_mktsegment, c_nationkey"),
+    "near_duplicate_customers": near_issues(
+        "customer", "c_custkey", "c_mktsegment, c_nationkey",
+        "concat_ws(' ', c_mktsegment, c_nationkey)", 0.3,
+    ),
+    "json_roundtrip": "SELECT doc_id, text, lang FROM documents",
+    "jsonl_roundtrip": "SELECT doc_id, text, lang FROM documents",
+    "csv_roundtrip": "SELECT doc_id, text, lang FROM documents",
+    "parquet_roundtrip": "SELECT doc_id, text, lang FROM documents",
+    "jsonl_lines": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "csv_lines": """SELECT row_number() OVER (ORDER BY o_orderkey) + 1 AS line_number,
+        o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders""",
+    "parse_errors": """SELECT 'parse_error' AS category, 'Malformed JSON on line '
+        || row_number() OVER (ORDER BY c_custkey) || ': Expecting value: line 1 column 1 (char 0)'
+        AS detail, 1::BIGINT AS n FROM customer""",
+    "first_unrepresentable_value": """SELECT 0::BIGINT AS record_index, 'embedding' AS field_name,
+        count(*) AS n_records FROM embeddings""",
+    "export_field_names": """SELECT * FROM (VALUES (0, 'text', 'string'), (1, 'lang', 'string'),
+        (2, 'quality', 'integer,null'), (3, 'toxic', 'integer,null')) AS f(pos, name, types)""",
+    "round_trip_differences": "SELECT count(*) AS n_different FROM documents WHERE false",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.config import AnalysisConfig, QualityConfig, Schema
@@ -17,9 +17,15 @@ from tamis.operators.personal_data import detect_pii, redact_records
 from tamis.operators.quality import detect_quality
 from tamis.operators.similarity import similar_pairs
 from tamis.operators.toxicity import detect_toxicity, toxicity_score
+from tamis.operators.equivalence import differing_records
 from tamis.plans.analysis import Analysis, analyze
 from tamis.plans.report import build_report, issue_json, report_lines
+from tamis.sinks import exports
+from tamis.sinks.exports import export_records
+from tamis.sinks.files import name_parts, write_lines
+from tamis.sources.ingest import read_records
 from tamis.sources.tables import read_table
+from tamis.staging import new_folder
 
 EVENT_SCHEMA = Schema.of(
     ("event_id", "integer", True),
@@ -245,6 +251,21 @@ def near_duplicate_turns(spark, sf_dir):
     return flat(duplicates.near_duplicate_issues(turns(spark, sf_dir), 0.85))
 
 
+def customers(spark: SparkSession, sf_dir: str) -> Dataset:
+    return records_from_table(
+        table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey", "customer"
+    )
+
+
+def exact_duplicate_customers(spark, sf_dir):
+    return flat(duplicates.exact_duplicate_issues(customers(spark, sf_dir)))
+
+
+def near_duplicate_customers(spark, sf_dir):
+    """Pairs with one of two words in common, and every earlier copy of the partner."""
+    return flat(duplicates.near_duplicate_issues(customers(spark, sf_dir), 0.3))
+
+
 def similar_items(spark, sf_dir):
     ds = records_from_table(table(spark, sf_dir, "benchmark"), ["text"], "item_id", "benchmark")
     return similar_pairs(ds, 0.0)
@@ -389,6 +410,114 @@ def record_numbers(spark, sf_dir):
     return record_positions(orders.select((F.col("o_orderkey") * 100_003).alias("rec_ord")))
 
 
+# Sources and sinks, over exports of whole tables
+
+
+def _field(name: str) -> Column:
+    return F.filter("fields", lambda f: f["name"] == name)[0]
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, fmt: str) -> Dataset:
+    """Documents written in a format and read back."""
+    ds = records_from_table(
+        table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"], "doc_id", "documents"
+    )
+    folder = new_folder(spark, fmt)
+    export_records(ds, fmt, folder)
+    return read_records(spark, folder)
+
+
+def json_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "json").df.select(
+        _field("doc_id")["json"].cast("bigint").alias("doc_id"),
+        _field("text")["str"].alias("text"),
+        _field("lang")["str"].alias("lang"),
+    )
+
+
+def jsonl_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "jsonl").df.select(
+        _field("doc_id")["json"].cast("bigint").alias("doc_id"),
+        _field("text")["str"].alias("text"),
+        _field("lang")["str"].alias("lang"),
+    )
+
+
+def csv_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "csv").df.select(
+        _field("doc_id")["str"].cast("bigint").alias("doc_id"),
+        _field("text")["str"].alias("text"),
+        _field("lang")["str"].alias("lang"),
+    )
+
+
+def parquet_roundtrip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "parquet").df.select("doc_id", "text", "lang")
+
+
+def jsonl_lines(spark, sf_dir):
+    """JSON text of each event as one line of a JSONL file."""
+    lines = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("line"))
+    folder = new_folder(spark, "events")
+    write_lines(lines, ["event_id"], folder, "jsonl")
+    ds = read_records(spark, folder)
+    return record_positions(ds.df).select(
+        F.col("rec_idx").alias("event_id"), _field("k")["json"].cast("bigint").alias("k")
+    )
+
+
+def csv_lines(spark, sf_dir):
+    """Quote-free CSV, whose lines are split and numbered in parallel."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"
+    )
+    folder = new_folder(spark, "orders")
+    orders.orderBy(F.col("o_orderkey").cast("bigint")).coalesce(1).write.csv(folder, header=True)
+    name_parts(spark, folder, "csv")
+    return read_records(spark, folder).df.select(
+        F.col("loc.line_number").alias("line_number"),
+        *[_field(n)["str"].alias(n) for n in orders.columns],
+    )
+
+
+def parse_errors(spark, sf_dir):
+    """Plain text lines read as JSONL: one parse error per line that is not blank."""
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("line"))
+    folder = new_folder(spark, "names")
+    write_lines(lines, ["c_custkey"], folder, "jsonl")
+    return read_records(spark, folder).parse_issues.groupBy("category", "detail").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def first_unrepresentable_value(spark, sf_dir):
+    ds = records_from_table(
+        table(spark, sf_dir, "embeddings"), ["label", "embedding"], "vec_id", "embeddings"
+    )
+    index, name = exports.first_unrepresentable(ds, "csv")
+    counts = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n_records"))
+    return counts.select(
+        F.lit(index).cast("bigint").alias("record_index"),
+        F.lit(name).alias("field_name"),
+        "n_records",
+    )
+
+
+def export_field_names(spark, sf_dir):
+    ds = labelled(spark, sf_dir)
+    return exports.field_names(ds).select(
+        F.col("first.pos").alias("pos"), "name", F.array_join("types", ",").alias("types")
+    )
+
+
+def round_trip_differences(spark, sf_dir):
+    ds = records_from_table(
+        table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"], "doc_id", "documents"
+    )
+    different = differing_records(ds, _round_trip(spark, sf_dir, "jsonl"))
+    return different.agg(F.count(F.lit(1)).alias("n_different"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -401,6 +530,8 @@ QUERIES = {
         inferred_fields, issue_category_counts, quality_metrics, issue_records, report_totals,
         all_issues, report_markdown_lines, report_json_issues, explorer_search, explorer_clean,
         explorer_category, explorer_page, explorer_pages, explorer_preview, record_categories,
-        record_issue_nest, record_numbers,
+        record_issue_nest, record_numbers, exact_duplicate_customers, near_duplicate_customers,
+        json_roundtrip, jsonl_roundtrip, csv_roundtrip, parquet_roundtrip, jsonl_lines, csv_lines,
+        parse_errors, first_unrepresentable_value, export_field_names, round_trip_differences,
     )
 }

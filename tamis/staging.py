@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,14 +33,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it from there on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that every executor can reach.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where
-    that is unset, a local session takes a temporary folder and a cluster session
-    a folder in the shared warehouse.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset, a local session takes a temporary folder and a cluster session a
+    folder in the shared warehouse.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,4 +48,15 @@ def stage(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(
             folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
         )
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that does not exist yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
