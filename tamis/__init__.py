@@ -17,6 +17,7 @@ from tamis.operators.personal_data import detect_pii, redact_records  # noqa: E4
 from tamis.operators.quality import detect_quality  # noqa: E402
 from tamis.operators.toxicity import StubModel, detect_toxicity  # noqa: E402
 from tamis.plans.analysis import Analysis, analyze  # noqa: E402
+from tamis.plans.path import analyze_path  # noqa: E402
 from tamis.plans.report import build_report, write_report  # noqa: E402
 from tamis.sinks.exports import export_records  # noqa: E402
 from tamis.sources.ingest import read_records  # noqa: E402
@@ -24,7 +25,7 @@ from tamis.sources.tables import read_table  # noqa: E402
 
 __all__ = [
     "Analysis", "AnalysisConfig", "Dataset", "FieldSpec", "QualityConfig", "Schema", "StubModel",
-    "analyze", "build_report", "category_counts", "compute_metrics", "detect_duplicates",
+    "analyze", "analyze_path", "build_report", "category_counts", "compute_metrics", "detect_duplicates",
     "detect_pii", "detect_quality", "detect_toxicity", "equivalent", "export_records",
     "infer_schema", "read_records", "read_table", "records_from_table", "redact_records",
     "validate_schema", "write_report",

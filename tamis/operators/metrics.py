@@ -39,7 +39,8 @@ def compute_metrics(dataset: Dataset, issues: DataFrame) -> DataFrame:
     flagged = issues.filter("loc is not null and rec_ord is not null").agg(
         F.count_distinct("rec_ord").alias("flagged")
     )
-    both = token_stats(dataset).join(F.broadcast(flagged))  # one row each
+    both = token_stats(dataset).unionByName(flagged, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])  # two rows into one
     share = F.when(F.col("record_count") == 0, F.lit(0.0)).otherwise(
         F.col("flagged") / F.col("record_count")
     )

@@ -11,8 +11,9 @@ and discards most chance candidates inside the join.
 Low thresholds leave too few words per part; there the classic prefix filter on
 words ordered from rare to common is used instead.
 
-Either way candidates are then checked on the real word sets. Skewed join keys
-are split at run time by adaptive execution.
+Either way candidates are then checked on the real word sets. Join keys shared
+by very many sets are cut into pairs of small blocks, so that the comparisons of
+one group are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tamis.dataset import Dataset
 from tamis.functions import text as tx
-from tamis.operators.skew import attach_by_key
-from tamis.staging import stage
+from tamis.operators.skew import attach_by_key, block_keys, in_blocks, met_once
+from tamis.staging import stage, stage_table
 
 PARTS_FROM = 0.85
 BLOCKS = 64
@@ -159,27 +160,27 @@ def _pairs_by_parts(dataset: Dataset, threshold: float) -> DataFrame:
     )
     # Copies have equal signatures, so grouping by both merges them map-side.
     distinct = signed_up.groupBy("key", "sig").agg(F.min("rec_ord").alias("id"))
-
-    def signed(kind: str) -> DataFrame:
-        return distinct.select(
-            "id", "sig.n", "sig.parity", F.explode_outer(f"sig.{kind}").alias("s")
+    signed = stage_table(distinct.select("id", "sig.*"), "signatures")
+    kinds = [("home", True), ("visit", False)]
+    rows = [
+        signed.select(
+            "id", "n", "parity", F.lit(at_home).alias("at_home"), F.explode(kind).alias("s")
         )
-
-    x, y = signed("home").alias("x"), signed("home").alias("y")
-    v = signed("visit").alias("y")
+        for kind, at_home in kinds
+    ]
+    blocked = in_blocks(rows[0].unionByName(rows[1]), "s", "id")
+    x, y = blocked.filter("at_home").alias("x"), blocked.alias("y")
     total = F.col("x.n") + F.col("y.n")
-    close = (
-        (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - _SLACK)
-        & (
-            F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-            <= _difference_share(threshold) * total + 1e-6
-        )
+    differing = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    matches = x.join(
+        y,
+        block_keys("x", "y", "s")
+        & met_once("x", "y")
+        & ((F.col("x.id") < F.col("y.id")) | ~F.col("y.at_home"))
+        & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - _SLACK)
+        & (differing <= _difference_share(threshold) * total + 1e-6),
     )
-    same = F.col("x.s") == F.col("y.s")
-    within = x.join(y, same & (F.col("x.id") < F.col("y.id")) & close)
-    across = x.join(v, same & close)
-    ids = _ordered(F.col("x.id"), F.col("y.id"))
-    return _distinct_pairs(within.select(*ids).unionByName(across.select(*ids)))
+    return _distinct_pairs(matches.select(*_ordered(F.col("x.id"), F.col("y.id"))))
 
 
 def _pairs_by_prefix(dataset: Dataset, threshold: float) -> DataFrame:
@@ -207,12 +208,13 @@ def _pairs_by_prefix(dataset: Dataset, threshold: float) -> DataFrame:
         needed(2 * threshold / (1 + threshold)).alias("short"),
         F.posexplode(F.slice("ranked", F.lit(1), needed(threshold).cast("int"))).alias("pos", "t"),
     ).select("id", "n", "pos", "short", F.col("t.w").alias("w"))
-    prefix = stage(prefix)
-    x, y = prefix.alias("x"), prefix.filter("pos < short").alias("y")
+    blocked = in_blocks(stage_table(prefix, "prefixes"), "w", "id")
+    x, y = blocked.alias("x"), blocked.filter("pos < short").alias("y")
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     candidates = x.join(
         y,
-        (F.col("x.w") == F.col("y.w"))
+        block_keys("x", "y", "w")
+        & met_once("x", "y")
         & (
             (F.col("y.n") < F.col("x.n"))
             | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id")))
@@ -220,7 +222,27 @@ def _pairs_by_prefix(dataset: Dataset, threshold: float) -> DataFrame:
         & (F.col("y.n") >= threshold * F.col("x.n") - _SLACK)
         & (rest >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - _SLACK),
     )
-    return _distinct_pairs(candidates.select(*_ordered(F.col("x.id"), F.col("y.id"))))
+    pairs = _distinct_pairs(candidates.select(*_ordered(F.col("x.id"), F.col("y.id"))))
+    return _likely(pairs, distinct.select("id", "words"), threshold)
+
+
+def _likely(pairs: DataFrame, hashed: DataFrame, threshold: float) -> DataFrame:
+    """Drop pairs whose word hashes already rule them out.
+
+    Hashes are far cheaper to intersect than words. Words of one set that share
+    a hash (``lost``) can hide at most that many common words, so no pair that
+    qualifies is dropped.
+    """
+    def side(name: str) -> DataFrame:
+        return hashed.select(F.col("id").alias(f"{name}_ord"), F.col("words").alias(f"{name}_h"))
+
+    joined = pairs.join(side("earlier"), "earlier_ord").join(side("later"), "later_ord")
+    shared = F.size(F.array_intersect("earlier_h", "later_h"))
+    lost = F.size("earlier_h") - F.size(F.array_distinct("earlier_h"))
+    total = F.size("earlier_h") + F.size("later_h")
+    return joined.filter(
+        shared + lost >= threshold / (1 + threshold) * total - _SLACK
+    ).select("earlier_ord", "later_ord")
 
 
 def _every_pair(dataset: Dataset) -> DataFrame:

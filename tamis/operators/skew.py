@@ -1,10 +1,12 @@
-"""Lookups by a key of which one value may hold a large share of the rows."""
+"""Joins on a key of which one value may hold a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.staging import stage
+
 HOT_KEYS = 1000
 HOT_WEIGHT = 10_000
 _SALTS = 1 << 30
@@ -39,3 +41,48 @@ def attach_by_key(
     )
     found = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *[found[c].alias(c) for c in payload])
+
+
+BLOCK_ROWS = 4096
+BROADCAST_KEYS = 1_000_000
+
+
+def in_blocks(rows: DataFrame, key: str, spread: str) -> DataFrame:
+    """Prepare a self-join on ``key`` so that no task compares a whole hot group.
+
+    A group of n rows is cut into ``n / BLOCK_ROWS`` blocks by a hash of
+    ``spread`` and every pair of its blocks becomes a join key of its own: rows
+    gain ``_block`` and the pair ``_lo, _hi``, one copy per pair. Groups of up to
+    ``BLOCK_ROWS`` rows stay as they are. Join on ``block_keys`` and keep
+    ``met_once``. ``rows`` should be staged, as it is read to count and to join.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > BLOCK_ROWS
+    )
+    hot = stage(sizes.select(key, F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_blocks")))
+    known = hot.count()
+    if known == 0:
+        zero = F.lit(0)
+        return rows.withColumns({"_block": zero, "_lo": zero, "_hi": zero})
+    joined = rows.join(F.broadcast(hot) if known <= BROADCAST_KEYS else hot, key, "left")
+    blocks = F.coalesce("_blocks", F.lit(1))
+    placed = joined.withColumn("_block", F.pmod(F.xxhash64(spread), blocks).cast("int"))
+    paired = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return paired.withColumns(
+        {"_lo": F.least("_block", "_other"), "_hi": F.greatest("_block", "_other")}
+    ).drop("_blocks", "_other")
+
+
+def block_keys(left: str, right: str, key: str) -> Column:
+    """Equality of the join key and of the block pair."""
+    same = F.lit(True)
+    for name in (key, "_lo", "_hi"):
+        same = same & (F.col(f"{left}.{name}") == F.col(f"{right}.{name}"))
+    return same
+
+
+def met_once(left: str, right: str) -> Column:
+    """Two rows of one block meet under many block pairs; keep only their own."""
+    return (F.col(f"{left}._block") != F.col(f"{right}._block")) | (
+        F.col(f"{left}._lo") == F.col(f"{left}._hi")
+    )

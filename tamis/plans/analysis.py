@@ -18,7 +18,7 @@ from tamis.operators.metrics import compute_metrics
 from tamis.operators.personal_data import pii_issue_array
 from tamis.operators.quality import quality_issue_array
 from tamis.operators.toxicity import Model, toxicity_issue_array, toxicity_score
-from tamis.staging import stage
+from tamis.staging import stage_table
 
 # An extra detector gets the dataset and the settings and returns issue rows.
 Detector = Callable[[Dataset, AnalysisConfig], DataFrame]
@@ -86,5 +86,5 @@ def analyze(
     issues = streams[0]
     for more in streams[1:]:
         issues = issues.unionByName(more)
-    issues = stage(issues) if keep else issues
+    issues = stage_table(issues, "issues") if keep else issues
     return Analysis(dataset, issues, compute_metrics(dataset, issues))

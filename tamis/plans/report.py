@@ -31,10 +31,10 @@ class Report:
 
     def totals(self) -> DataFrame:
         """One row: total records and total issues."""
-        total = self.counts.agg(F.sum("n_issues").alias("total_issues"))
-        return self.metrics.select(F.col("record_count").alias("total_records")).join(
-            F.broadcast(total)
-        )
+        records = self.metrics.select(F.col("record_count").alias("total_records"))
+        issues = self.counts.agg(F.sum("n_issues").alias("total_issues"))
+        both = records.unionByName(issues, allowMissingColumns=True)
+        return both.agg(*[F.max(c).alias(c) for c in both.columns])  # two rows into one
 
 
 def build_report(analysis: Analysis) -> Report:

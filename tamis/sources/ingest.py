@@ -14,7 +14,7 @@ from tamis.sources.json_array import scan_json
 from tamis.sources.jsonl import scan_jsonl
 from tamis.sources.manifest import OVERSIZE, READABLE, SKIPPED, list_files
 from tamis.sources.parquet_files import ORDER_BITS, scan_parquet, tagged_fields
-from tamis.staging import stage
+from tamis.staging import stage_table
 
 
 def _location(path: Column, line=None, index=None, group=None, row=None) -> Column:
@@ -70,7 +70,7 @@ def read_records(
             decoded.append(scan(spark, manifest, files))
     if decoded:
         rows = _union(decoded)
-        rows = stage(rows) if keep else rows
+        rows = stage_table(rows, "decoded") if keep else rows
         pos = F.col("pos")
         loc = _location(F.col("path"), F.col("line_number"), F.col("array_index"))
         records.append(

@@ -81,6 +81,7 @@ def numbered_lines(
     )
     before = Window.partitionBy("name").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.persist()  # a few numbers per split, read three times
     flags = starts.groupBy("name").agg(F.max("bad").alias("bad"), F.max("odd").alias("odd"))
     flagged = {r.name: r for r in flags.filter("bad or odd").collect()}  # at most one per file
     bad = [f for f in usual if f.name in flagged and flagged[f.name].bad]
@@ -91,8 +92,7 @@ def numbered_lines(
     placed = starts.select("name", "split", "first_at", "base").join(
         F.broadcast(manifest.frame(spark, plain).select("file_ord", "path", "name")), "name"
     )
-    size = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB") or 0) or 1 << 27
-    if sum(1 + f.length // size for f in plain) <= BROADCAST_SPLITS:
+    if placed.count() <= BROADCAST_SPLITS:
         placed = F.broadcast(placed)
     lines = text.join(placed, ["name", "split"]).select(
         "file_ord",

@@ -12,6 +12,7 @@ from tamis.config import effective_file_limit
 from tamis.errors import FileTooLarge, NoSupportedFiles, PathNotFound
 from tamis.sinks.files import hadoop_path
 
+MAX_TASKS = 10_000
 READABLE, SKIPPED, OVERSIZE = "readable", "skipped", "oversize"
 
 
@@ -52,13 +53,13 @@ class Manifest:
         return [f for f in self.with_status(READABLE) if f.format == fmt]
 
     def frame(self, spark: SparkSession, files: list[SourceFile] | None = None) -> DataFrame:
-        """The listed files as a table, one partition per file up to the core count."""
+        """The listed files as a table, about one file per partition."""
         chosen = list(self.files) if files is None else files
         rows = [
             (f.file_ord, f.path, f.uri, f.name, f.length, f.format, f.status) for f in chosen
         ]
         df = spark.createDataFrame(rows, MANIFEST_DDL)
-        return df.repartition(max(1, len(rows)), "file_ord") if len(rows) > 1 else df
+        return df.repartition(min(len(rows), MAX_TASKS), "file_ord") if len(rows) > 1 else df
 
 
 def list_files(

@@ -173,7 +173,7 @@ def scan_parquet(
     )
     paths = spark.createDataFrame([(f.file_ord, f.path) for f in files], "_file_ord int, _path string")
     starts = starts.join(F.broadcast(paths), "_file_ord")
-    if sum(1 + f.length // (1 << 27) for f in files) <= BROADCAST_SPLITS:
+    if starts.count() <= BROADCAST_SPLITS:
         starts = F.broadcast(starts)
     scans = []
     for same in groups.values():

@@ -99,6 +99,34 @@ def test_sort_merge_join_gives_the_same(spark, dataset):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("threshold", [0.9, 0.6])
+def test_hot_groups_are_compared_in_blocks(dataset, monkeypatch, threshold):
+    """Many records differ in one word and share the rest: few, very hot join keys."""
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 7)
+    shared = " ".join(f"common{i}" for i in range(11))
+    texts = [f"{shared} own{i}" for i in range(60)]
+    texts += [t + " " + t for t in texts[:20]] + corpus(15, 60)
+    ds = dataset([{"text": t} for t in texts])
+    assert found(detect_duplicates(ds, threshold)) == brute_force(texts, threshold)
+
+
+def test_block_pairs_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 4)
+    rows = spark.createDataFrame([(i, 1 if i < 50 else i % 7 + 2) for i in range(90)], "id long, k long")
+    for limit in (0, 1_000_000):
+        monkeypatch.setattr(skew, "BROADCAST_KEYS", limit)
+        blocked = skew.in_blocks(rows, "k", "id")
+        largest = blocked.groupBy("k", "_lo", "_hi").count().agg(F.max("count")).first()[0]
+        met = blocked.alias("x").join(
+            blocked.alias("y"),
+            skew.block_keys("x", "y", "k") & skew.met_once("x", "y") & (F.col("x.id") < F.col("y.id")),
+        )
+        pairs = sorted((r[0], r[1]) for r in met.select("x.id", "y.id").collect())
+        by_key = {r.id: r.k for r in rows.collect()}
+        assert pairs == [(a, b) for a in range(90) for b in range(a + 1, 90) if by_key[a] == by_key[b]]
+        assert largest < 25
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.9, 0.97])
 def test_similar_sets_always_share_a_signature(threshold):
     """Recall of the signatures alone, on pairs at and just above the threshold."""

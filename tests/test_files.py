@@ -21,6 +21,7 @@ from tamis.errors import (
     UnsupportedFormat,
 )
 from tamis.operators.equivalence import equivalent
+from tamis.plans.path import analyze_path
 from tamis.sinks.exports import export_records
 from tamis.sources import json_array
 from tamis.sources.ingest import read_records
@@ -288,6 +289,26 @@ def test_single_schema_parquet_stays_typed(spark, folder):
     assert [v for _, v in records(ds)] == [{"i": 1}, {"i": 2}, {"i": 3}]
 
 
+# From path to report
+
+
+def test_analyze_path(spark, folder):
+    path = folder(
+        a__jsonl='{"text": "A clean sample of some length."}\n{"text": "A clean sample of some length."}\nbroken\n'
+        '{"text": "Mail a@b.org or call 555-123-4567 now"}\n',
+        b__csv="text,label\nShort,1\n", c__txt="x",
+    )
+    done = analyze_path(spark, path)
+    counts = {r.category: r.n_issues for r in done.report.counts.collect() if r.n_issues}
+    assert counts == {"parse_error": 1, "duplicate": 1, "pii": 2, "low_quality_short": 1}
+    rows = done.records.orderBy("index").collect()
+    assert [len(r.issues) for r in rows] == [0, 1, 2, 1]
+    assert [r.redacted is not None for r in rows] == [False, False, True, False]
+    assert done.report.totals().first() == (4, 5)
+    with pytest.raises(UnsupportedFormat):
+        analyze_path(spark, f"{path}/c.txt")
+
+
 # Exports
 
 

@@ -38,7 +38,7 @@ def test_json_report(analysis, tmp_path):
     write_report(build_report(analysis), "JSON", str(tmp_path / "r"))
     report = json.loads(document(str(tmp_path / "r")))
     assert report["metrics"] == {
-        "record_count": 4, "mean_tokens": 5, "min_tokens": 1, "max_tokens": 6,
+        "record_count": 4, "mean_tokens": 4, "min_tokens": 1, "max_tokens": 6,
         "issue_record_proportion": 0.75, "quality_score": 0.25,
     }
     assert report["summary"] == {"total_records": 4, "total_issues": 6}
