@@ -177,6 +177,29 @@ def mismatch(table: str, key: str, name: str, actual: str, expected: str, where:
         FROM {table} WHERE {where}"""
 
 
+LABELLED_FIELDS = (
+    ("text", "string"), ("lang", "string"), ("quality", "integer"), ("toxic", "integer"),
+)
+
+
+def first_type(name: str, kind: str) -> str:
+    """Type of a field in the first document, which need not have labels."""
+    return f"""(SELECT CASE WHEN {name} IS NULL THEN 'null' ELSE '{kind}' END
+        FROM {LABELLED} ORDER BY doc_id LIMIT 1)"""
+
+
+def inferred_issues(name: str, kind: str) -> str:
+    expected = first_type(name, kind)
+    return f"""
+        SELECT doc_id AS rec_ord, CASE WHEN {name} IS NULL THEN 'missing_required_field'
+               ELSE 'field_type_mismatch' END AS category, '{name}' AS field_name,
+               CASE WHEN {name} IS NULL THEN printf('{_MISSING}', '{name}', 'null')
+               ELSE printf('{_MISMATCH}', '{name}', '{kind}', {expected}) END AS detail,
+               NULL::DOUBLE AS score
+        FROM {LABELLED} WHERE doc_id > (SELECT min(doc_id) FROM documents)
+        AND ({name} IS NULL OR {expected} = 'null')"""
+
+
 ORACLE_SQL = {
     "token_counts": f"SELECT doc_id, {tokens('text')} AS tokens FROM documents",
     "token_metrics": f"{ISSUES} SELECT * FROM stats",
@@ -271,19 +294,15 @@ ORACLE_SQL = {
             missing("events", "event_id", "session", "absent", "true"),
         ]
     ),
-    # The first document has labels, so every field is required with its real type.
     "schema_inferred": " UNION ALL ".join(
-        missing(LABELLED, "doc_id", name, "null", f"{name} IS NULL AND doc_id > 0")
-        for name in ("text", "lang", "quality", "toxic")
+        inferred_issues(name, kind) for name, kind in LABELLED_FIELDS
+    ),
+    "inferred_fields": " UNION ALL ".join(
+        f"""SELECT {i} AS ord, '{name}' AS name, {first_type(name, kind)} AS type, true AS required,
+            (SELECT count(*) FROM {LABELLED} WHERE ({name} IS NULL) =
+             ({first_type(name, kind)} = 'null')) AS n"""
+        for i, (name, kind) in enumerate(LABELLED_FIELDS)
     ),
-    "inferred_fields": f"""
-        SELECT * FROM (VALUES (0, 'text', 'string', true), (1, 'lang', 'string', true),
-            (2, 'quality', 'integer', true), (3, 'toxic', 'integer', true))
-            AS s(ord, name, type, required)
-        JOIN (SELECT 'text' AS name, count(text) AS n FROM {LABELLED}
-              UNION ALL SELECT 'lang', count(lang) FROM {LABELLED}
-              UNION ALL SELECT 'quality', count(quality) FROM {LABELLED}
-              UNION ALL SELECT 'toxic', count(toxic) FROM {LABELLED}) USING (name)""",
     "issue_category_counts": f"{ISSUES} SELECT category_ord, category, n_issues FROM counts",
     "quality_metrics": f"{ISSUES} SELECT *, 1 - issue_record_proportion AS quality_score FROM metrics",
     "issue_records": f"{ISSUES} SELECT DISTINCT rec_ord AS doc_id FROM issues",

@@ -15,6 +15,7 @@ from tamis.issues import DUPLICATES, issue, literal_issues, order_key
 from tamis.operators.numbering import record_positions
 from tamis.operators.similarity import similar_pairs
 from tamis.operators.skew import attach_by_key
+from tamis.staging import stage_table
 
 FIRST = -(2**63)
 
@@ -57,11 +58,15 @@ def _renamed(positions: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def exact_duplicate_issues(dataset: Dataset) -> DataFrame:
+def located_copies(dataset: Dataset) -> DataFrame:
+    """``exact_copies`` with position and location of the first record."""
+    return exact_copies(dataset, _renamed(_positions(dataset), "first"))
+
+
+def exact_duplicate_issues(dataset: Dataset, copies: DataFrame | None = None) -> DataFrame:
     """One issue per record whose content occurred before, pointing at the first."""
-    positions = _positions(dataset)
-    copies = exact_copies(dataset, _renamed(positions, "first")).join(positions, "rec_ord")
-    return copies.select(
+    copies = located_copies(dataset) if copies is None else copies
+    return copies.join(_positions(dataset), "rec_ord").select(
         issue(
             "duplicate",
             order_key(DUPLICATES, F.col("rec_ord"), F.col("first_ord")),
@@ -73,7 +78,9 @@ def exact_duplicate_issues(dataset: Dataset) -> DataFrame:
     ).select("issue.*")
 
 
-def near_duplicate_pairs(dataset: Dataset, threshold: float) -> DataFrame:
+def near_duplicate_pairs(
+    dataset: Dataset, threshold: float, copies: DataFrame | None = None
+) -> DataFrame:
     """Pairs ``(rec_ord, other_ord, score)`` of similar records.
 
     ``rec_ord`` is always a first occurrence; ``other_ord`` is any earlier record
@@ -83,7 +90,8 @@ def near_duplicate_pairs(dataset: Dataset, threshold: float) -> DataFrame:
     firsts = pairs.select(
         F.col("later_ord").alias("rec_ord"), F.col("earlier_ord").alias("other_ord"), "score"
     )
-    copies = exact_copies(dataset).select(
+    copies = exact_copies(dataset) if copies is None else copies
+    copies = copies.select(
         F.col("first_ord").alias("earlier_ord"), F.col("rec_ord").alias("other_ord")
     )
     repeats = (
@@ -94,9 +102,11 @@ def near_duplicate_pairs(dataset: Dataset, threshold: float) -> DataFrame:
     return firsts.unionByName(repeats)
 
 
-def near_duplicate_issues(dataset: Dataset, threshold: float) -> DataFrame:
+def near_duplicate_issues(
+    dataset: Dataset, threshold: float, copies: DataFrame | None = None
+) -> DataFrame:
     positions = _positions(dataset)
-    pairs = near_duplicate_pairs(dataset, threshold)
+    pairs = near_duplicate_pairs(dataset, threshold, copies)
     placed = pairs.join(positions, "rec_ord").join(_renamed(positions, "other"), "other_ord")
     return placed.select(
         issue(
@@ -124,8 +134,9 @@ def detect_duplicates(
     effective, rejected = checked_threshold(
         "similarity_threshold", threshold, fixed.DEFAULT_SIMILARITY_THRESHOLD
     )
-    found = exact_duplicate_issues(dataset).unionByName(
-        near_duplicate_issues(dataset, effective)
+    copies = stage_table(located_copies(dataset), "copies")
+    found = exact_duplicate_issues(dataset, copies).unionByName(
+        near_duplicate_issues(dataset, effective, copies)
     )
     if rejected:
         found = found.unionByName(
