@@ -44,5 +44,18 @@ def is_blank(text: Column) -> Column:
 
 
 def three_decimals(value: Column) -> Column:
-    """``value`` with exactly three decimals, rounded half to even."""
-    return F.translate(F.format_number(value, 3), ",", "")
+    """A value >= 0 with three decimals: the exact binary value, half to even.
+
+    Number formatting in the JVM rounds the shortest decimal form instead, which
+    differs for values such as 0.0005. Here ``below`` is the value in thousandths,
+    rounded down, and ``over`` the exact sign of what is left minus a half: the
+    products of the two parts of the value with 2000 have no rounding error.
+    """
+    below = F.floor(value * 1000)
+    head = value.cast("float").cast("double")
+    over = (head * 2000 - (below * 2 + 1)) + (value - head) * 2000
+    rounded = (
+        F.when(over > 0, below + 1).when(over < 0, below).otherwise(below + F.pmod(below, F.lit(2)))
+    )
+    whole = F.floor(rounded / 1000).cast("string")
+    return F.concat(whole, F.lit("."), F.lpad(F.pmod(rounded, F.lit(1000)).cast("string"), 3, "0"))

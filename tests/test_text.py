@@ -51,7 +51,9 @@ def test_blank(spark):
 
 def test_three_decimals_rounds_half_to_even(spark):
     rng = random.Random(4)
-    values = [0.0625, 0.0005, 0.5, 1.0, 0.1235, 0.9995] + [rng.random() for _ in range(300)]
+    values = [0.0625, 0.0005, 0.5, 0.0, 1.0, 0.1235, 0.9995] + [rng.random() for _ in range(300)]
+    values += [k / 2000 for k in range(2001)] + [k / 64 for k in range(65)]
+    values += [k / 2000 * (1 + 2**-52) for k in range(2001)] + [3.0625, 12.3455]
     got = evaluate(spark, values, "double", tx.three_decimals(F.col("v")))
     assert got == [f"{v:.3f}" for v in values]
 
