@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, oracle, sharding
+from tamis.llm import decontamination, oracle, packing, sharding, topk
 from tamis.llm.common import read
 
 
@@ -27,12 +27,28 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.packed_documents(read(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
+        "sequence_id", "offset",
+    )
+
+
+def op9_term_at_a_time_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_residual_packing": op2_residual_packing,
     "op4_prefix_sum_shards": op4_prefix_sum_shards,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
+    "op9_term_at_a_time_top_k": op9_term_at_a_time_top_k,
 }
 
 LLM_ORACLE_SQL = {
     "op4_prefix_sum_shards": oracle.OP4,
     "op6_winnowing_decontamination": oracle.OP6,
+    "op9_term_at_a_time_top_k": oracle.OP9,
 }
