@@ -2,6 +2,32 @@
 
 from __future__ import annotations
 
+# No dialogue of the tables fills a part of a rendering, so every rendering is one row here.
+OP1 = r"""
+WITH message AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker,
+    regexp_replace(coalesce(text, ''), '<\|(im_start|im_end)\|>', '< |\1| >', 'g') AS content
+  FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM message WHERE speaker <> 'system'),
+rotated AS (
+  SELECT m.conv_id, perspective, turn, content, speaker = perspective AS own,
+    CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+         WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
+         ELSE '<|im_start|>user name=' || speaker || chr(10) END AS header
+  FROM message m JOIN people p ON m.conv_id = p.conv_id),
+placed AS (
+  SELECT *, header || content || '<|im_end|>' || chr(10) AS whole,
+    coalesce(sum(length(header) + length(content) + 11) OVER (
+      PARTITION BY conv_id, perspective ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      ::BIGINT AS at_char
+  FROM rotated)
+SELECT conv_id, perspective, 0 AS part, 0::BIGINT AS start,
+  string_agg(whole, '' ORDER BY turn) AS text, count(*)::INTEGER AS n_messages,
+  coalesce(string_agg((at_char + length(header)) || ':' || (at_char + length(whole) - 1), ',' ORDER BY turn)
+    FILTER (WHERE own), '') AS masks
+FROM placed GROUP BY conv_id, perspective
+"""
+
 # CRC-32 of UTF-8 bytes by its table of 256 remainders (reversed polynomial 0xEDB88320).
 _CRC = """
 WITH crc_table AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, oracle, packing, sharding, topk
+from tamis.llm import decontamination, oracle, packing, perspectives, sharding, topk
 from tamis.llm.common import read
 
 
@@ -27,6 +27,15 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate_perspectives(read(spark, sf_dir, "conversations")).select(
+        F.col("dialogue").alias("conv_id"), "perspective", "part", "start", "text", "n_messages",
+        F.array_join(
+            F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ","
+        ).alias("masks"),
+    )
+
+
 def op2_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.packed_documents(read(spark, sf_dir, "documents"))
     return placed.select(
@@ -41,6 +50,7 @@ def op9_term_at_a_time_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_perspective_rotation": op1_perspective_rotation,
     "op2_residual_packing": op2_residual_packing,
     "op4_prefix_sum_shards": op4_prefix_sum_shards,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
@@ -48,6 +58,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 LLM_ORACLE_SQL = {
+    "op1_perspective_rotation": oracle.OP1,
     "op4_prefix_sum_shards": oracle.OP4,
     "op6_winnowing_decontamination": oracle.OP6,
     "op9_term_at_a_time_top_k": oracle.OP9,
