@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, oracle, packing, perspectives, sharding, topk
+from tamis.llm import decontamination, oracle, packing, perspectives, sharding, token_counts, topk
 from tamis.llm.common import read
 
 
@@ -49,12 +49,17 @@ def op9_term_at_a_time_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_residual_packing": op2_residual_packing,
     "op4_prefix_sum_shards": op4_prefix_sum_shards,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
     "op9_term_at_a_time_top_k": op9_term_at_a_time_top_k,
+    "op10_transducer_token_counts": op10_transducer_token_counts,
 }
 
 LLM_ORACLE_SQL = {
