@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, oracle, packing, perspectives, sharding, token_counts, topk
+from tamis.llm import decontamination, oracle, packing, perspectives, sharding, token_counts, topk, toxicity
 from tamis.llm.common import read
 
 
@@ -44,6 +44,16 @@ def op2_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_folded_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    lexicon = toxicity.learn(docs, labels.where(~held_out))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_term_at_a_time_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
@@ -58,6 +68,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_residual_packing": op2_residual_packing,
     "op4_prefix_sum_shards": op4_prefix_sum_shards,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
+    "op8_folded_lexicon_toxicity": op8_folded_lexicon_toxicity,
     "op9_term_at_a_time_top_k": op9_term_at_a_time_top_k,
     "op10_transducer_token_counts": op10_transducer_token_counts,
 }
