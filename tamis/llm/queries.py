@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, oracle, packing, perspectives, sharding, token_counts, topk, toxicity
+from tamis.llm import decontamination, ngram_join, oracle, packing, perspectives, sharding, token_counts, topk, toxicity
 from tamis.llm.common import read
 
 
+def op3_heavy_light_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), 40)
     return placed.select(
@@ -66,6 +70,7 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_residual_packing": op2_residual_packing,
+    "op3_heavy_light_ngram_join": op3_heavy_light_ngram_join,
     "op4_prefix_sum_shards": op4_prefix_sum_shards,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
     "op8_folded_lexicon_toxicity": op8_folded_lexicon_toxicity,
