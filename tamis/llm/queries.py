@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, ngram_join, oracle, packing, perspectives, sharding, token_counts, topk, toxicity
+from tamis.llm import decontamination, ngram_join, oracle, packing, perspectives, sanitising, sharding, token_counts, topk, toxicity
 from tamis.llm.common import read
 
 
@@ -48,6 +48,28 @@ def op2_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _one_if(kind: str) -> Callable:
+    return lambda x: F.when(x == kind, 1)
+
+
+def op7_cooccurrence_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitising.personal_spans(read(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    terms = F.transform(
+        "terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end"))
+    )
+    counts = [
+        F.size(F.array_compact(F.transform("base.kind", _one_if(kind)))).cast("long").alias(f"n_{kind}")
+        for kind in ("email", "ip", "card", "phone")
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.concat("base", terms)).alias("spans"),
+    )
+
+
 def op8_folded_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -73,6 +95,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_heavy_light_ngram_join": op3_heavy_light_ngram_join,
     "op4_prefix_sum_shards": op4_prefix_sum_shards,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
+    "op7_cooccurrence_sanitising": op7_cooccurrence_sanitising,
     "op8_folded_lexicon_toxicity": op8_folded_lexicon_toxicity,
     "op9_term_at_a_time_top_k": op9_term_at_a_time_top_k,
     "op10_transducer_token_counts": op10_transducer_token_counts,

@@ -293,3 +293,22 @@ def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
             )
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def kept(
+    docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows whose score is below the threshold, with all their columns; see score."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = lexicon.automaton()
+        for batch in batches:
+            clean = []
+            for value in batch.column(text).to_pylist():
+                folded = fold(value or "")
+                weight = sum(w for _, w in lexicon.found(machine, folded))
+                clean.append(lexicon.score(weight, len(folded.split())) < threshold)
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
