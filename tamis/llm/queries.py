@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, ngram_join, oracle, packing, perspectives, sanitising, sharding, token_counts, topk, toxicity
+from tamis.llm import decontamination, ngram_join, oracle, packing, perspectives, sanitising, sharding, suffix_dedup, token_counts, topk, toxicity
 from tamis.llm.common import read
 
 
@@ -48,6 +48,13 @@ def op2_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def _one_if(kind: str) -> Callable:
     return lambda x: F.when(x == kind, 1)
 
@@ -94,6 +101,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_residual_packing": op2_residual_packing,
     "op3_heavy_light_ngram_join": op3_heavy_light_ngram_join,
     "op4_prefix_sum_shards": op4_prefix_sum_shards,
+    "op5_suffix_merge_dedup": op5_suffix_merge_dedup,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
     "op7_cooccurrence_sanitising": op7_cooccurrence_sanitising,
     "op8_folded_lexicon_toxicity": op8_folded_lexicon_toxicity,
