@@ -345,7 +345,8 @@ def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, or its own).
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach, or its own), and
+    text_key and first (whether this is the one row of its component that has the smallest id).
 
     Two texts link if the Jaccard similarity of their sets of runs of ``words`` words is at least
     ``percent`` / 100. A-Z count as lower case; words are separated by ASCII white space; a text of
@@ -365,7 +366,8 @@ def near_duplicates(
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
     classes = stage_table(
         rows.where("n > 0").join(shared, "row", "left").groupBy("digest", "n").agg(
-            F.min("row").alias("node"), F.min("doc_id").alias("least_id"),
+            F.min("row").alias("node"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")).alias("least"),
             F.max("shared").alias("shared"), F.min_by(F.struct("doc_id", "text_key"), "row").alias("first"),
         ).withColumn("alive", F.coalesce(F.col("shared") >= enough, F.lit(False))),
         "classes",
@@ -379,11 +381,34 @@ def near_duplicates(
             members = _members(prefixes, boundary(prefixes, percent), percent)
             labels = _components(members, sets, percent)
     if labels is None:
-        named = classes.select("digest", F.col("least_id").alias("component_id"))
+        named = classes.select("digest", "least")
     else:
-        joined = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        least = joined.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-        named = joined.join(least, "comp").select("digest", "component_id")
+        joined = classes.drop("first", "shared").join(labels, "node", "left")
+        joined = joined.withColumn("comp", F.coalesce("comp", "node"))
+        least = joined.groupBy("comp").agg(F.min("least").alias("first"))
+        named = joined.join(least, "comp").select("digest", F.col("first").alias("least"))
     return rows.join(named, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        "text_key", F.coalesce(F.col("least.row") == F.col("row"), F.lit(True)).alias("first"),
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row of the smallest id stays.
+
+    Options and edge cases: see near_duplicates. All rows without words stay.
+    """
+    kept = near_duplicates(docs, doc_id, text, **options).where("first").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n_shingles") == 0).alias("_empty")
+    )
+    kept = stage_table(kept, "kept")
+    match = F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_key"))
+    out = docs.join(kept.select("_id", "_key").distinct(), match, "left_semi")
+    # Rows that agree in id and text are in one component; all but one of them go.
+    same = [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key")]
+    twice = docs.select(*same).groupBy("_id", "_key").count().where("count > 1")
+    if twice.isEmpty():
+        return out
+    words = kept.where("NOT _empty").select("_id", "_key")
+    single = out.join(words, match, "left_semi").dropDuplicates([doc_id, text])
+    return single.unionByName(out.join(words, match, "left_anti"))

@@ -12,7 +12,8 @@ from tamis.llm.common import read
 
 
 def op3_heavy_light_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+    found = ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op4_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
