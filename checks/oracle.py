@@ -262,7 +262,7 @@ ORACLE_SQL = {
         'toxicity_threshold' AS field_name, 'Invalid configuration for ''toxicity_threshold'': 1.5; retaining default 0.8'
         AS detail, NULL::DOUBLE AS score FROM documents""",
     "exact_duplicates": exact_issues("documents", "doc_id", "text"),
-    "exact_duplicate_turns": exact_issues("conversations", "(conv_id * 1000 + turn)", "role, text"),
+    "exact_duplicate_labels": exact_issues("labels", "doc_id", "quality, toxic"),
     "first_occurrences": "SELECT min(doc_id) AS first_ord, count(*) AS n_records "
     "FROM documents GROUP BY text",
     "repeated_orders": f"""SELECT rec_ord, first_ord FROM
@@ -270,14 +270,9 @@ ORACLE_SQL = {
     "near_duplicates": near_issues("documents", "doc_id", "text", "text", 0.9),
     "near_duplicates_low": near_issues("documents", "doc_id", "text", "text", 0.6),
     "near_duplicate_turns": near_issues(
-        "conversations", "(conv_id * 1000 + turn)", "role, text", "concat_ws(' ', role, text)", 0.85
+        "conversations", "(conv_id * (SELECT max(turn) + 1 FROM conversations) + turn)", "role, text",
+        "concat_ws(' ', role, text)", 0.3,
     ),
-    "similar_items": f"""WITH f AS (SELECT min(item_id) AS id, {words("text")} AS ws
-            FROM benchmark GROUP BY text)
-        SELECT a.id AS earlier_ord, b.id AS later_ord, CASE WHEN len(a.ws) + len(b.ws) = 0 THEN 0.0
-            ELSE len(list_intersect(a.ws, b.ws))::DOUBLE
-            / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) END AS score
-        FROM f a JOIN f b ON a.id < b.id""",
     "duplicate_issues": f"""
         SELECT * FROM ({exact_issues("documents", "doc_id", "text")})
         UNION ALL SELECT * FROM ({near_issues("documents", "doc_id", "text", "text", 0.9)})
@@ -355,16 +350,17 @@ ORACLE_SQL = {
         FROM (SELECT DISTINCT rec_ord, category, category_ord FROM issues JOIN category USING (category))
         GROUP BY 1""",
     "record_issue_nest": f"""{ISSUES}, n AS (
-        SELECT rec_ord, count(*) AS n_issues, string_agg(category, ',' ORDER BY
-            CASE category WHEN 'duplicate' THEN 0 WHEN 'near_duplicate' THEN 0 WHEN 'pii' THEN 1
-            WHEN 'low_quality_short' THEN 2 ELSE 3 END) AS categories,
-            bool_or(category = 'pii') AS is_redacted FROM issues GROUP BY 1)
+        SELECT rec_ord, count(*) AS n_issues, bool_or(category = 'pii') AS is_redacted
+            FROM issues GROUP BY 1), c AS (
+        SELECT rec_ord, string_agg(category, ',' ORDER BY category_ord) AS categories
+            FROM (SELECT DISTINCT rec_ord, category, category_ord FROM issues JOIN category USING (category))
+            GROUP BY 1)
         SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index,
-            CAST(coalesce(n_issues, 0) AS INTEGER) AS n_issues, coalesce(categories, '') AS categories,
+            coalesce(n_issues, 0) AS n_issues, coalesce(categories, '') AS categories,
             coalesce(is_redacted, false) AS is_redacted
-        FROM documents LEFT JOIN n ON rec_ord = doc_id""",
+        FROM documents LEFT JOIN n ON n.rec_ord = doc_id LEFT JOIN c ON c.rec_ord = doc_id""",
     "record_numbers": """SELECT o_orderkey * 100003 AS rec_ord,
-        row_number() OVER (ORDER BY o_orderkey) - 1 AS rec_idx FROM orders WHERE o_orderstatus = 'F'""",
+        row_number() OVER (ORDER BY o_orderkey) - 1 AS rec_idx FROM orders""",
     "exact_duplicate_customers": exact_issues("customer", "c_custkey", "c_mktsegment, c_nationkey"),
     "near_duplicate_customers": near_issues(
         "customer", "c_custkey", "c_mktsegment, c_nationkey",

@@ -15,7 +15,6 @@ from tamis.operators.conformance import infer_schema, validate_schema
 from tamis.operators.numbering import record_positions
 from tamis.operators.personal_data import detect_pii, redact_records
 from tamis.operators.quality import detect_quality
-from tamis.operators.similarity import similar_pairs
 from tamis.operators.toxicity import detect_toxicity, toxicity_score
 from tamis.operators.equivalence import differing_records
 from tamis.plans.analysis import Analysis, analyze
@@ -52,11 +51,11 @@ def events(spark: SparkSession, sf_dir: str) -> Dataset:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> Dataset:
-    """Conversation turns; at most 1000 turns per conversation keep the order unique."""
-    order = F.col("conv_id") * 1000 + F.col("turn")
-    return records_from_table(
-        table(spark, sf_dir, "conversations"), ["role", "text"], order, "conversations"
-    )
+    """Conversation turns, ordered by conversation and turn."""
+    df = table(spark, sf_dir, "conversations")
+    longest = df.agg(F.max("turn")).first()[0] or 0
+    order = F.col("conv_id") * (longest + 1) + F.col("turn")
+    return records_from_table(df, ["role", "text"], order, "conversations")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -223,8 +222,10 @@ def exact_duplicates(spark, sf_dir):
     return flat(duplicates.exact_duplicate_issues(documents(spark, sf_dir)))
 
 
-def exact_duplicate_turns(spark, sf_dir):
-    return flat(duplicates.exact_duplicate_issues(turns(spark, sf_dir)))
+def exact_duplicate_labels(spark, sf_dir):
+    """Four contents share all records."""
+    ds = records_from_table(table(spark, sf_dir, "labels"), ["quality", "toxic"], "doc_id", "labels")
+    return flat(duplicates.exact_duplicate_issues(ds))
 
 
 def first_occurrences(spark, sf_dir):
@@ -248,7 +249,7 @@ def near_duplicates_low(spark, sf_dir):
 
 
 def near_duplicate_turns(spark, sf_dir):
-    return flat(duplicates.near_duplicate_issues(turns(spark, sf_dir), 0.85))
+    return flat(duplicates.near_duplicate_issues(turns(spark, sf_dir), 0.3))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -266,11 +267,6 @@ def near_duplicate_customers(spark, sf_dir):
     return flat(duplicates.near_duplicate_issues(customers(spark, sf_dir), 0.3))
 
 
-def similar_items(spark, sf_dir):
-    ds = records_from_table(table(spark, sf_dir, "benchmark"), ["text"], "item_id", "benchmark")
-    return similar_pairs(ds, 0.0)
-
-
 def duplicate_issues(spark, sf_dir):
     """A rejected threshold: one config issue, and the default in force."""
     return flat(duplicates.detect_duplicates(documents(spark, sf_dir), 7))
@@ -399,14 +395,14 @@ def record_issue_nest(spark, sf_dir):
     nested = explorer.annotate(analysis.dataset, analysis.issues)
     return nested.select(
         F.col("index"),
-        F.size("issues").alias("n_issues"),
-        F.array_join(F.transform("issues", lambda i: i["category"]), ",").alias("categories"),
+        "n_issues",
+        F.array_join("categories", ",").alias("categories"),
         F.col("redacted").isNotNull().alias("is_redacted"),
     )
 
 
 def record_numbers(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    orders = table(spark, sf_dir, "orders")
     return record_positions(orders.select((F.col("o_orderkey") * 100_003).alias("rec_ord")))
 
 
@@ -456,7 +452,7 @@ def parquet_roundtrip(spark, sf_dir):
 
 
 def jsonl_lines(spark, sf_dir):
-    """JSON text of each event as one line of a JSONL file."""
+    """JSON text of each event as one line of JSONL files."""
     lines = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("line"))
     folder = new_folder(spark, "events")
     write_lines(lines, ["event_id"], folder, "jsonl")
@@ -524,9 +520,9 @@ QUERIES = {
         token_counts, token_metrics, word_set_sizes, record_text, non_alnum_ratios, number_text,
         field_type_profile, blank_fields, quality_issues, quality_short, quality_gibberish,
         quality_empty, pii_spans, pii_counts, redacted_documents, luhn_check, toxicity_flags,
-        toxicity_scores, toxicity_bad_threshold, exact_duplicates, exact_duplicate_turns,
+        toxicity_scores, toxicity_bad_threshold, exact_duplicates, exact_duplicate_labels,
         first_occurrences, repeated_orders, near_duplicates, near_duplicates_low,
-        near_duplicate_turns, similar_items, duplicate_issues, schema_declared, schema_inferred,
+        near_duplicate_turns, duplicate_issues, schema_declared, schema_inferred,
         inferred_fields, issue_category_counts, quality_metrics, issue_records, report_totals,
         all_issues, report_markdown_lines, report_json_issues, explorer_search, explorer_clean,
         explorer_category, explorer_page, explorer_pages, explorer_preview, record_categories,

@@ -115,8 +115,6 @@ class AnalysisConfig:
     schema: Schema | None = None
 
 
-def effective_file_limit(configured: Real | None) -> int:
-    """The file size limit in force for a configured one."""
-    if configured is None:
-        return fixed.DEFAULT_FILE_BYTES
-    return int(min(max(configured, fixed.MIN_FILE_BYTES), fixed.MAX_FILE_BYTES))
+def effective_file_limit(configured: Real | None) -> int | None:
+    """The file size limit in force: the configured one, else none."""
+    return None if configured is None else max(int(configured), 0)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.functions import text as tx
-from tamis.functions.numbers import float_array_texts, float_text
+from tamis.functions.numbers import float_array_texts, float_text, nested_texts
 from tamis.issues import LOC_DDL
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -62,6 +62,14 @@ def _widened(dtype: T.DataType) -> T.DataType:
     return dtype
 
 
+def _holds_floats(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _holds_floats(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_holds_floats(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, _FLOATS)
+
+
 def _text_parts(value: Column, dtype: T.DataType) -> Column | None:
     """The text a value contributes (string or string array), None for no text."""
     if isinstance(dtype, _STRINGS):
@@ -74,6 +82,8 @@ def _text_parts(value: Column, dtype: T.DataType) -> Column | None:
         element = dtype.elementType
         if isinstance(element, _FLOATS):
             return float_array_texts(value)
+        if _holds_floats(element):
+            return nested_texts(value, dtype)
         if _text_parts(F.lit(None), element) is None:
             return None
         parts = F.transform(value, lambda v: _text_parts(v, element))
@@ -101,8 +111,20 @@ def _typed_key_part(value: Column, dtype: T.DataType) -> Column:
         return F.base64(value)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    if isinstance(dtype, T.ArrayType):
+        parts = F.transform(value, lambda v: _net(_typed_key_part(v, dtype.elementType)))
+        return F.concat(F.lit("a"), F.size(value).cast("string"), F.lit(":"), F.array_join(parts, ""))
+    if isinstance(dtype, T.StructType):
+        parts = [_net(_typed_key_part(value[f.name], f.dataType)) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.concat(F.lit("o"), *parts))
+    if isinstance(dtype, T.MapType):
+        parts = F.transform(
+            F.map_entries(value),
+            lambda e: F.concat(
+                _net(_typed_key_part(e["key"], dtype.keyType)), _net(_typed_key_part(e["value"], dtype.valueType))
+            ),
+        )
+        return F.concat(F.lit("m"), F.array_join(F.array_sort(parts), ""))
     return value.cast("string")
 
 

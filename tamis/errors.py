@@ -21,6 +21,14 @@ class NoSupportedFiles(TamisError):
         super().__init__(fixed.ERROR_NO_FILES.format(directory))
 
 
+class UnknownCategory(TamisError):
+    """An extra detector gave issues of a category that reports do not know."""
+
+    def __init__(self, category: str | None):
+        super().__init__(f"Unknown issue category: {category!r}")
+        self.category = category
+
+
 class FileTooLarge(TamisError):
     def __init__(self, path: str, limit_bytes: int, actual_bytes: int):
         self.path, self.limit_bytes, self.actual_bytes = path, limit_bytes, actual_bytes

@@ -31,11 +31,6 @@ EXTENSION_FORMATS = {".json": "json", ".jsonl": "jsonl", ".csv": "csv", ".parque
 # Report formats.
 REPORT_FORMATS = ("json", "markdown")
 
-# File size limit: smallest and largest allowed setting, and the default.
-MIN_FILE_BYTES = 1 << 20
-MAX_FILE_BYTES = 50 << 30
-DEFAULT_FILE_BYTES = 5 << 30
-
 # Detector defaults and bounds.
 DEFAULT_SIMILARITY_THRESHOLD = 0.9
 DEFAULT_TOXICITY_THRESHOLD = 0.8

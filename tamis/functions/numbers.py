@@ -44,3 +44,29 @@ def float_text(value: Column) -> Column:
 def float_array_texts(values: Column) -> Column:
     """The text of each non-null element of a floating point array."""
     return _repr_texts(values.cast("array<double>"))
+
+
+def nested_texts(value: Column, dtype: T.DataType) -> Column:
+    """The texts of all strings and numbers in a nested value, in order; null for null."""
+
+    def texts(v, kind: T.DataType):
+        if v is None:
+            return
+        if isinstance(kind, T.ArrayType):
+            for element in v:
+                yield from texts(element, kind.elementType)
+        elif isinstance(kind, T.StructType):
+            for f in kind.fields:
+                yield from texts(v[f.name], f.dataType)
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            yield repr(float(v))
+        elif isinstance(kind, (T.StringType, T.IntegralType)):
+            yield str(v)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def all_texts(values: pa.Array) -> pa.Array:
+        return pa.array(
+            [None if v is None else list(texts(v, dtype)) for v in values.to_pylist()], pa.list_(pa.string())
+        )
+
+    return all_texts(value)

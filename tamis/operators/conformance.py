@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamis import fixed
 from tamis.config import FieldSpec, Schema
-from tamis.dataset import Dataset
+from tamis.dataset import Dataset, TypedContent, type_tag
 from tamis.issues import (
     CONFORMANCE,
     ISSUE_DDL,
@@ -20,14 +20,13 @@ from tamis.issues import (
 
 def first_record(dataset: Dataset) -> tuple[int, list[FieldSpec]] | None:
     """Order and field types of the first record, None for an empty dataset."""
-    row = dataset.df.select(
-        F.min_by(
-            F.struct("rec_ord", dataset.content.field_types().alias("types")), F.col("rec_ord")
-        ).alias("first")
-    ).first()
-    if row.first is None:
+    first = dataset.df.agg(F.min("rec_ord")).first()[0]  # reads one column
+    if first is None:
         return None
-    return row.first.rec_ord, [FieldSpec(t.name, t.type, True) for t in row.first.types]
+    row = dataset.df.filter(F.col("rec_ord") == first).select(
+        dataset.content.field_types().alias("types")
+    ).first()
+    return first, [FieldSpec(t.name, t.type, True) for t in row.types]
 
 
 def infer_schema(dataset: Dataset) -> Schema | None:
@@ -51,6 +50,8 @@ def conformance_issue_array(dataset: Dataset, schema: Schema) -> Column:
             for i, s in enumerate(schema.fields)
         ]
     )
+    if isinstance(dataset.content, TypedContent):
+        return _typed_conformance(dataset.content, schema)
     types = F.map_from_entries(dataset.content.field_types())
 
     def check(spec: Column) -> Column:
@@ -75,6 +76,43 @@ def conformance_issue_array(dataset: Dataset, schema: Schema) -> Column:
     return F.filter(F.transform(specs, check), lambda i: i.isNotNull())
 
 
+def _typed_conformance(content: TypedContent, schema: Schema) -> Column:
+    """As above where types are known when the plan is built: only null tests remain."""
+
+    def found(i: int, spec: FieldSpec, category: str, detail: str) -> Column:
+        return issue(
+            category,
+            order_key(CONFORMANCE, F.col("rec_ord"), i),
+            loc=F.col("loc"),
+            field_name=F.lit(spec.name),
+            detail=F.lit(detail),
+            rec_ord=F.col("rec_ord"),
+        )
+
+    checks = []
+    for i, spec in enumerate(schema.fields):
+        missing, mismatch = "missing_required_field", "field_type_mismatch"
+        absent = fixed.DETAIL_MISSING % (spec.name, "absent")
+        if spec.name not in content.names:
+            if spec.required:
+                checks.append(found(i, spec, missing, absent))
+            continue
+        null = F.col(f"`{spec.name}`").isNull()
+        actual = type_tag(content.schema[spec.name].dataType)
+        one = None
+        if spec.required:
+            one = F.when(null, found(i, spec, missing, fixed.DETAIL_MISSING % (spec.name, "null")))
+        if actual != spec.type:
+            detail = fixed.DETAIL_MISMATCH % (spec.name, actual, spec.type)
+            wrong = found(i, spec, mismatch, detail)
+            one = F.when(~null, wrong) if one is None else one.when(~null, wrong)
+        if one is not None:
+            checks.append(one)
+    if not checks:
+        return F.array().cast(f"array<{ISSUE_DDL}>")
+    return F.array_compact(F.array(*checks))
+
+
 def inference_failure(dataset: Dataset, empty: bool) -> DataFrame:
     detail = fixed.DETAIL_NO_RECORDS if empty else fixed.DETAIL_NO_FIELDS
     return literal_issues(

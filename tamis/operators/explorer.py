@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tamis import fixed
 from tamis.dataset import Dataset
 from tamis.functions.pii import redact
-from tamis.issues import ISSUE_TYPES, category_position
+from tamis.issues import category_position
 from tamis.operators.numbering import record_positions
-from tamis.operators.skew import attach_by_key
 
 
 def search(dataset: Dataset, query: str) -> Dataset:
@@ -48,8 +47,17 @@ def _with(dataset: Dataset, df: DataFrame) -> Dataset:
 
 
 def page(dataset: Dataset, number: int = 1, size: int = fixed.PAGE_SIZE) -> DataFrame:
-    """One page of records in order; pages count from 1."""
-    return dataset.df.orderBy("rec_ord").offset(size * (number - 1)).limit(size)
+    """One page of records in order; pages count from 1.
+
+    The page is a range of positions, so a late page costs no more than an early one.
+    """
+    first = size * (number - 1)
+    wanted = (
+        record_positions(dataset.df.select("rec_ord"))
+        .filter(F.col("rec_idx").between(first, first + size - 1))
+        .select("rec_ord")
+    )
+    return dataset.df.join(F.broadcast(wanted), "rec_ord", "left_semi").orderBy("rec_ord")
 
 
 def page_count(dataset: Dataset, size: int = fixed.PAGE_SIZE) -> DataFrame:
@@ -93,41 +101,40 @@ def record_categories(issues: DataFrame) -> DataFrame:
     )
 
 
-ISSUES_PER_ROW = 10_000
+def record_issues(issues: DataFrame) -> DataFrame:
+    """The issues that point to a record, as rows keyed by ``rec_ord``; ``issue_ord`` orders them."""
+    return issues.filter("loc is not null and rec_ord is not null")
 
 
 def annotate(dataset: Dataset, issues: DataFrame) -> DataFrame:
-    """Every record with its position, its issues in order, and redacted fields.
+    """Every record, one row each: position, number and categories of its issues, redacted fields.
 
-    ``issues`` is empty for a clean record and ``redacted`` is null unless the
-    record has personal data. A record with more than ``ISSUES_PER_ROW`` issues
-    (one near-duplicate of very many others) is spread over several rows,
-    numbered by ``part``, so that no row or task has to hold them all.
+    ``redacted`` is null unless the record has personal data. The issues stay rows of their own
+    (``record_issues``), since a near-duplicate of very many others has as many of them.
     """
-    located = issues.filter("loc is not null and rec_ord is not null")
-    heavy = located.groupBy("rec_ord").agg(F.count(F.lit(1)).alias("n_issues")).filter(
-        F.col("n_issues") > ISSUES_PER_ROW
+    summary = (
+        record_issues(issues)
+        .groupBy("rec_ord")
+        .agg(
+            F.count(F.lit(1)).alias("n_issues"),
+            F.collect_set("category").alias("found"),
+            F.max(F.col("category") == "pii").alias("has_pii"),
+        )
     )
-    spread = attach_by_key(located, heavy, "rec_ord", "n_issues", "issue_ord")
-    parts = F.coalesce(F.ceil(F.col("n_issues") / ISSUES_PER_ROW), F.lit(1))
-    part = F.pmod(F.xxhash64("issue_ord"), parts).cast("int")
-    ordered = ["issue_ord", *[n for n in ISSUE_TYPES if n not in ("issue_ord", "rec_ord")]]
-    nested = (
-        spread.groupBy("rec_ord", part.alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("issues"))
-        .withColumn("has_pii", F.exists("issues", lambda i: i["category"] == "pii"))
+    ordered = F.filter(
+        F.array(*map(F.lit, fixed.ISSUE_CATEGORIES)),
+        lambda c: F.coalesce(F.array_contains("found", c), F.lit(False)),
     )
     positions = record_positions(dataset.df.select("rec_ord"))
-    found = dataset.df.join(positions, "rec_ord").join(nested, "rec_ord", "left")
-    none = F.array().cast(nested.schema["issues"].dataType)
+    found = dataset.df.join(positions, "rec_ord").join(summary, "rec_ord", "left")
     return found.select(
         F.col("rec_idx").alias("index"),
         "rec_ord",
-        F.coalesce("part", F.lit(0)).alias("part"),
         "loc",
         *dataset.content.columns,
         F.when(F.col("has_pii"), dataset.content.redacted_struct(redact)).alias("redacted"),
-        F.coalesce("issues", none).alias("issues"),
+        F.coalesce("n_issues", F.lit(0)).alias("n_issues"),
+        ordered.alias("categories"),
     )
 
 

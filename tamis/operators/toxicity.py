@@ -1,13 +1,12 @@
 """Toxicity flags from a pluggable scoring model.
 
 A model is a function from a text column to a score column, or an object with
-``score(text) -> float | None``, which runs in Arrow batches. A score that is
+``score(text) -> float | None`` or ``score_batch(texts)``, which runs in Arrow batches. A score that is
 null, not a number or not finite leaves the record unscored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from typing import Any
 
@@ -26,38 +25,41 @@ Model = Callable[[Column], Column] | Any
 
 
 class StubModel:
-    """Deterministic model: a constant, a function of the text, or always failing."""
+    """A model without a model: one score for every text, a Column of the text, or no score at all."""
 
-    def __init__(self, score: float = 0.0, score_fn: Callable | None = None, fail: bool = False):
-        self.constant, self.score_fn, self.fail = score, score_fn, fail
-
-    def score(self, text: str) -> float | None:
-        if self.fail:
-            raise RuntimeError("scoring switched off")
-        value = self.constant if self.score_fn is None else self.score_fn(text)
-        return None if value is None else max(0.0, min(1.0, float(value)))
+    def __init__(
+        self, score: float = 0.0, expression: Callable[[Column], Column] | None = None, unscored: bool = False
+    ):
+        fixed_score = F.lit(None if unscored else score).cast("double")
+        self._of = (lambda text: fixed_score) if expression is None or unscored else expression
 
     def __call__(self, text: Column) -> Column:
-        if self.fail:
-            return F.lit(None).cast("double")
-        if self.score_fn is None:
-            return F.lit(self.score("")).cast("double")
-        return _python_scores(self)(text)
+        return self._of(text)
 
 
 def _python_scores(model: Any):
-    def usable(text: str) -> float | None:
+    """The model's raw scores, null where it fails on a text or gives no number."""
+
+    def one(text: str):
         try:
-            value = model.score(text)
+            return model.score(text)
         except Exception:  # a failing record must not fail the job
             return None
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
-            return None
-        return max(0.0, min(1.0, float(value))) if math.isfinite(value) else None
+
+    def batch(texts: list[str]) -> list:
+        if hasattr(model, "score_batch"):
+            try:
+                return list(model.score_batch(texts))
+            except Exception:  # then each text by itself, where that is possible
+                if not hasattr(model, "score"):
+                    return [None] * len(texts)
+        return [one(t) for t in texts]
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        return pa.array([usable(t) for t in texts.to_pylist()], pa.float64())
+        raw = batch(texts.to_pylist())
+        numbers = [v if isinstance(v, (int, float)) and not isinstance(v, bool) else None for v in raw]
+        return pa.array(numbers, pa.float64())
 
     return scores.asNondeterministic()  # so that the model runs once per record
 
@@ -66,13 +68,15 @@ def toxicity_score(dataset: Dataset, model: Model | None = None) -> Column:
     """Score in [0, 1] of the record's string fields; null when unscored."""
     model = StubModel() if model is None else model
     text = dataset.content.string_text()
-    if not callable(model):
-        return _python_scores(model)(text)
-    if isinstance(model, StubModel):
-        return model(text)
-    raw = model(text).cast("double")
-    unusable = raw.isNull() | F.isnan(raw) | (F.abs(raw) == float("inf"))
-    return F.when(~unusable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    in_python = hasattr(model, "score") or hasattr(model, "score_batch")
+    raw = (_python_scores(model) if in_python else model)(text).cast("double")
+
+    def usable(value: Column) -> Column:
+        finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+        return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+
+    # By way of an array, so that a model's expression stands in the plan once.
+    return F.get(F.transform(F.array(raw), usable), F.lit(0))
 
 
 def toxicity_issue_array(score: Column, threshold: float, rejected: Rejected | None) -> Column:

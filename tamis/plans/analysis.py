@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tamis import fixed
 from tamis.config import AnalysisConfig, Schema, checked_threshold
 from tamis.dataset import Dataset
+from tamis.errors import UnknownCategory
 from tamis.issues import ISSUE_DDL, explode_issues
 from tamis.operators.conformance import conformance_issue_array, resolve_schema
 from tamis.operators.duplicates import detect_duplicates
@@ -71,7 +72,8 @@ def analyze(
 
     Records are never cached: they are scanned once for all per-record checks and
     again, narrow, for duplicates. The issues, far smaller, are read by metrics,
-    counts and reports, so with ``keep`` they are staged once.
+    counts and reports, so with ``keep`` they are staged once. An extra detector
+    may only use the known categories; another one raises UnknownCategory.
     """
     config = config or AnalysisConfig()
     schema, conforming, failure = resolve_schema(dataset, config.schema)
@@ -87,4 +89,9 @@ def analyze(
     for more in streams[1:]:
         issues = issues.unionByName(more)
     issues = stage_table(issues, "issues") if keep else issues
+    if extra_detectors:
+        known = F.col("category").isin(*fixed.ISSUE_CATEGORIES)
+        other = issues.filter(~F.coalesce(known, F.lit(False))).select("category").first()
+        if other is not None:
+            raise UnknownCategory(other.category)
     return Analysis(dataset, issues, compute_metrics(dataset, issues))

@@ -19,7 +19,7 @@ from tamis.sources.ingest import read_records
 class PathAnalysis:
     analysis: Analysis
     report: Report
-    records: DataFrame  # each record with its issues and, if it has any, redactions
+    records: DataFrame  # each record with what its issues are and, if any, its redactions
 
 
 def analyze_path(

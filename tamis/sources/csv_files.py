@@ -49,6 +49,7 @@ def _file_rows(file_ord: int, path: str, uri: str):
     if bytes_problem(uri):
         yield from void_file_rows(fixed.DETAIL_CSV_BYTES)(file_ord, path, uri)
         return
+    csv.field_size_limit(2**31 - 1)  # a cell may be as long as a string
     with open_file(uri) as stream:
         reader = csv.reader(io.TextIOWrapper(stream, encoding="utf-8", newline="\n"))
         header, broken = None, None
@@ -88,7 +89,7 @@ def _plain_rows(spark: SparkSession, lines: DataFrame) -> DataFrame:
     headers = {
         r.file_ord: r.value
         for r in lines.filter("line_number = 1").select("file_ord", "value").collect()
-    }  # one line per file, at most the csv field limit each
+    }  # one line per file
     good, void = [], []
     for file_ord, line in headers.items():
         names = line.split(",") if line else []

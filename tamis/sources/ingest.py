@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis import fixed
 from tamis.dataset import FIELD_DDL, Dataset, TaggedContent, TypedContent
 from tamis.issues import LOC_DDL, PARSE, issue, literal_issues, order_key
 from tamis.sources.csv_files import scan_csv
@@ -113,6 +114,17 @@ def read_records(
                         "fields",
                     )
                 )
+    oversize = [
+        {
+            "category": "parse_error",
+            "loc": (f.path, None, None, None, None),
+            "detail": fixed.ERROR_SIZE.format(f.path, max_file_bytes, f.length),
+            "issue_ord": (PARSE, f.file_ord << ORDER_BITS, 0, 0),
+        }
+        for f in manifest.with_status(OVERSIZE)
+    ]
+    if oversize:
+        issues.append(literal_issues(spark, oversize))
     if not records:
         empty = "rec_ord long, loc " + LOC_DDL + ", fields array<" + FIELD_DDL + ">"
         records.append(spark.createDataFrame([], empty))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tamis.sources.decode import BadBytes, open_file, text_chunks
 from tamis.sources.manifest import Manifest, SourceFile
+from tamis.staging import stage
 
 BROADCAST_SPLITS = 2_000_000
 LINE_DDL = "file_ord int, path string, line_number long, value string"
@@ -53,7 +54,7 @@ def numbered_lines(
 
     Set apart, to be read file by file: files with hidden names or a byte order
     mark, and for CSV files whose lines are not rows (quotes, inner carriage
-    returns, overlong fields). Files with bytes that are not UTF-8 are void.
+    returns). Files with bytes that are not UTF-8 are void.
     """
     none = spark.createDataFrame([], LINE_DDL)
     marked = _marked_files(spark, manifest, files) if files else set()
@@ -71,8 +72,8 @@ def numbered_lines(
         )
         .withColumn("at", F.monotonically_increasing_id())
     )
-    # Quotes, carriage returns before the end, and csv's field size limit.
-    odd = F.col("value").rlike("\"|\r[\\s\\S]") | (F.octet_length("value") > 131_072)
+    # Quotes, and carriage returns before the end.
+    odd = F.col("value").rlike("\"|\r[\\s\\S]")
     splits = text.groupBy("name", "split").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("at").alias("first_at"),
@@ -81,7 +82,7 @@ def numbered_lines(
     )
     before = Window.partitionBy("name").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    starts = starts.persist()  # a few numbers per split, read three times
+    starts = stage(starts)  # a few numbers per split, read three times
     flags = starts.groupBy("name").agg(F.max("bad").alias("bad"), F.max("odd").alias("odd"))
     flagged = {r.name: r for r in flags.filter("bad or odd").collect()}  # at most one per file
     bad = [f for f in usual if f.name in flagged and flagged[f.name].bad]

@@ -69,7 +69,7 @@ def list_files(
 
     A missing path, a folder without any file of a supported format, and a
     single file over the limit are errors. In a folder, files of other formats
-    are skipped and oversize ones set aside.
+    are skipped and ones over the limit, if there is one, set aside; each of them is an issue.
     """
     limit = effective_file_limit(max_file_bytes)
     target, fs = hadoop_path(spark, path)
@@ -87,7 +87,7 @@ def list_files(
     files = []
     for number, (name, length, uri) in enumerate(entries):
         fmt = detect_format(name)
-        status = SKIPPED if fmt is None else OVERSIZE if length > limit else READABLE
+        status = SKIPPED if fmt is None else OVERSIZE if limit is not None and length > limit else READABLE
         shown = path if single else os.path.join(path, name)
         if single and status == OVERSIZE:
             raise FileTooLarge(path, limit, length)

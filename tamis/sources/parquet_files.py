@@ -21,6 +21,7 @@ from tamis.sources.decode import open_file, safe, tagged_record
 from tamis.sources.json_array import scan_whole_files
 from tamis.sources.lines import BROADCAST_SPLITS
 from tamis.sources.manifest import Manifest, SourceFile
+from tamis.staging import stage
 
 ORDER_BITS = 40
 _FOOTER_DDL = (
@@ -145,7 +146,7 @@ def scan_parquet(
     A typed scan has the file columns plus ``_file_ord``, ``_path``,
     ``_row_group``, ``_row_index`` and ``_pos``.
     """
-    found = footers(spark, manifest, files, check).persist()
+    found = stage(footers(spark, manifest, files, check))
     per_file = {
         r.file_ord: r
         for r in found.groupBy("file_ord")

@@ -6,11 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a Parquet table with enough partitions to keep every core busy.
-
-    A scan cannot split a row group. A table of fewer row groups than cores is
-    small, so its rows are spread; larger ones are left as scanned.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Scan a Parquet table."""
+    return spark.read.parquet(path)

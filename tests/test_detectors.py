@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tamis.config import AnalysisConfig, FieldSpec, QualityConfig, Schema, effective_file_limit
 from tamis.dataset import Dataset, TaggedContent, records_from_table
-from tamis.errors import InvalidSchema
+from tamis.errors import InvalidSchema, UnknownCategory
+from tamis.issues import literal_issues
 from tamis.operators.conformance import infer_schema, validate_schema
 from tamis.operators.metrics import category_counts, compute_metrics, flagged_records
 from tamis.operators.quality import detect_quality
@@ -114,8 +115,8 @@ def test_stub_and_column_models(dataset, issues):
     ds = dataset([{"t": "aa"}, {"t": "b"}])
     assert issues(detect_toxicity(ds)) == []
     assert categories(issues, detect_toxicity(ds, StubModel(score=2))) == ["toxicity"] * 2
-    assert categories(issues, detect_toxicity(ds, StubModel(fail=True))) == ["analysis_failure"] * 2
-    by_length = StubModel(score_fn=lambda t: len(t) / 2)
+    assert categories(issues, detect_toxicity(ds, StubModel(unscored=True))) == ["analysis_failure"] * 2
+    by_length = StubModel(expression=lambda t: F.length(t) / 2)
     assert len(issues(detect_toxicity(ds, by_length, 0.6))) == 1
     column = lambda text: F.length(text) / 2
     assert len(issues(detect_toxicity(ds, column, 0.6))) == 1
@@ -247,11 +248,52 @@ def test_analysis_of_nothing(dataset, issues):
     assert result.metrics.first().quality_score == 0.0
 
 
-def test_file_limit_is_clamped():
-    assert effective_file_limit(None) == 5 << 30
-    assert [effective_file_limit(v) for v in (-5, 0, 1 << 20, 1 << 60, (1 << 20) + 7)] == [
-        1 << 20, 1 << 20, 1 << 20, 50 << 30, (1 << 20) + 7,
-    ]
+def test_file_limit_is_the_configured_one_alone():
+    assert [effective_file_limit(v) for v in (None, -5, 0, 7, 1 << 60)] == [None, 0, 0, 7, 1 << 60]
+
+
+class Callable:
+    def score(self, text):
+        return 0.9
+
+    def __call__(self, text):
+        raise AssertionError("not a function of a column")
+
+
+class Batches:
+    def score_batch(self, texts):
+        return [len(t) / 2 for t in texts]
+
+
+def test_model_objects(dataset, issues):
+    ds = dataset([{"t": "aa"}, {"t": "b"}])
+    assert categories(issues, detect_toxicity(ds, Callable())) == ["toxicity"] * 2
+    assert len(issues(detect_toxicity(ds, Batches(), 0.6))) == 1
+
+
+def test_unknown_category_of_an_extra_detector(dataset):
+    odd = lambda ds, config: literal_issues(
+        ds.df.sparkSession, [{"category": "odd", "issue_ord": (2, 0, 0, 0)}]
+    )
+    with pytest.raises(UnknownCategory, match="odd"):
+        analyze(dataset([{"t": "text"}]), extra_detectors=[odd])
+
+
+def test_nested_values_make_different_keys_and_texts(spark):
+    ddl = "i long, a array<timestamp>, b array<array<double>>, c array<struct<x: double, y: string>>, m map<string, int>"
+    day = "2024-01-01 00:00:00."
+    df = spark.range(1).selectExpr(
+        "id AS i", f"array(timestamp'{day}000001') AS a", "array(array(0.5D, null), null) AS b",
+        "array(struct(1e-5D AS x, 'w' AS y)) AS c", "map('k', 1, 'l', 2) AS m",
+    )
+    other = df.selectExpr(f"i + 1 AS i", f"array(timestamp'{day}000002') AS a", "b", "c", "map('l', 2, 'k', 1) AS m")
+    third = df.selectExpr("i + 2 AS i", "a", "array(array(0.5D), null, null) AS b", "c", "m")
+    names = ["a", "b", "c", "m"]
+    ds = records_from_table(df.union(other).union(third).union(df.selectExpr("i + 3 AS i", *names)), names, "i")
+    rows = ds.df.select("rec_ord", ds.content.key().alias("k"), ds.content.text().alias("t")).orderBy("rec_ord").collect()
+    keys = [bytes(r.k) for r in rows]
+    assert len(set(keys)) == 3 and keys[0] == keys[3]
+    assert rows[0].t == "0.5 1e-05 w"
 
 
 def test_per_record_detectors_run_on_a_stream(spark, tmp_path):
