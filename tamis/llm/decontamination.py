@@ -55,6 +55,11 @@ def _with_grams(df: DataFrame) -> DataFrame:
     return df.withColumn("_grams", _gram_hashes(F.col("_h")))
 
 
+def _runs_of(n: int) -> Column:
+    """Hashes of all runs of n words."""
+    return F.transform(_places(F.size("_words") - n), lambda i: F.xxhash64(F.slice("_h", i + 1, n)))
+
+
 def _windows(df: DataFrame, keep: list[str], length: int) -> DataFrame:
     """A row per window of ``length`` words: start, fingerprint and two hashes of its words."""
     n = F.size("_words")
@@ -119,12 +124,7 @@ def contamination(
 
     doc = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(doc_id, text), words_of(text).alias("_words"))
     prints = F.array_distinct(_minima(F.col("_grams"), WINDOW - GRAM + 1)).alias("prints")
-    shorts = [
-        F.array_distinct(F.transform(
-            _places(F.size("_words") - n), lambda i, n=n: F.xxhash64(F.slice("_h", i + 1, n))
-        )).alias(f"short{n}")
-        for n in short
-    ]
+    shorts = [F.array_distinct(_runs_of(n)).alias(f"short{n}") for n in short]
     prepared = stage_table(
         _with_grams(doc).select(
             "doc_id", "row_key", "row_key2", F.size("_words").alias("n_words"), prints, *shorts
