@@ -53,6 +53,12 @@ _SPACED = re.compile(rb"(?<![a-z])[a-z](?:[ ._*-][a-z]){2,}(?![a-z])")
 _STRETCHED = re.compile(rb"([a-z])\1{2,}")
 
 
+def _joined(spaced: re.Match) -> bytes:
+    """Spaced-out letters as a word, and again without the first, which may be a word by itself."""
+    word = bytes(c for c in spaced[0] if 97 <= c <= 122)
+    return word + b" " + word[1:]
+
+
 def fold(text: str) -> str:
     """Words of lower-case ASCII letters with single spaces or more between and around them."""
     text = text.lower()
@@ -63,7 +69,7 @@ def fold(text: str) -> str:
         c for c in text if not unicodedata.combining(c)
     ).encode("ascii", "replace")
     raw = _MIXED.sub(lambda m: m[0].translate(_SIGNS), raw)
-    raw = _SPACED.sub(lambda m: bytes(c for c in m[0] if 97 <= c <= 122), raw)
+    raw = _SPACED.sub(_joined, raw)
     raw = _STRETCHED.sub(rb"\1", raw)
     return (b" " + raw.translate(_LETTERS).translate(_SIGNS) + b" ").decode("ascii")
 
