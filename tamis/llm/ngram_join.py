@@ -8,7 +8,8 @@
    lists too, since a large set may have a smaller partner.
 3. A list of similar sets is not expanded into pairs: each member is compared with a centre of the list,
    and linked ones merge into components, for some rounds. Only what is left of a list, members of
-   different components, is compared pairwise. So all links between components are found.
+   different components, is compared pairwise, as far as the n-grams after the key's leave it possible.
+   So all links between components are found.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ PERCENT = 80  # similarity, in percent
 HELD_POSTINGS = 2_000_000
 # Rounds of comparing members with a centre, at most.
 ROUNDS = 3
+# What an entry of an inverted list costs, a comparison with the list's centre included, in subset keys.
+ENTRY_COST = 3
 # Class sizes are counted in bins that grow by this factor.
 BIN = 1.25
 
@@ -236,16 +239,13 @@ def _bin(n: Column) -> Column:
 def boundary(prefixes: DataFrame, percent: int) -> int:
     """The set size up to which enumerating subsets costs less than scanning lists.
 
-    Costs are keys made for a small set and list entries scanned for a large one, summed over all sets
-    by bins of size (some dozens of rows).
+    Costs are keys made for a small set and list entries made and scanned for a large one, summed over
+    all sets by bins of size (some dozens of rows).
     """
     size = F.size("prefix")
-    scanned = F.aggregate(
-        F.slice("prefix", 1, F.col("room")), F.lit(0).cast("long"), lambda acc, x: acc + x["df"]
-    )
     costs = (
         prefixes.groupBy(_bin(F.col("n")).alias("bin"))
-        .agg(F.sum(size * (size - 1) / 2).alias("light"), F.sum(scanned).alias("heavy")).collect()
+        .agg(F.sum(size * (size - 1) / 2).alias("light"), F.sum(ENTRY_COST * F.col("room")).alias("heavy")).collect()
     )
     light = {r["bin"]: float(r["light"]) for r in costs}
     heavy = {r["bin"]: float(r["heavy"]) for r in costs}
@@ -258,22 +258,35 @@ def boundary(prefixes: DataFrame, percent: int) -> int:
 
 
 def _members(prefixes: DataFrame, edge: int, percent: int) -> DataFrame:
-    """List entries (key, node, n, weight): subsets of small sets, single n-grams of the others."""
+    """List entries (key, node, n, weight, rest): subsets of small sets, single n-grams of the others.
+
+    ``rest`` is the most that the set can share with one whose first common n-grams are the key's: these
+    and what comes after them.
+    """
     weight = F.aggregate("prefix", F.lit(0).cast("long"), lambda acc, x: acc + x["df"]) / F.col("n")
-    grams = F.transform("prefix", lambda x: x["gram"])
-    both = prefixes.select("node", "n", weight.alias("weight"), grams.alias("grams"), "room")
+    least = F.ceil(F.col("n") * percent / 100)
+    shared = least - 1 + F.col("room")  # all n-grams of the set that others have, too
+    grams = F.transform(
+        "prefix", lambda x, i: F.struct(x["gram"].alias("key"), (F.col("shared") - i).alias("rest"))
+    )
+    both = prefixes.withColumn("shared", shared).select(
+        "node", "n", weight.alias("weight"), grams.alias("grams"), "room"
+    )
     pairs = F.flatten(
         F.transform(
             "grams",
             lambda x, i: F.transform(
                 F.slice("grams", i + 2, F.size("grams")),
-                lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y), F.lit("pair")),
+                lambda y: F.struct(
+                    F.xxhash64(F.least(x["key"], y["key"]), F.greatest(x["key"], y["key"]), F.lit("pair")).alias("key"),
+                    (y["rest"] + 1).alias("rest"),
+                ),
             ),
         )
     )
-    light = both.where(F.col("n") <= edge).select("node", "n", "weight", F.explode(pairs).alias("key"))
-    heavy = both.where((F.col("n") * 100 > edge * percent) ).select(
-        "node", "n", "weight", F.explode(F.slice("grams", 1, F.col("room"))).alias("key")
+    light = both.where(F.col("n") <= edge).select("node", "n", "weight", F.inline(pairs))
+    heavy = both.where(F.col("n") * 100 > edge * percent).select(
+        "node", "n", "weight", F.inline(F.slice("grams", 1, F.col("room")))
     )
     found = stage_table(light.unionByName(heavy), "entries")
     lists = found.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
@@ -289,8 +302,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").where(common * 100 >= union * percent).select("a", "b")
 
 
-def _close(n: str, m: str, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _possible(percent: int) -> Column:
+    """Whether sets of n and m, which share at most ``rest`` and ``rest_b``, can be similar."""
+    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return sizes & (F.least("rest", "rest_b") * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
 
 
 def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -301,20 +316,25 @@ def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         placed = members.join(comps, "node")
         rank = F.col("weight") if turn == 0 else F.xxhash64("node", F.lit(turn))
         lists = placed.groupBy("key").agg(
-            F.max(F.struct(rank.alias("rank"), "node", "n", "comp")).alias("centre"),
+            F.max(F.struct(rank.alias("rank"), "node", "n", "comp", "rest")).alias("centre"),
             F.min("comp").alias("low"), F.max("comp").alias("high"),
         ).where("low < high")
         if turn < ROUNDS:
             lists = lists.select(
-                "key", F.col("centre.node").alias("b"), F.col("centre.n").alias("m"), F.col("centre.comp").alias("comp_b")
+                "key", F.col("centre.node").alias("b"), F.col("centre.n").alias("m"),
+                F.col("centre.comp").alias("comp_b"), F.col("centre.rest").alias("rest_b"),
             )
             pairs = placed.join(lists, "key")
         else:  # what is left: members of different components
             placed = placed.join(lists.select("key"), "key")
             pairs = placed.join(
-                placed.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b")), "key"
+                placed.select(
+                    "key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"),
+                    F.col("rest").alias("rest_b"),
+                ),
+                "key",
             )
-        pairs = pairs.where((F.col("comp") != F.col("comp_b")) & _close("n", "m", percent)).select(
+        pairs = pairs.where((F.col("comp") != F.col("comp_b")) & _possible(percent)).select(
             F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")
         ).distinct()
         if tested is not None:
