@@ -20,6 +20,15 @@ from tamis.staging import stage_table
 FIRST = -(2**63)
 
 
+def duplicate_features(dataset: Dataset) -> DataFrame:
+    """What duplicate detection needs of each record: ``rec_ord, loc, key, rec_idx``.
+
+    Staged, so that contents are digested and records numbered once, in one scan.
+    """
+    rows = dataset.df.select("rec_ord", "loc", dataset.content.key().alias("key"))
+    return stage_table(record_positions(stage_table(rows, "keys")), "features")
+
+
 def exact_groups(dataset: Dataset) -> DataFrame:
     """Per distinct content: ``key``, first ``rec_ord`` and number of records.
 
@@ -33,40 +42,38 @@ def exact_groups(dataset: Dataset) -> DataFrame:
     )
 
 
-def exact_copies(dataset: Dataset, extra: DataFrame | None = None) -> DataFrame:
-    """Records equal to an earlier one: ``rec_ord``, ``first_ord`` and group columns.
-
-    ``extra`` may add columns per ``first_ord`` before the groups are attached.
-    """
+def exact_copies(dataset: Dataset) -> DataFrame:
+    """Records equal to an earlier one: ``rec_ord``, ``first_ord``, ``n_records``."""
     groups = exact_groups(dataset).filter("n_records > 1")
-    if extra is not None:
-        groups = groups.join(extra, "first_ord")
     rows = dataset.df.select(dataset.content.key().alias("key"), "rec_ord")
     found = attach_by_key(rows, groups, "key", "n_records", "rec_ord")
     return found.filter("first_ord is not null and rec_ord <> first_ord").drop("key")
 
 
-def _positions(dataset: Dataset) -> DataFrame:
-    return record_positions(dataset.df.select("rec_ord", "loc"))
-
-
-def _renamed(positions: DataFrame, prefix: str) -> DataFrame:
-    return positions.select(
-        F.col("rec_ord").alias(f"{prefix}_ord"),
-        F.col("rec_idx").alias(f"{prefix}_idx"),
-        F.col("loc").alias(f"{prefix}_loc"),
+def located_copies(features: DataFrame) -> DataFrame:
+    """Copies with position and location of their own and of the first record."""
+    groups = (
+        features.groupBy("key")
+        .agg(
+            F.min("rec_ord").alias("first_ord"),
+            F.count(F.lit(1)).alias("n_records"),
+            F.min_by(F.struct("rec_idx", "loc"), "rec_ord").alias("first"),
+        )
+        .filter("n_records > 1")
+        .select(
+            "key", "first_ord", "n_records", F.col("first.rec_idx").alias("first_idx"),
+            F.col("first.loc").alias("first_loc"),
+        )
     )
-
-
-def located_copies(dataset: Dataset) -> DataFrame:
-    """``exact_copies`` with position and location of the first record."""
-    return exact_copies(dataset, _renamed(_positions(dataset), "first"))
+    groups = stage_table(groups, "groups")
+    found = attach_by_key(features, groups, "key", "n_records", "rec_ord")
+    return found.filter("first_ord is not null and rec_ord <> first_ord").drop("key")
 
 
 def exact_duplicate_issues(dataset: Dataset, copies: DataFrame | None = None) -> DataFrame:
     """One issue per record whose content occurred before, pointing at the first."""
-    copies = located_copies(dataset) if copies is None else copies
-    return copies.join(_positions(dataset), "rec_ord").select(
+    copies = located_copies(duplicate_features(dataset)) if copies is None else copies
+    return copies.select(
         issue(
             "duplicate",
             order_key(DUPLICATES, F.col("rec_ord"), F.col("first_ord")),
@@ -86,7 +93,7 @@ def near_duplicate_pairs(
     ``rec_ord`` is always a first occurrence; ``other_ord`` is any earlier record
     with different content, so a copy of similar content counts again.
     """
-    pairs = similar_pairs(dataset, threshold)
+    pairs = stage_table(similar_pairs(dataset, threshold), "pairs")
     firsts = pairs.select(
         F.col("later_ord").alias("rec_ord"), F.col("earlier_ord").alias("other_ord"), "score"
     )
@@ -103,11 +110,18 @@ def near_duplicate_pairs(
 
 
 def near_duplicate_issues(
-    dataset: Dataset, threshold: float, copies: DataFrame | None = None
+    dataset: Dataset,
+    threshold: float,
+    copies: DataFrame | None = None,
+    features: DataFrame | None = None,
 ) -> DataFrame:
-    positions = _positions(dataset)
+    if features is None:
+        features = duplicate_features(dataset)
     pairs = near_duplicate_pairs(dataset, threshold, copies)
-    placed = pairs.join(positions, "rec_ord").join(_renamed(positions, "other"), "other_ord")
+    other = features.select(
+        F.col("rec_ord").alias("other_ord"), F.col("rec_idx").alias("other_idx"), F.col("loc").alias("other_loc")
+    )
+    placed = pairs.join(features.drop("key"), "rec_ord").join(other, "other_ord")
     return placed.select(
         issue(
             "near_duplicate",
@@ -134,9 +148,10 @@ def detect_duplicates(
     effective, rejected = checked_threshold(
         "similarity_threshold", threshold, fixed.DEFAULT_SIMILARITY_THRESHOLD
     )
-    copies = stage_table(located_copies(dataset), "copies")
+    features = duplicate_features(dataset)
+    copies = stage_table(located_copies(features), "copies")
     found = exact_duplicate_issues(dataset, copies).unionByName(
-        near_duplicate_issues(dataset, effective, copies)
+        near_duplicate_issues(dataset, effective, copies, features)
     )
     if rejected:
         found = found.unionByName(
