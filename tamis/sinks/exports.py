@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.dataset import Dataset, TypedContent
+from tamis.operators.numbering import record_positions
 from tamis.errors import MixedTypes, UnrepresentableValue, UnsupportedFormat
 from tamis.functions.numbers import float_text
 from tamis.sinks.files import name_parts
@@ -170,6 +171,19 @@ def _framed(batches):
         yield pa.RecordBatch.from_pydict({"value": pa.array(["]"], pa.string())})
 
 
+def _first_beyond_64_bits(dataset: Dataset) -> tuple[int, str] | None:
+    """Position and field of the first integer that a Parquet column cannot hold."""
+    if isinstance(dataset.content, TypedContent):
+        return None
+    fields = dataset.df.select("rec_ord", F.explode("fields").alias("f"))
+    wide = fields.filter("f.type = 'integer' and try_cast(f.json as bigint) is null")
+    first = wide.agg(F.min(F.struct("rec_ord", F.col("f.name").alias("field"))).alias("first")).first().first
+    if first is None:
+        return None
+    positions = record_positions(dataset.df.select("rec_ord"))
+    return positions.filter(F.col("rec_ord") == first.rec_ord).first().rec_idx, first.field
+
+
 def export_records(dataset: Dataset, fmt: str, path: str) -> list[str]:
     """Write the records to the folder ``path`` and list the part files.
 
@@ -178,6 +192,8 @@ def export_records(dataset: Dataset, fmt: str, path: str) -> list[str]:
     if fmt not in FORMATS:
         raise UnsupportedFormat(fmt)
     offence = first_unrepresentable(dataset, fmt)
+    if not offence and fmt == "parquet":
+        offence = _first_beyond_64_bits(dataset)
     if offence:
         raise UnrepresentableValue(*offence, fmt)
     spark = dataset.df.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,16 +39,19 @@ def shared_folder(spark: SparkSession) -> str:
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Where that is
     unset, a local session takes a temporary folder and a cluster session a
-    folder in the shared warehouse.
+    folder in the warehouse, if that is not on the driver's own disk.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and context.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="tamis-stage-")
-        context.setCheckpointDir(
-            folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-        )
+        if not folder:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if not re.match(r"[a-z0-9]{2,}://?", warehouse) or warehouse.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = warehouse.rstrip("/") + "/_staged"
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

@@ -392,3 +392,12 @@ def test_numbers_and_text_of_typed_records(spark):
     types = [(t.name, t.type) for t in ds.df.select(ds.content.field_types()).first()[0]]
     assert types == [("n", "integer"), ("f", "float"), ("l", "list"), ("o", "object"), ("v", "list"),
                      ("b", "boolean"), ("t", "object"), ("m", "list")]
+
+
+def test_integers_beyond_64_bits_stop_a_parquet_export(spark, folder, tmp_path):
+    path = folder(a__jsonl='{"n": 1}\n' + '{"n": %d}\n' % 2**70)
+    target = str(tmp_path / "out")
+    with pytest.raises(UnrepresentableValue) as caught:
+        export_records(read_records(spark, path), "parquet", target)
+    assert "'n'" in str(caught.value) and "index 1" in str(caught.value)
+    assert not (tmp_path / "out").exists()
