@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.staging import new_folder
+
 # A task works on texts in slices of about this many bytes, so its memory does not follow the table.
 SLICE_BYTES = 4_000_000
 
@@ -43,3 +46,23 @@ def text_slices(
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def stage_for_now(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As stage_table, with the folder for ``discard``."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Remove staged tables that no later step reads, and shuffle files of finished jobs.
+
+    Spark removes those when the driver's garbage is collected, which may be long after the next
+    large shuffle.
+    """
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # the Python side holds Java objects
+    spark._jvm.System.gc()

@@ -5,11 +5,13 @@ show: each string of 100 bytes has an anchor, the place of the smallest hash of
 equal strings have equal anchors. An anchor with the strings that it stands for is one suffix: the bytes
 from the anchor on, then those before it.
 
-1. Anchors whose gram occurs once are dropped (a counting shuffle of hashes).
-2. Each task sorts the suffixes of its texts into runs with the lengths of common prefixes. Runs are
-   front-coded (what a suffix has in common with the one before is not sent), cut at sampled splitters
-   and exchanged. Loser trees merge the runs; they carry common prefixes along and never compare known
-   ones again. A suffix equal to an earlier one has all its strings removed.
+1. Texts that are whole copies of an earlier one go. Anchors whose gram occurs once are dropped (a
+   counting shuffle of hashes).
+2. Each task sorts the suffixes of its texts into runs with the lengths of common prefixes. A suffix is
+   sent as a prefix that tells most of them apart and a fingerprint of the whole. Runs are front-coded
+   (what a suffix has in common with the one before is not sent), cut at sampled splitters and exchanged.
+   Loser trees merge the runs; they carry common prefixes along and never compare known ones again. A
+   suffix equal to an earlier one has all its strings removed.
 3. Suffixes next to a different one with the same gram may share only some strings. These strings, where
    their middle parts occur twice, are compared by themselves.
 """
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tamis.llm.common import text_slices
+from tamis.llm.common import discard, stage_for_now, text_slices
 from tamis.llm.hashing import BYTE_VALUES, mixed
+from tamis.llm.prefix import running_sums
 from tamis.staging import stage_table
 
 LENGTH = 100  # bytes of a string that is removed where it is repeated
@@ -38,14 +41,16 @@ GRAMS = LENGTH - GRAM + 1  # in a string
 # Window starts of a text that are looked at together; places fit into 24 bits.
 PIECE = 1 << 20
 HELD_ANCHORS = 2_000_000  # of a task before it sends them
-BLOCK = 512  # suffixes of a run that are one row
-HELD_SUFFIXES = 200_000  # in a sorted run of a task (some 200 bytes each)
-SAMPLES = 16  # block starts per destination from which splitters are taken
+HELD_STRINGS = 2_000_000  # of a task before it sends them
+HELD_SUFFIXES = 400_000  # in a sorted run of a task (some 200 bytes each)
+PREFIX = 40  # bytes of a suffix that are sent with its fingerprint
+SAMPLES = 16  # suffixes per destination from which splitters are taken
+SAMPLED = 1024  # of so many anchors one may be a sample
 HALF = (GRAMS + 1) // 2  # strings are told apart by anchor offsets below and from here
 _MULTIPLIERS = [np.uint64(m) for m in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 # What is known of an anchor: row (counted from a base), first string's start, strings, offset in the first.
-ANCHOR = np.dtype([("row", "<u4"), ("start", "<u8"), ("n", "u1"), ("offset", "u1")])
+ANCHOR = np.dtype([("row", "<u4"), ("start", "<u4"), ("n", "u1"), ("offset", "u1")])
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -92,8 +97,11 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-_POSTED = "bucket int, row long, doc_id long, text_key long, base long, keys binary, anchors binary"
-_ANCHORED = "row long, doc_id long, text_key long, anchors binary"
+_POSTED = (
+    "bucket int, row long, doc_id long, text_key long, digest binary, n_bytes long, sample binary, "
+    "base long, keys binary, anchors binary"
+)
+_ANCHORED = "row long, doc_id long, text_key long, digest binary, n_bytes long, sample binary, anchors binary"
 
 
 def _post_anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -138,18 +146,26 @@ def _post_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         held = 0
         for part in text_slices(batches, "text"):
             numbers = np.arange(row, row + part.num_rows)
+            texts = [(t or "").encode() for t in part["text"].to_pylist()]
             yield _rows(
                 schema, part.num_rows, bucket=(numbers % buckets).astype(np.int32), row=numbers,
                 doc_id=part["doc_id"].combine_chunks(), text_key=part["text_key"].combine_chunks(),
+                digest=[hashlib.blake2b(t, digest_size=16).digest() for t in texts], n_bytes=[len(t) for t in texts],
             )
-            for number, text in zip(numbers.tolist(), part["text"].to_pylist(), strict=True):
-                key, start, n, offset = anchors((text or "").encode())
+            samples: list[bytes] = []
+            for number, data in zip(numbers.tolist(), texts, strict=True):
+                key, start, n, offset = anchors(data)
+                for i in np.flatnonzero(key % np.uint64(SAMPLED) == 0).tolist():
+                    at = int(start[i] + offset[i])
+                    samples.append(data[at : at + PREFIX])
                 if len(key):
                     anchor = np.zeros(len(key), ANCHOR)
                     anchor["row"], anchor["start"], anchor["n"], anchor["offset"] = number - base, start, n, offset
                     keys.append(key)
                     found.append(anchor)
                     held += len(key)
+            if samples:
+                yield _rows(schema, len(samples), bucket=[row % buckets] * len(samples), sample=samples)
             row += part.num_rows
             if held >= HELD_ANCHORS:
                 yield emit()
@@ -161,13 +177,13 @@ def _post_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _shared_anchors(posted: DataFrame) -> DataFrame:
-    """Rows of documents as they are, and per document (in parts) the anchors with a shared gram."""
+    """Rows of documents and samples as they are, and per document, in parts, its anchors with a shared gram."""
     schema = _schema(_ANCHORED)
 
     def shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        of_docs = table.filter(table["row"].is_valid())
-        parts = [of_docs.select(schema.names).cast(schema)]
-        sent = table.filter(table["row"].is_null())
+        posted = table["keys"].is_valid()
+        parts = [table.filter(pa.compute.invert(posted)).select(schema.names).cast(schema)]
+        sent = table.filter(posted)
         keys, bases, found = [], [], []
         for base, k, a in zip(sent["base"].to_pylist(), sent["keys"].to_pylist(), sent["anchors"].to_pylist(), strict=True):
             own = np.frombuffer(k, np.uint32)
@@ -282,9 +298,9 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
         winner = contender
 
 
-# A row is a block of a run (first: its first suffix), or strings that are removed.
-_RUN = "first binary, run long, common binary, rests binary, lengths binary, places binary, row long, start long, end long"
-PLACE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i8"), ("n", "u1"), ("offset", "u1")])
+# A record is what a run has for a destination, or strings that are removed.
+_SENT = "to int, run long, common binary, rests binary, lengths binary, places binary, ord long, start long, end long"
+PLACE = np.dtype([("ord", "<i8"), ("start", "<u4"), ("n", "u1"), ("offset", "u1")])
 
 
 def suffix_of(data: bytes, start: int, n: int, offset: int) -> bytes:
@@ -293,9 +309,17 @@ def suffix_of(data: bytes, start: int, n: int, offset: int) -> bytes:
     return data[at : start + n - 1 + LENGTH] + data[start:at] + bytes((n, offset))
 
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """Sorted runs of the suffixes of each task, in blocks; later copies within a task are removed."""
-    schema = _schema(_RUN)
+def _short(suffix: bytes) -> bytes:
+    """A prefix and a fingerprint; equal for equal suffixes alone."""
+    return suffix[:PREFIX] + hashlib.blake2b(suffix, digest_size=12).digest()
+
+
+def _send_runs(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
+    """Sorted runs of the suffixes of each task, cut at the splitters; copies within a run are removed.
+
+    ``texts``: ord (the place in the order of documents), text and anchors.
+    """
+    schema = _schema(_SENT)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = TaskContext.get().partitionId() << 20
@@ -305,30 +329,29 @@ def _runs(texts: DataFrame) -> DataFrame:
             held.sort()
             kept, gone = [], []
             for item in held:  # the earliest of equal suffixes comes first
-                if kept and item[0] == kept[-1][0]:
-                    gone.append(item[1])
-                else:
-                    kept.append(item)
-            for a in range(0, len(kept), BLOCK):
-                block = kept[a : a + BLOCK]
-                common, rests, lengths = front_coded([s for s, _ in block])
-                yield _rows(
-                    schema, 1, first=[block[0][0]], run=[run], common=[common.tobytes()], rests=[rests],
-                    lengths=[lengths.tobytes()], places=[np.array([p for _, p in block], PLACE).tobytes()],
-                )
+                (gone if kept and item[0] == kept[-1][0] else kept).append(item)
+            suffixes = [s for s, _ in kept]
+            cuts = [0, *(bisect.bisect_left(suffixes, s) for s in splitters), len(suffixes)]
+            for to, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    common, rests, lengths = front_coded(suffixes[a:b])
+                    yield _rows(
+                        schema, 1, to=[to], run=[run], common=[common.tobytes()], rests=[rests],
+                        lengths=[lengths.tobytes()], places=[np.array([p for _, p in kept[a:b]], PLACE).tobytes()],
+                    )
             if gone:
                 yield _rows(
-                    schema, len(gone), row=[p[1] for p in gone], start=[p[2] for p in gone],
-                    end=[p[2] + p[3] - 1 + LENGTH for p in gone],
+                    schema, len(gone), to=[i % (len(splitters) + 1) for i in range(len(gone))],
+                    ord=[p[0] for _, p in gone], start=[p[1] for _, p in gone],
+                    end=[p[1] + p[2] - 1 + LENGTH for _, p in gone],
                 )
 
         for part in text_slices(batches, "text"):
-            for doc, row, text, sets in zip(*[part[c].to_pylist() for c in ("doc_id", "row", "text", "anchors")], strict=True):
+            for order, text, sets in zip(*[part[c].to_pylist() for c in ("ord", "text", "anchors")], strict=True):
                 data = text.encode()
-                doc = -(2**63) if doc is None else doc
                 for own in sets:
                     for _, start, n, offset in np.frombuffer(own, ANCHOR).tolist():
-                        held.append((suffix_of(data, start, n, offset), (doc, row, start, n, offset)))
+                        held.append((_short(suffix_of(data, start, n, offset)), (order, start, n, offset)))
                 if len(held) >= HELD_SUFFIXES:
                     yield from emit()
                     held.clear()
@@ -339,92 +362,74 @@ def _runs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(build, from_arrow_schema(schema))
 
 
-_SENT = "to int, run long, first binary, common binary, rests binary, lengths binary, places binary"
-
-
-def _exchange(blocks: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """Cut blocks at the splitters; ``to`` is the destination."""
-    schema = _schema(_SENT)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[] for _ in schema]
-            for r in batch.to_pylist():
-                common, lengths = np.frombuffer(r["common"], np.uint8), np.frombuffer(r["lengths"], np.uint8)
-                suffixes = decoded(common, r["rests"], lengths)
-                places = np.frombuffer(r["places"], PLACE)
-                to, a = bisect.bisect_right(splitters, suffixes[0]), 0
-                while a < len(suffixes):
-                    b = bisect.bisect_left(suffixes, splitters[to], a) if to < len(splitters) else len(suffixes)
-                    if b > a:
-                        own = front_coded(suffixes[a:b]) if a else (
-                            common[:b], r["rests"][: int(lengths[:b].astype(np.int64).sum())], lengths[:b]
-                        )
-                        values = (to, r["run"], suffixes[a], own[0].tobytes(), own[1], own[2].tobytes(), places[a:b].tobytes())
-                        for column, value in zip(rows, values, strict=True):
-                            column.append(value)
-                    a, to = b, to + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
-
-    return blocks.mapInArrow(cut, from_arrow_schema(schema))
-
-
-# A row is a range of bytes that is removed, or a suffix (with its place) that may share some strings.
-_MERGED = "doc_id long, row long, start long, end long, n int, offset int, suffix binary"
+# A row is a range of bytes that is removed, or a suffix (n is given) that may share some strings.
+_MERGED = "ord long, start long, end long, n int, offset int"
 
 
 def _merge(sent: DataFrame) -> DataFrame:
     schema = _schema(_MERGED)
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        runs: dict[int, list[tuple]] = {}
-        for r in table.to_pylist():
-            runs.setdefault(r["run"], []).append((r["first"], r))
+        local = table["run"].is_null()
+        removed = table.filter(local)
         inputs, places = [], []
-        for run in sorted(runs):
-            suffixes: list[bytes] = []
-            common: list[int] = []
-            own = []
-            for _, r in sorted(runs[run], key=lambda x: x[0]):
-                prefixes = np.frombuffer(r["common"], np.uint8).tolist()
-                block = decoded(np.frombuffer(r["common"], np.uint8), r["rests"], np.frombuffer(r["lengths"], np.uint8))
-                if suffixes:
-                    prefixes[0] = prefix_from(suffixes[-1], block[0], 0)
-                suffixes += block
-                common += prefixes
-                own += np.frombuffer(r["places"], PLACE).tolist()
-            inputs.append((suffixes, common))
-            places.append(own)
+        for r in table.filter(pa.compute.invert(local)).to_pylist():
+            common = np.frombuffer(r["common"], np.uint8)
+            inputs.append((decoded(common, r["rests"], np.frombuffer(r["lengths"], np.uint8)), common.tolist()))
+            places.append(np.frombuffer(r["places"], PLACE).tolist())
         gone: list[tuple] = []
-        kept: list[list] = []  # suffix, earliest place, whether a neighbour has its gram
-        for run, at, common in merged(inputs):
-            suffix, place = inputs[run][0][at], places[run][at]
-            if kept and common == len(suffix) == len(kept[-1][0]):
-                earlier, later = sorted((kept[-1][1], place))
-                kept[-1][1] = earlier
+        kept: list[list] = []  # earliest place, whether a neighbour has its gram
+        before = -1
+        for run, at, common in merged(inputs) if inputs else ():
+            place, size = places[run][at], len(inputs[run][0][at])
+            if common == size == before:
+                earlier, later = sorted((kept[-1][0], place))
+                kept[-1][0] = earlier
                 gone.append(later)
                 continue
+            before = size
             near = bool(kept) and common >= GRAM
             if near:
-                kept[-1][2] = True
-            kept.append([suffix, place, near])
+                kept[-1][1] = True
+            kept.append([place, near])
         if kept:  # the neighbours of the ends are elsewhere
-            kept[0][2] = kept[-1][2] = True
-        part = [(p, s) for s, p, near in kept if near]
-        rows = [(doc, row, start, start + n - 1 + LENGTH, n, offset, None) for doc, row, start, n, offset in gone]
-        rows += [(doc, row, start, None, n, offset, suffix) for (doc, row, start, n, offset), suffix in part]
-        return pa.table(
-            [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema
-        )
+            kept[0][1] = kept[-1][1] = True
+        rows = [(order, start, start + n - 1 + LENGTH, None, None) for order, start, n, _ in gone]
+        rows += [(order, start, None, n, offset) for (order, start, n, offset), near in kept if near]
+        rows += zip(*[removed[c].to_pylist() for c in ("ord", "start", "end")], [None] * len(removed), [None] * len(removed), strict=True)
+        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return sent.groupBy("to").applyInArrow(merge, from_arrow_schema(schema))
 
 
+_PART = "ord long, start long, suffix binary"
+
+
+def _parts(texts: DataFrame) -> DataFrame:
+    """The suffixes of the places (``near``) in texts."""
+    schema = _schema(_PART)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            rows = [
+                (order, p["start"], suffix_of(data, p["start"], p["n"], p["offset"]))
+                for order, data, near in zip(
+                    part["ord"].to_pylist(), (t.encode() for t in part["text"].to_pylist()), part["near"].to_pylist(), strict=True
+                )
+                for p in near
+            ]
+            yield _rows(schema, len(rows), **{c: [r[k] for r in rows] for k, c in enumerate(schema.names)})
+
+    return texts.select("ord", "text", "near").mapInArrow(build, from_arrow_schema(schema))
+
+
 # Strings of suffixes that are alike in part
 
 
-_MIDDLE = "middle long, row long, start long, half int"
-_STRING = "string long, string2 long, doc_id long, row long, at long"
+_MIDDLE = "middle long, ord long, start long, half int"
+# Strings for a bucket, or ranges that are removed.
+_STRINGS = "bucket int, strings binary, ord long, start long, end long"
+STRING = np.dtype([("hash", "<u8"), ("hash2", "<u4"), ("ord", "<i8"), ("at", "<u4")])
 
 
 def _matrix(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -466,7 +471,7 @@ def _middles(parts: DataFrame) -> DataFrame:
             matrix, n, offset = _matrix(batch.column("suffix").to_pylist())
             size = LENGTH - HALF + 1
             hashes = _rolling(matrix, size, 1)
-            rows, starts = batch.column("row").to_numpy(), batch.column("start").to_numpy()
+            order, starts = batch.column("ord").to_numpy(), batch.column("start").to_numpy()
             for half in (0, 1):
                 # strings of the half: anchor offsets from half * HALF on, below (half + 1) * HALF
                 low = offset - n + 1
@@ -474,18 +479,50 @@ def _middles(parts: DataFrame) -> DataFrame:
                 at = np.flatnonzero(has)
                 middle = hashes[at, offset[at] - half * HALF] ^ np.uint64(half)
                 yield _rows(
-                    schema, len(at), middle=middle.view(np.int64), row=rows[at], start=starts[at],
+                    schema, len(at), middle=middle.view(np.int64), ord=order[at], start=starts[at],
                     half=np.full(len(at), half, np.int32),
                 )
 
-    return parts.select("row", "start", "suffix").mapInArrow(build, from_arrow_schema(schema))
+    return parts.select("ord", "start", "suffix").mapInArrow(build, from_arrow_schema(schema))
 
 
-def _strings(parts: DataFrame) -> DataFrame:
-    """The strings, hashed, of suffixes with their halves."""
-    schema = _schema(_STRING)
+def _firsts(strings: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The earliest of equal strings, and the ranges (ord, start, end) of all others."""
+    strings = np.sort(strings, order=["hash", "hash2", "ord", "at"])
+    same = (strings["hash"][1:] == strings["hash"][:-1]) & (strings["hash2"][1:] == strings["hash2"][:-1])
+    later = np.concatenate([[False], same])
+    gone = np.sort(strings[later], order=["ord", "at"])
+    if not len(gone):
+        return strings[~later], []
+    at = gone["at"].astype(np.int64)
+    new = np.concatenate([[True], (gone["ord"][1:] != gone["ord"][:-1]) | (at[1:] > at[:-1] + LENGTH)])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(gone)) - 1
+    ranges = zip(gone["ord"][first].tolist(), at[first].tolist(), (at[last] + LENGTH).tolist(), strict=True)
+    return strings[~later], list(ranges)
+
+
+def _send_strings(parts: DataFrame, buckets: int) -> DataFrame:
+    """The hashed strings of suffixes with their halves; of a task's equal ones only the earliest."""
+    schema = _schema(_STRINGS)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            kept, gone = _firsts(np.concatenate(held))
+            to = (kept["hash"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            to, kept = to[order], kept[order]
+            spans = _cuts(to)
+            yield _rows(
+                schema, len(spans), bucket=[int(to[a]) for a, _ in spans], strings=[kept[a:b].tobytes() for a, b in spans]
+            )
+            if gone:
+                columns = {c: [g[k] for g in gone] for k, c in enumerate(("ord", "start", "end"))}
+                yield _rows(schema, len(gone), bucket=[g[0] % buckets for g in gone], **columns)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -494,33 +531,60 @@ def _strings(parts: DataFrame) -> DataFrame:
             place = np.arange(hashes.shape[1])
             half = batch.column("half").to_numpy()[:, None]
             of = offset[:, None] - place
-            inside = (place < n[:, None]) & (of >= half * HALF) & (of < (half + 1) * HALF)
-            at, string = np.nonzero(inside)
-            yield _rows(
-                schema, len(at), string=hashes[at, string].view(np.int64), string2=hashes2[at, string].view(np.int64),
-                doc_id=batch.column("doc_id").to_numpy()[at], row=batch.column("row").to_numpy()[at],
-                at=batch.column("start").to_numpy()[at] + string,
-            )
+            at, string = np.nonzero((place < n[:, None]) & (of >= half * HALF) & (of < (half + 1) * HALF))
+            own = np.zeros(len(at), STRING)
+            own["hash"], own["hash2"] = hashes[at, string], hashes2[at, string] >> np.uint64(32)
+            own["ord"] = batch.column("ord").to_numpy()[at]
+            own["at"] = batch.column("start").to_numpy()[at] + string
+            held.append(own)
+            count += len(own)
+            if count >= HELD_STRINGS:
+                yield from emit()
+                held.clear()
+                count = 0
+        if count:
+            yield from emit()
+
+    return parts.select("ord", "start", "suffix", "half").mapInArrow(build, from_arrow_schema(schema))
+
+
+def _later_strings(sent: DataFrame) -> DataFrame:
+    schema = _schema("ord long, start long, end long")
+
+    def later(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ranges = table.filter(table["ord"].is_valid()).select(schema.names).cast(schema)
+        packed = table.filter(table["strings"].is_valid())["strings"].to_pylist()
+        gone = _firsts(np.concatenate([np.frombuffer(x, STRING) for x in packed]))[1] if packed else []
+        columns = {c: [g[k] for g in gone] for k, c in enumerate(schema.names)}
+        return pa.concat_tables([ranges, pa.Table.from_batches([_rows(schema, len(gone), **columns)])])
 
-    return parts.select("doc_id", "row", "start", "suffix", "half").mapInArrow(build, from_arrow_schema(schema))
+    return sent.groupBy("bucket").applyInArrow(later, from_arrow_schema(schema))
 
 
-def _partly_repeated(parts: DataFrame) -> DataFrame:
-    """Strings of these suffixes that also begin earlier: row, start, end."""
-    middles = stage_table(_middles(parts), "middles")
+def _partly_repeated(parts: DataFrame, buckets: int) -> DataFrame:
+    """Ranges of strings of these suffixes that also begin earlier: ord, start, end."""
+    middles, folder = stage_for_now(_middles(parts), "middles")
     twice = middles.groupBy("middle").agg(F.count("*").alias("n")).where("n > 1").select("middle")
-    wanted = middles.join(twice, "middle").select("row", "start", "half")
-    strings = stage_table(_strings(parts.join(wanted, ["row", "start"])), "strings")
-    first = strings.groupBy("string", "string2").agg(
-        F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count("*").alias("n")
-    ).where("n > 1")
-    later = strings.join(first, ["string", "string2"]).where(F.struct("doc_id", "row", "at") > F.col("first"))
-    return later.select("row", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
+    wanted = middles.join(twice, "middle").select("ord", "start", "half")
+    found = stage_table(_later_strings(_send_strings(parts.join(wanted, ["ord", "start"]), buckets)), "later")
+    discard(parts.sparkSession, folder)
+    return found
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
 
+def _union(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of ranges that touch or overlap."""
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    starts, reached = starts[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] > reached[:-1]]))
+    last = np.append(first[1:], len(starts)) - 1
+    return list(zip(starts[first].tolist(), reached[last].tolist(), strict=True))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Remove every byte that a 100-byte string covers which also begins earlier.
 
@@ -537,56 +601,73 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")
     )
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stage_table(_shared_anchors(_post_anchors(docs, 2 * shuffles)), "anchors")
-    rows = found.where(F.col("text_key").isNotNull()).select("row", "doc_id", "text_key")
+    found, anchors_at = stage_for_now(_shared_anchors(_post_anchors(docs, 2 * shuffles)), "anchors")
+    discard(spark)
+    rows = found.where(F.col("n_bytes").isNotNull()).select(
+        "row", "doc_id", "text_key", "digest", "n_bytes", F.lit(1).cast("long").alias("one")
+    )
     # Rows that agree in id and text are told apart by their number.
     same = ["doc_id", "text_key"]
     repeated = not rows.groupBy(*same).count().where("count > 1").isEmpty()
     numbered = lambda df, order: df.withColumn(
         "nth", F.row_number().over(Window.partitionBy(*same).orderBy(order)) if repeated else F.lit(1)
     )
-    rows, texts = numbered(rows, "row"), numbered(docs, F.lit(0))
     match = lambda a, b: (
-        a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"]) & (a["nth"] == b["nth"])
+        a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_key"].eqNullSafe(b["text_key"]) & (a["nth"] == b["nth"])
+    )
+    rows = stage_table(numbered(running_sums(rows, ["doc_id", "row"], {"ord": "one"}), "row").drop("one"), "rows")
+    texts = numbered(docs, F.lit(0))
+    first = rows.groupBy("digest").agg(F.min("ord").alias("first"))
+    rows = rows.join(first, "digest")
+    copies = rows.where((F.col("ord") > F.col("first")) & (F.col("n_bytes") >= LENGTH)).select(
+        "ord", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")
     )
-    sets = found.where(F.col("anchors").isNotNull()).groupBy("row").agg(F.collect_list("anchors").alias("anchors"))
-    anchored = rows.join(sets, "row")
-    with_text = texts.join(anchored, match(texts, anchored)).select(texts["doc_id"], "row", "text", "anchors")
-    runs = stage_table(_runs(with_text), "runs")
-    blocks = runs.where(F.col("run").isNotNull()).drop("row", "start", "end")
-    removed = runs.where(F.col("row").isNotNull()).select("row", "start", "end")
 
+    sets = found.where(F.col("anchors").isNotNull()).groupBy("row").agg(F.collect_list("anchors").alias("anchors"))
+    anchored = rows.where("ord = first").join(sets, "row")
+    with_text = texts.join(anchored, match(texts, anchored)).select("ord", "text", "anchors")
     targets = 4 * shuffles
-    n_blocks = blocks.count()
-    share = min(1.0, SAMPLES * targets / max(n_blocks, 1))
-    sample = sorted(bytes(r[0]) for r in blocks.select("first").sample(share, 7).collect())  # bounded
+    samples = found.where(F.col("sample").isNotNull()).select("sample")
+    share = min(1.0, SAMPLES * targets / max(samples.count(), 1))
+    sample = sorted(bytes(r[0]) for r in samples.sample(share, 7).collect())  # bounded
     splitters = sorted({sample[i * len(sample) // targets] for i in range(1, targets)}) if sample else []
-    joined = stage_table(_merge(_exchange(blocks, splitters)), "merged")
-    parts = joined.where(F.col("suffix").isNotNull())
-    removed = removed.union(joined.where(F.col("end").isNotNull()).select("row", "start", "end"))
-    removed = removed.union(_partly_repeated(parts))
-    spans = removed.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    taken = rows.join(spans, "row")
+    joined = stage_table(_merge(_send_runs(with_text, splitters)), "merged")
+    discard(spark, anchors_at)
+
+    places = joined.where(F.col("n").isNotNull()).groupBy("ord").agg(
+        F.collect_list(F.struct("start", "n", "offset")).alias("near")
+    )
+    around = rows.join(places, "ord")
+    parts, parts_at = stage_for_now(
+        _parts(texts.join(around, match(texts, around)).select("ord", "text", "near")), "parts"
+    )
+    discard(spark)
+    in_part = _partly_repeated(parts, 2 * shuffles)
+    discard(spark, parts_at)
+    removed = (
+        joined.where(F.col("end").isNotNull()).select("ord", "start", "end")
+        .union(copies).union(in_part)
+    )
+    spans = removed.groupBy("ord").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    taken = rows.join(spans, "ord").select("doc_id", "text_key", "nth", "spans")
 
     schema = _schema(_RESULT)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            out: list[list] = [[] for _ in schema]
-            for doc, text, spans in zip(*[part[c].to_pylist() for c in ("doc_id", "text", "spans")], strict=True):
+            spans = part["spans"].combine_chunks()
+            starts, ends = (spans.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+            bounds = spans.offsets.to_numpy().tolist()
+            rows = []
+            for doc, text, a, b in zip(
+                part["doc_id"].to_pylist(), part["text"].to_pylist(), bounds, bounds[1:], strict=False
+            ):
                 data = (text or "").encode()
-                whole: list[list[int]] = []
-                for s in sorted((s["start"], s["end"]) for s in spans or ()):
-                    if whole and s[0] <= whole[-1][1]:
-                        whole[-1][1] = max(whole[-1][1], s[1])
-                    else:
-                        whole.append(list(s))
+                whole = _union(starts[a:b], ends[a:b])
                 edges = [0, *(e for s in whole for e in s), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                values = (doc, len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in whole], kept)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
+                rows.append((doc, len(data), len(data) - len(kept), [{"start": x, "end": y} for x, y in whole], kept))
+            yield _rows(schema, len(rows), **{c: [r[k] for r in rows] for k, c in enumerate(schema.names)})
 
     result = texts.join(taken, match(texts, taken), "left").select(texts["doc_id"], "text", "spans")
     return result.mapInArrow(apply, from_arrow_schema(schema))
