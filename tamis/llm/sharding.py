@@ -6,7 +6,7 @@ give every document its place in the whole byte sequence, which is cut at equal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.prefix import running_sums
@@ -15,6 +15,16 @@ from tamis.staging import stage_table
 ROW_OVERHEAD = 16
 
 
+def shard_of(shards: int, total: int) -> Column:
+    """The shard that holds the middle of a row's bytes, from its columns ``_before`` and ``size``.
+
+    Whole-number division: a quotient of limited digits would round up to the next shard.
+    """
+    return F.expr(
+        f"((2 * cast(_before AS decimal(38, 0)) + size) * {shards} div cast({2 * total} AS decimal(38, 0)))"
+    ).cast("int")
+
+
 def shard_by_bytes(
     docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text",
     overhead: int = ROW_OVERHEAD,
@@ -45,10 +55,8 @@ def shard_by_bytes(
     placed = running_sums(
         narrow, ["doc_id", "text_crc32", "size", "_tie"], {"_before": "size", "_row": "_one"}
     )
-    middle = (F.lit(2).cast("decimal(38,0)") * F.col("_before") + F.col("size")) * F.lit(shards)
     placed = stage_table(
-        placed.withColumn("shard", F.floor(middle / F.lit(2 * total)).cast("int"))
-        .select("doc_id", "size", "text_crc32", "shard", "_row"),
+        placed.withColumn("shard", shard_of(shards, total)).select("doc_id", "size", "text_crc32", "shard", "_row"),
         "placed",
     )
     first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))  # at most ``shards`` rows

@@ -160,6 +160,16 @@ def test_shards(spark):
     assert rows(same.groupBy("shard").count(), "count") == Counter({(10,): 4})
 
 
+def test_shards_of_large_tables(spark):
+    """Quotients just below a whole number stay below it."""
+    near = documents(spark, [(1, ""), (2, "a")])  # 2e9 / (2e9 + 1) and 3 - 2 / (4e9 + 2)
+    assert rows(sharding.shard_by_bytes(near, 4, overhead=10**9), "doc_id", "shard") == Counter([(1, 0), (2, 2)])
+    for total, size in ((30 * 10**9, 500), (7 * 10**8, 16), (10**14, 10**6)):
+        at = [(b, size) for b in (0, total // 40 - size, total // 2 - size, total // 2, total - size)]
+        found = spark.createDataFrame(at, "_before long, size long").withColumn("shard", sharding.shard_of(40, total))
+        assert rows(found, "_before", "shard") == Counter((b, (2 * b + s) * 40 // (2 * total)) for b, s in at)
+
+
 # Repeated strings
 
 
