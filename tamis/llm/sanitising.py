@@ -1,9 +1,10 @@
 """Personal data: patterns, and terms that reveal protected values by their co-occurrence.
 
-Values that the patterns find are the protected entities. For a term that stands near an entity in
-several documents, the corpus tells how much it reveals: the pointwise mutual information of term and
+Values that the patterns find are the protected entities. For a term that shares several documents
+with an entity, the corpus tells how much it reveals: the pointwise mutual information of term and
 entity, as a share of the entity's own information. (At 1 the term occurs in no other document than
-the entity's.) Terms beyond a threshold are generalised, those beyond a second one removed.
+the entity's.) Terms beyond a threshold are generalised, those beyond a second one removed, at each
+of their places in all documents.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tamis.llm.common import row_keys, text_slices
+from tamis.operators.skew import attach_by_key
 from tamis.staging import stage_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -31,13 +35,13 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-# Terms at most so many characters from an entity are its context.
-REACH = 80
 # Documents in which term and entity must occur together.
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
-# Distinct terms that a task counts before it sends them.
+# Distinct terms that a task counts before it sends them, or remembers.
 HELD_TERMS = 1_000_000
+# Bits of the map that tells most terms that reveal nothing; 8 MB at most.
+MAP_BITS = 1 << 26
 
 
 def _luhn(digits: str) -> bool:
@@ -80,12 +84,29 @@ def _entity(kind: str, value: str) -> int:
     return _number(f"{kind}:{value.lower() if kind == 'email' else NOT_DIGITS.sub('.', value)}")
 
 
+def outer_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The terms, as they are written, that touch none of the spans, and their places."""
+    edges, at = sorted((start, end) for _, start, end in spans), 0
+    behind = 0  # the furthest end of the spans before ``at``
+    for m in TERM.finditer(text):
+        start, end = m.span()
+        while at < len(edges) and edges[at][0] < end:
+            behind = max(behind, edges[at][1])
+            at += 1
+        if behind <= start:
+            yield m[0], start, end
+
+
 _SPAN = "struct<kind: string, start: int, end: int>"
-# A record is a document, a count of documents with a term, or a term near an entity.
-_RECORD = f"row_key long, row_key2 int, doc_id {{id}}, base array<{_SPAN}>, term long, docs long, entity long, start int, end int"
+# A record is a document (with the terms around its entities if it has any) or a count of documents
+# with a term. ``doc`` numbers the rows, repeated ones too.
+_RECORD = (
+    f"row_key long, row_key2 int, doc_id {{id}}, base array<{_SPAN}>, doc long, entities array<long>, "
+    "terms array<long>, term long, docs long"
+)
 
 
-def _observed(docs: DataFrame, reach: int) -> DataFrame:
+def _observed(docs: DataFrame) -> DataFrame:
     ddl = _RECORD.format(id=docs.schema["doc_id"].dataType.simpleString())
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -97,33 +118,28 @@ def _observed(docs: DataFrame, reach: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        first = TaskContext.get().partitionId() << 40
 
         def counted() -> pa.RecordBatch:
             return rows(len(counts), term=[_number(t) for t in counts], docs=list(counts.values()))
 
         for part in text_slices(batches, "text"):
-            keys, keys2 = part["row_key"].to_pylist(), part["row_key2"].to_pylist()
-            base, near = [], []
-            for key, key2, text in zip(keys, keys2, part["text"].to_pylist(), strict=True):
+            base, entities, terms = [], [], []
+            for text in part["text"].to_pylist():
                 text = text or ""
-                counts.update(set(TERM.findall(text.lower())))
                 spans = base_spans(text)
+                words = {w for w, _, _ in outer_terms(text, spans)} if spans else set(TERM.findall(text))
+                words = {w.lower() for w in words}
+                counts.update(words)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                for kind, start, end in spans:
-                    entity = _entity(kind, text[start:end])
-                    first = max(0, start - reach)
-                    for m in TERM.finditer(text, first, min(len(text), end + reach)):
-                        a, b = m.span()
-                        # whole words outside of the patterns' spans
-                        whole = (a > first or a == 0 or not text[a - 1].isalpha()) and (
-                            b == len(text) or not text[b].isalpha()
-                        )
-                        if whole and all(b <= s or a >= e for _, s, e in spans):
-                            near.append((key, key2, _number(m[0].lower()), entity, a, b))
-            yield rows(len(keys), row_key=keys, row_key2=keys2, doc_id=part["doc_id"].combine_chunks(), base=base)
-            if near:
-                names = ("row_key", "row_key2", "term", "entity", "start", "end")
-                yield rows(len(near), **dict(zip(names, zip(*near, strict=True), strict=True)))
+                entities.append(list({_entity(k, text[s:e]) for k, s, e in spans}))
+                terms.append([_number(w) for w in words] if spans else [])
+            yield rows(
+                len(base), row_key=part["row_key"].to_pylist(), row_key2=part["row_key2"].to_pylist(),
+                doc_id=part["doc_id"].combine_chunks(), base=base, doc=range(first, first + len(base)),
+                entities=entities, terms=terms,
+            )
+            first += len(base)
             if len(counts) > HELD_TERMS:
                 yield counted()
                 counts.clear()
@@ -133,48 +149,112 @@ def _observed(docs: DataFrame, reach: int) -> DataFrame:
     return docs.mapInArrow(run, from_arrow_schema(schema))
 
 
+def _revealing(seen: DataFrame, total: int, support: int, generalise: float) -> DataFrame:
+    """term, n_term, share: the terms that reveal an entity, with the largest share."""
+    entities = stage_table(
+        seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+        .where((F.col("n_entity") >= support) & (F.col("n_entity") < total)),
+        "entities",
+    )
+    counts = stage_table(
+        seen.where(F.col("docs").isNotNull()).groupBy("term").agg(F.sum("docs").alias("n_term"))
+        .where(F.col("n_term") >= support),
+        "counts",
+    )
+    own = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
+    # As n_both <= n_entity, a term of more documents cannot have the share; the rest is for rounding.
+    most = F.col("n_entity") * F.exp(own * F.lit(1.0 - generalise)) * F.lit(1.000001)
+    holders = attach_by_key(
+        seen.select("doc", F.explode("entities").alias("entity")), entities, "entity", "n_entity", "doc"
+    ).where(F.col("n_entity").isNotNull())
+    holders = stage_table(holders.withColumn("most", most), "holders")
+    widest = holders.groupBy("doc").agg(F.max("most").alias("widest"))
+    beside = seen.where(F.size("entities") > 0).select("doc", "terms").join(widest, "doc").select(
+        "doc", "widest", F.explode("terms").alias("term")
+    )
+    beside = attach_by_key(beside, counts, "term", "n_term", "doc").where(F.col("n_term") <= F.col("widest"))
+    together = (
+        beside.join(holders, "doc").where(F.col("n_term") <= F.col("most"))
+        .groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+        .where(F.col("n_both") >= support)
+    )
+    lift = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    shares = together.withColumn("share", F.least(F.lit(1.0), lift / own)).where(F.col("share") >= generalise)
+    return stage_table(shares.groupBy("term", "n_term").agg(F.max("share").alias("share")), "revealing")
+
+
+def _places(docs: DataFrame, revealing: DataFrame, number: int) -> DataFrame:
+    """row_key, row_key2, term, start, end of each place of a revealing term, and of some others."""
+    bits = min(MAP_BITS, 1 << max(10, (16 * number).bit_length()))
+    at = F.pmod("term", F.lit(bits))
+    words = revealing.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("set")
+    ).toArrow()
+    held = np.zeros(bits // 64, "<i8")
+    held[words["word"].to_numpy()] = words["set"].to_numpy()
+    held = held.tobytes()
+    ddl = "row_key long, row_key2 int, term long, start int, end int"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int | None] = {}
+
+        def term(word: str) -> int | None:
+            n = _number(word.lower())
+            at = n & (bits - 1)
+            known[word] = n if held[at >> 3] >> (at & 7) & 1 else None
+            return known[word]
+
+        for part in text_slices(batches, "text"):
+            found = []
+            columns = (part[c].to_pylist() for c in ("row_key", "row_key2", "text"))
+            for key, key2, text in zip(*columns, strict=True):
+                words = set(TERM.findall(text or ""))
+                terms = {w: n for w in words if (n := known[w] if w in known else term(w)) is not None}
+                if terms:
+                    for word, start, end in outer_terms(text, base_spans(text)):
+                        if word in terms:
+                            found.append((key, key2, terms[word], start, end))
+                if len(known) > HELD_TERMS:
+                    known.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema
+                )
+
+    return docs.select("row_key", "row_key2", "text").mapInArrow(run, ddl)
+
+
 def personal_spans(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     support: int = SUPPORT, generalise: float = GENERALISE,
 ) -> DataFrame:
     """Per row: row_key, row_key2, doc_id, base and terms (arrays of spans).
 
     ``base`` has the spans of the patterns, by kind (email, ip, card, phone) and start; ``terms`` those
-    of revealing terms, with ``share``, how much of an entity's information they reveal. Places are
-    code points, ends exclusive. A term counts if it stands within ``reach`` characters of the same
-    entity in at least ``support`` documents.
+    of revealing terms, with ``share``, how much of an entity's information they reveal at most. Places
+    are code points, ends exclusive. A term counts if it shares at least ``support`` documents with the
+    same entity; then all its places outside of ``base`` are spans, in documents without the entity too.
 
     Null and empty texts have no spans. Repeated rows count as documents of their own and get equal
     spans; null ids are kept; other columns are not read. No rows give no rows.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *row_keys(doc_id, text))
-    seen = stage_table(_observed(docs, reach), "observed")
+    seen = stage_table(_observed(docs), "observed")
     rows = seen.where(F.col("base").isNotNull()).select("row_key", "row_key2", "doc_id", "base")
-    near = seen.where(F.col("entity").isNotNull()).select("row_key", "row_key2", "term", "entity", "start", "end")
-    total = rows.count()
     keys = ["row_key", "row_key2"]
-    # Documents of each entity, and of each term near it: one row per document first, then counts.
-    entities = (
-        near.select("entity", *keys).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-        .where(F.col("n_entity") >= support)
-    )
-    together = (
-        near.select("entity", "term", *keys).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-        .where(F.col("n_both") >= support).join(entities, "entity")
-    )
-    counts = seen.where(F.col("docs").isNotNull()).groupBy("term").agg(F.sum("docs").alias("n_term"))
-    lift = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    own = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    revealing = (
-        together.join(counts, "term").where(F.col("n_entity") < total)
-        .withColumn("share", F.least(F.lit(1.0), lift / own)).where(F.col("share") >= generalise)
-        .select("entity", "term", "share")
-    )
+    nothing = F.array().cast("array<struct<start: int, end: int, share: double>>")
+    revealing = _revealing(seen, rows.count(), support, generalise)
+    number = revealing.count()
+    if not number:
+        return rows.withColumn("terms", nothing)
+    # Repeated rows first become one, so no row key is a hot one.
+    places = _places(docs, revealing, number).distinct()
     spans = (
-        near.join(revealing, ["entity", "term"]).groupBy(*keys, "start", "end").agg(F.max("share").alias("share"))
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+        attach_by_key(places, revealing, "term", "n_term", F.struct(*keys, "start"))
+        .where(F.col("share").isNotNull()).groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     )
-    nothing = F.array().cast("array<struct<start: int, end: int, share: double>>")
     return rows.join(spans, keys, "left").withColumn("terms", F.coalesce("terms", nothing))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -131,6 +132,41 @@ def test_terms_that_reveal_an_entity(spark):
     assert all(clean[i] == text[i] for i in text if i >= 100)
 
 
+def plain_terms(rows, support=sanitising.SUPPORT, generalise=sanitising.GENERALISE):
+    """Per row, the places of revealing terms, by counts over whole documents."""
+    places, having, entities = [], {}, {}
+    for i, (_, text) in enumerate(rows):
+        text, spans = text or "", plain_spans(text or "")
+        own = [m for m in re.finditer(r"[^\W\d_]{3,}", text) if all(m.end() <= s or m.start() >= e for _, s, e in spans)]
+        places.append([(m[0].lower(), *m.span()) for m in own])
+        for term, _, _ in places[-1]:
+            having.setdefault(term, set()).add(i)
+        for kind, s, e in spans:
+            value = text[s:e].lower() if kind == "email" else re.sub("[^0-9]", ".", text[s:e])
+            entities.setdefault((kind, value), set()).add(i)
+    out = set()
+    for at in entities.values():
+        for term, held in having.items():
+            both = len(at & held)
+            if both >= support and len(at) < len(rows):
+                share = math.log(both * len(rows) / (len(held) * len(at))) / math.log(len(rows) / len(at))
+                out |= {term} if share >= generalise else set()
+    return [[(a, b) for term, a, b in own if term in out] for own in places]
+
+
+def test_terms_far_from_the_entity_and_without_it(spark):
+    far = [(200 + i, f"Ottokar Wiesel {prose(700 + i, 80)} o.w@mail.example.com {prose(800 + i, 60)} Ottokar") for i in range(3)]
+    rows = [*revealing(), *texts(), *far, (300, f"{prose(900, 60)} Ottokar again, {prose(901, 60)}"), far[0]]
+    found = sanitising.personal_spans(documents(spark, rows)).collect()
+    expected = Counter((i, text, tuple(spans)) for (i, text), spans in zip(rows, plain_terms(rows), strict=True))
+    text = {(i, tuple(spans)): t for i, t, spans in expected}
+    assert Counter((r.doc_id, tuple((t.start, t.end) for t in r.terms)) for r in found) == Counter(
+        {(i, s): sum(n for (j, _, z), n in expected.items() if (i, s) == (j, z)) for i, s in text}
+    )
+    clean = {r.doc_id: r.text for r in sanitising.sanitise(documents(spark, rows)).collect()}
+    assert not any("Ottokar" in clean[i] for i in (200, 201, 202, 300)) and "Wiesel" not in clean[200]
+
+
 def test_sanitising_awkward_documents(spark):
     docs = documents(spark)
     out = sanitising.sanitise(docs)
