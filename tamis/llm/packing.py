@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences, by hierarchical residual packing.
 
-Every partition packs its own pieces best-fit (longest first) and emits the bins that are full or
-nearly full. The pieces of its underfull bins go up a tree as items: each node packs the leftovers of
-some nodes below it best-fit again, until the root closes every bin. A node gets a bounded number of
-items, so no task grows with the corpus.
+The pieces are spread evenly over nodes, so each sees the corpus' mix of sizes, and packed best-fit
+there (longest first). Bins that are full or nearly full are closed. The pieces of all underfull bins
+are spread anew over as many nodes as their number asks for and packed again, until one node holds
+them or a round saves no bin. A node gets a bounded number of pieces, so no task grows with the corpus.
 """
 
 from __future__ import annotations
@@ -19,18 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tamis.llm.common import text_slices
+from tamis.llm.common import partitions_for, text_slices
 from tamis.llm.tokenizing import byte_encoder
 from tamis.staging import stage_table
 
 CAPACITY = 2048
-# A bin that lacks at most this many tokens is closed below the root.
+# A bin that lacks at most this many tokens is closed.
 SLACK = 4
-# Nodes whose leftovers meet in one node of the next level.
-FAN = 8
-# A node hands up at most so many pieces, those of its emptiest bins; it closes its other bins.
-CARRIED_PIECES = 20_000
-# A task packs its partition in runs of at most so many pieces (some 100 MB).
+# A node packs at most about so many pieces (some 100 MB).
 LOCAL_PIECES = 500_000
 
 PIECE = "doc_id {id}, piece int, start long, length int, ids_crc32 long"
@@ -97,97 +93,67 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack_node(
-    items: pa.Table, node: int, level: int, capacity: int, root: bool, first: int = 0
-) -> tuple[pa.Table, pa.Table]:
-    """The pieces of closed bins with their places, and the pieces handed up.
+def _pack_node(items: pa.Table, node: int, level: int, capacity: int) -> pa.Table:
+    """The pieces with their places; ``_open`` tells those of underfull bins.
 
-    Bins are numbered from ``first``; level, node and number together make a sequence id.
+    Level, node and the bin's number together make a sequence id.
     """
     lengths = items["length"].to_numpy()
-    bins = best_fit(lengths, capacity)
-    fill = np.array([lengths[b].sum() for b in bins], dtype=np.int64)
-    closed = np.ones(len(bins), dtype=bool)
-    if not root:
-        carried = 0
-        for b in np.argsort(fill, kind="stable").tolist():  # the emptiest first
-            carried += len(bins[b])
-            if fill[b] >= capacity - SLACK or carried > CARRIED_PIECES:
-                break
-            closed[b] = False
-    taken, sequence, offset = [], [], []
-    for n, b in enumerate(np.flatnonzero(closed).tolist()):
-        ends = np.cumsum(lengths[bins[b]])
-        taken += bins[b]
-        sequence += [(level << 56) + (node << 32) + first + n] * len(bins[b])
+    taken, sequence, offset, open_bin = [], [], [], []
+    for n, b in enumerate(best_fit(lengths, capacity)):
+        ends = np.cumsum(lengths[b])
+        taken += b
+        sequence += [(level << 56) + (node << 32) + n] * len(b)
         offset += [0, *ends[:-1].tolist()]
+        open_bin += [bool(ends[-1] < capacity - SLACK)] * len(b)
     placed = items.take(pa.array(taken, pa.int64()))
     placed = placed.append_column("sequence_id", pa.array(sequence, pa.int64()))
     placed = placed.append_column("offset", pa.array(offset, pa.int64()))
-    left = [i for b in np.flatnonzero(~closed).tolist() for i in bins[b]]
-    return placed, items.take(pa.array(left, pa.int64()))
+    return placed.append_column("_open", pa.array(open_bin, pa.bool_()))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, node_pieces: int = LOCAL_PIECES) -> DataFrame:
     """Place pieces (a column ``length`` of 1 to ``capacity``, any others) into sequences.
 
     Adds ``sequence_id`` (any unique numbers) and ``offset`` (gapless from 0 in each sequence), keeps
     all rows and columns. A clashing column raises ValueError. No rows give no rows.
     """
-    clash = {"sequence_id", "offset", "_node"} & set(pieces.columns)
+    clash = {"sequence_id", "offset", "_open"} & set(pieces.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are made by packing")
     ddl = T.StructType.fromJson(pieces.schema.jsonValue())
     ddl = T.StructType(
         [*ddl, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
-         T.StructField("_node", T.LongType())]
+         T.StructField("_open", T.BooleanType())]
     )
     schema = to_arrow_schema(ddl)
     names = pieces.columns
 
-    def rows(placed: pa.Table, left: pa.Table, node: int) -> pa.Table:
-        placed = placed.append_column("_node", pa.nulls(placed.num_rows, pa.int64()))
-        for name in ("sequence_id", "offset"):
-            left = left.append_column(name, pa.nulls(left.num_rows, pa.int64()))
-        left = left.append_column("_node", pa.array(np.full(left.num_rows, node, dtype=np.int64)))
-        return pa.concat_tables([placed.cast(schema), left.cast(schema)])
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, first, held, n = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= LOCAL_PIECES:
-                placed, left = _pack_node(pa.Table.from_batches(held), node, 0, capacity, False, first)
-                yield from rows(placed, left, node).to_batches()
-                first, held, n = first + n, [], 0
-        if n:
-            placed, left = _pack_node(pa.Table.from_batches(held), node, 0, capacity, False, first)
-            yield from rows(placed, left, node).to_batches()
-
-    def merge(level: int, root: bool):
-        def one(key: tuple[pa.Scalar, ...], items: pa.Table) -> pa.Table:
-            node = key[0].as_py()
-            placed, left = _pack_node(items.select(names), node, level, capacity, root)
-            return rows(placed, left, node)
-
-        return one
-
-    level, packed = 0, stage_table(pieces.mapInArrow(local, ddl), "packed")
-    done = [packed.where(F.col("_node").isNull())]
-    while True:
-        open_rows = packed.where(F.col("_node").isNotNull())
-        last = open_rows.agg(F.max("_node")).first()[0]
-        if last is None:
-            break
-        level += 1
-        up = open_rows.select(*names, F.floor(F.col("_node") / FAN).cast("long").alias("_up"))
-        packed = stage_table(up.groupBy("_up").applyInArrow(merge(level, last < FAN), ddl), "packed")
-        done.append(packed.where(F.col("_node").isNull()))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.drop("_node")
+    def packed(rows: DataFrame, nodes: int, level: int) -> DataFrame:
+        def node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if held:
+                placed = _pack_node(pa.Table.from_batches(held), TaskContext.get().partitionId(), level, capacity)
+                yield from placed.cast(schema).to_batches()
+
+        return stage_table(rows.repartition(nodes).mapInArrow(node, ddl), "packed")
+
+    def bins(rows: DataFrame) -> int:
+        return rows.where(F.col("offset") == 0).count()
+
+    level = 0
+    nodes = partitions_for(pieces.sparkSession, pieces.count(), node_pieces)
+    last = packed(pieces, nodes, level)
+    out = last.where(~F.col("_open"))
+    left = last.where("_open")
+    while nodes > 1 and (number := left.count()):
+        level, nodes = level + 1, -(-number // node_pieces)
+        last = packed(left.select(*names), nodes, level)
+        if bins(last) >= bins(left):
+            break  # the places of the round before stay
+        out = out.unionByName(last.where(~F.col("_open")))
+        left = last.where("_open")
+    return out.unionByName(left).drop("_open")
 
 
 def packed_documents(

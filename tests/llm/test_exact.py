@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tamis.llm import decontamination, ngram_join, packing, sharding, suffix_dedup, token_counts, topk
@@ -51,6 +52,15 @@ def test_packing_places_all_ids(spark):
     assert len(sequences) <= 1.03 * total / 64 + 1
 
 
+def test_packing_of_sources_one_after_another(spark):
+    """Pieces of 1,100 and of 900 tokens, by source, meet each other, over more pieces than a node takes."""
+    n = 8_000
+    sizes = F.when(F.col("id") < n, 1100).otherwise(900).cast("int")
+    placed = packing.pack(spark.range(0, 2 * n, 1, 8).withColumn("length", sizes), node_pieces=2_000)
+    assert placed.select("id").distinct().count() == placed.count() == 2 * n
+    assert placed.select("sequence_id").distinct().count() <= 1.05 * n
+
+
 def test_packing_of_nothing(spark):
     assert packing.packed_documents(documents(spark, [])).count() == 0
     with pytest.raises(ValueError, match="sequence_id"):
