@@ -28,6 +28,29 @@ def row_keys(doc_id: str, text: str) -> list[Column]:
     ]
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def rows_in(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose row keys are (``left_semi``) or are not (``left_anti``) in ``keys``
+    (row_key, row_key2). No column of docs is touched, whatever its name."""
+    names = free_names(docs, "row_key", "row_key2", "key", "key2")
+    key, key2 = row_keys(doc_id, text)
+    keyed = docs.withColumn(names[0], key).withColumn(names[1], key2)
+    other = keys.select(F.col("row_key").alias(names[2]), F.col("row_key2").alias(names[3])).distinct()
+    match = (F.col(names[0]) == F.col(names[2])) & (F.col(names[1]) == F.col(names[3]))
+    return keyed.join(other, match, how).drop(*names[:2])
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.Table]:

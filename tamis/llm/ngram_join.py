@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tamis.llm.common import text_slices
+from tamis.llm.common import free_names, text_slices
 from tamis.llm.components import components
 from tamis.llm.hashing import shingle_sets
 from tamis.staging import stage_table
@@ -340,9 +340,7 @@ def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage_table(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0:
-                break
+        if pairs.isEmpty():  # no member can be like its centre; other members may be like each other
             continue
         linked = stage_table(_linked(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.union(pairs)
@@ -418,17 +416,17 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
 
     Options and edge cases: see near_duplicates. All rows without words stay.
     """
+    i, t, empty = free_names(docs, "kept_id", "kept_text", "kept_empty")
     kept = near_duplicates(docs, doc_id, text, **options).where("first").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("n_shingles") == 0).alias("_empty")
+        F.col("doc_id").alias(i), F.col("text_key").alias(t), (F.col("n_shingles") == 0).alias(empty)
     )
     kept = stage_table(kept, "kept")
-    match = F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_key"))
-    out = docs.join(kept.select("_id", "_key").distinct(), match, "left_semi")
+    match = F.col(doc_id).eqNullSafe(F.col(i)) & F.xxhash64(text).eqNullSafe(F.col(t))
+    out = docs.join(kept.select(i, t).distinct(), match, "left_semi")
     # Rows that agree in id and text are in one component; all but one of them go.
-    same = [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key")]
-    twice = docs.select(*same).groupBy("_id", "_key").count().where("count > 1")
-    if twice.isEmpty():
+    twice = docs.select(F.col(doc_id).alias(i), F.xxhash64(text).alias(t)).groupBy(i, t).agg(F.count("*").alias(empty))
+    if twice.where(F.col(empty) > 1).isEmpty():
         return out
-    words = kept.where("NOT _empty").select("_id", "_key")
+    words = kept.where(~F.col(empty)).select(i, t)
     single = out.join(words, match, "left_semi").dropDuplicates([doc_id, text])
     return single.unionByName(out.join(words, match, "left_anti"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tamis.llm.common import row_keys, text_slices
+from tamis.llm.common import free_names, row_keys, text_slices
 from tamis.operators.skew import attach_by_key
 from tamis.staging import stage_table
 
@@ -268,20 +268,23 @@ def sanitise(
     for all of them. Options and edge cases: see personal_spans.
     """
     found = personal_spans(docs, doc_id, text, **options).where((F.size("base") > 0) | (F.size("terms") > 0))
+    own, own2, k, k2, base_spans_of, terms_of = free_names(docs, "row_key", "row_key2", "k", "k2", "base", "terms")
     found = found.select(
-        F.col("row_key").alias("_k"), F.col("row_key2").alias("_k2"), F.col("base").alias("_base"), F.col("terms").alias("_terms")
-    ).dropDuplicates(["_k", "_k2"])
+        F.col("row_key").alias(k), F.col("row_key2").alias(k2), F.col("base").alias(base_spans_of),
+        F.col("terms").alias(terms_of),
+    ).dropDuplicates([k, k2])
     key, key2 = row_keys(doc_id, text)
-    marked = docs.withColumn("_key", key).withColumn("_key2", key2).join(
-        found, (F.col("_key") == F.col("_k")) & (F.col("_key2") == F.col("_k2")), "left"
+    marked = docs.withColumn(own, key).withColumn(own2, key2).join(
+        found, (F.col(own) == F.col(k)) & (F.col(own2) == F.col(k2)), "left"
     )
     at = docs.columns.index(text)
     fields = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(fields)
-        for batch in batches:
-            base, terms = batch.column("_base"), batch.column("_terms")
+        for part in text_slices(batches, at):
+            batch = part.combine_chunks().to_batches()[0]
+            base, terms = batch.column(base_spans_of), batch.column(terms_of)
             hit = base.is_valid()
             texts = batch.column(at)
             if hit.true_count:
@@ -297,7 +300,7 @@ def sanitise(
             columns = [texts if n == at else batch.column(n).cast(schema.field(n).type) for n in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], "_base", "_terms").mapInArrow(run, fields)
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], base_spans_of, terms_of).mapInArrow(run, fields)
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:

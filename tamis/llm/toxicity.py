@@ -26,12 +26,11 @@ from tamis.staging import stage_table
 
 # The lexicon is learned from at most so many labelled rows, those with the smallest hashes.
 SAMPLE_ROWS = 20_000
-# At most so many entries, the ones of the most toxic documents.
-ENTRIES = 2_000
 BEGINNINGS = range(4, 9)  # lengths of word beginnings that may be entries
 SUPPORT = 5  # toxic documents that an entry must occur in
 LEAST_WEIGHT = 2.0  # logarithm of how much more often toxic texts use an entry
 DEVIATIONS = 4.5  # and by so many standard deviations more toxic texts must have it
+EXCEPTION_SHARE = 0.25  # toxic texts may have an exception so often, compared with their share of all texts
 THRESHOLD = 0.7
 
 # Letters of other scripts that look like Latin ones, and ligatures.
@@ -193,12 +192,11 @@ def learn(
 
     share = toxic_texts / (toxic_texts + clean_texts)
     expected = (F.col("t_texts") + F.col("c_texts")) * share
-    candidates = (
+    candidates = (  # bounded by the words of the sampled rows, of which few pass
         counted.where(F.col("t_texts") >= SUPPORT)
         # more toxic texts than chance would give, by so many standard deviations
         .where(F.col("t_texts") - expected > DEVIATIONS * F.sqrt(expected))
-        .orderBy(F.desc("t_texts"), "feature").limit(20 * ENTRIES)
-    ).collect()  # bounded
+    ).collect()
     scored = {
         r["feature"]: (w, r["t_texts"], r["toxic"], r["clean"]) for r in candidates
         if (w := weight(r["toxic"], r["clean"])) >= LEAST_WEIGHT
@@ -215,9 +213,8 @@ def learn(
                 del kept[s]
         if not any(s in kept and kept[s] >= w - 2 for s in shorter):
             kept[feature] = w
-    strongest = sorted(kept, key=lambda f: (-scored[f][1], f))[:ENTRIES]
-    lexicon = Lexicon({f: kept[f] for f in strongest})
-    lexicon.exceptions = _learn_exceptions(sample, lexicon, {f: scored[f][3] for f in strongest})
+    lexicon = Lexicon({f: kept[f] for f in sorted(kept)})
+    lexicon.exceptions = _learn_exceptions(sample, lexicon, {f: scored[f][3] for f in lexicon.weights}, share)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
@@ -236,9 +233,10 @@ def learn(
     return lexicon
 
 
-def _learn_exceptions(sample: DataFrame, lexicon: Lexicon, clean: dict[str, int]) -> dict[str, float]:
-    """Phrases of an entry's word and a neighbour that only clean texts have, and that make up a fifth
-    or more of what clean texts have of the entry (``clean``: its occurrences there)."""
+def _learn_exceptions(sample: DataFrame, lexicon: Lexicon, clean: dict[str, int], share: float) -> dict[str, float]:
+    """Phrases of an entry's word and a neighbour that make up a fifth or more of what clean texts have
+    of the entry (``clean``: its occurrences there), and that toxic texts have much more rarely than
+    their ``share`` of all texts would give."""
 
     def phrases():
         machine = lexicon.automaton()
@@ -256,9 +254,9 @@ def _learn_exceptions(sample: DataFrame, lexicon: Lexicon, clean: dict[str, int]
         return of
 
     rows = (
-        _count(sample, phrases).where((F.col("c_texts") >= SUPPORT) & (F.col("t_texts") == 0))
-        .orderBy(F.desc("clean"), "feature").limit(ENTRIES).collect()  # bounded
-    )
+        _count(sample, phrases).where(F.col("c_texts") >= SUPPORT)
+        .where(F.col("t_texts") <= EXCEPTION_SHARE * share * (F.col("t_texts") + F.col("c_texts")))
+    ).collect()  # bounded by the phrases of the sampled rows
     machine = lexicon.automaton()
     out = {}
     for r in rows:
@@ -305,16 +303,16 @@ def kept(
     docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The rows whose score is below the threshold, with all their columns; see score."""
-    schema = docs.schema
+    schema, at = docs.schema, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
-        for batch in batches:
+        for part in text_slices(batches, at):
             clean = []
-            for value in batch.column(text).to_pylist():
+            for value in part.column(at).to_pylist():
                 folded = fold(value or "")
                 weight = sum(w for _, w in lexicon.found(machine, folded))
                 clean.append(lexicon.score(weight, len(folded.split())) < threshold)
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield from part.filter(pa.array(clean, pa.bool_())).to_batches()
 
     return docs.mapInArrow(run, schema)

@@ -49,7 +49,8 @@ def texts() -> list[tuple[int | None, str | None]]:
 
 
 # Columns that operators use inside; a table may have them.
-CLASHING = ["row", "n", "key", "bucket", "shard", "words", "fp", "score", "spans", "base", "terms", "part", "node"]
+CLASHING = ["row", "n", "key", "bucket", "shard", "words", "fp", "score", "spans", "base", "terms", "part", "node",
+            "_id", "_key", "_key2", "_base", "_terms", "_k", "_k2", "row_key", "row_key2", "k", "kept_id"]
 
 
 def documents(spark, rows=None):

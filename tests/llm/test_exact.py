@@ -129,6 +129,18 @@ def test_near_duplicates(spark):
     assert rows(found, "doc_id", "n_shingles", "component_id") == brute_components(docs)
 
 
+def test_members_of_a_list_whose_centre_is_too_large(spark):
+    """Two texts link with each other and with nothing else; the centre of their lists holds both."""
+    words = [f"w{i}" for i in range(103)]
+    own, other = [*words], [*words]
+    own[0], other[102] = "a", "b"
+    docs = [(1, " ".join(own)), (2, " ".join(other)), (3, " ".join(["a", *words[1:], "b", *(f"z{i}" for i in range(44))]))]
+    found = ngram_join.near_duplicates(documents(spark, docs))
+    expected = brute_components(docs)
+    assert (2, 99, 1) in expected and (3, 144, 3) in expected
+    assert rows(found, "doc_id", "n_shingles", "component_id") == expected
+
+
 def test_light_sets_enumerate_subsets(spark, monkeypatch):
     """Whatever the boundary is, the links are the same."""
     docs = families()
