@@ -10,18 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import decontamination, ngram_join, packing, sanitising, toxicity
-from tamis.llm.common import read, row_keys
+from tamis.llm.common import read, rows_in
 from tamis.staging import stage_table
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs whose keys are not in ``rejected`` (row_key, row_key2)."""
-    key, key2 = row_keys("doc_id", "text")
-    keyed = docs.withColumn("_key", key).withColumn("_key2", key2)
-    match = (F.col("_key") == F.col("row_key")) & (F.col("_key2") == F.col("row_key2"))
-    return keyed.join(rejected.select("row_key", "row_key2").distinct(), match, "left_anti").select(docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity (8): documents of a score at or above the threshold go."""
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"))
@@ -36,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination (6): contaminated documents go."""
     found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    return rows_in(docs, found.where("contaminated"), "doc_id", "text", "left_anti")
 
 
 def take_out_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
