@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, ngram_join, oracle, packing, perspectives, sanitising, sharding, suffix_dedup, token_counts, topk, toxicity
+from tamis.llm import decontamination, negatives, ngram_join, oracle, packing, perspectives, sanitising, sharding, suffix_dedup, token_counts, topk, toxicity
 from tamis.llm.common import read
 
 
@@ -97,6 +97,12 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op12_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, sf_dir, "embeddings").withColumn("label", relabelled)
+    return negatives.hard_negatives(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_residual_packing": op2_residual_packing,
@@ -108,6 +114,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_folded_lexicon_toxicity": op8_folded_lexicon_toxicity,
     "op9_term_at_a_time_top_k": op9_term_at_a_time_top_k,
     "op10_transducer_token_counts": op10_transducer_token_counts,
+    "op12_slot_hard_negatives": op12_slot_hard_negatives,
 }
 
 LLM_ORACLE_SQL = {
@@ -115,4 +122,5 @@ LLM_ORACLE_SQL = {
     "op4_prefix_sum_shards": oracle.OP4,
     "op6_winnowing_decontamination": oracle.OP6,
     "op9_term_at_a_time_top_k": oracle.OP9,
+    "op12_slot_hard_negatives": oracle.OP12,
 }
