@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, negatives, ngram_join, oracle, packing, perspectives, sanitising, sharding, suffix_dedup, token_counts, topk, toxicity
+from tamis.llm import decontamination, negatives, ngram_join, oracle, packing, perspectives, quality, sanitising, sharding, suffix_dedup, token_counts, topk, toxicity
 from tamis.llm.common import read
 
 
@@ -103,6 +103,16 @@ def op12_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op13_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = quality.document_statistics(read(spark, sf_dir, "documents"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    classifier = quality.learn(described, read(spark, sf_dir, "labels").where(~held_out))
+    return quality.score(described, classifier).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_residual_packing": op2_residual_packing,
@@ -115,6 +125,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_term_at_a_time_top_k": op9_term_at_a_time_top_k,
     "op10_transducer_token_counts": op10_transducer_token_counts,
     "op12_slot_hard_negatives": op12_slot_hard_negatives,
+    "op13_discriminant_quality": op13_discriminant_quality,
 }
 
 LLM_ORACLE_SQL = {

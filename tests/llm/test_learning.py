@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tamis.llm import negatives, stripes
+from tamis.llm import negatives, quality, queries, stripes
+from tests.llm.fixtures import documents, prose, texts
 from tests.llm.test_exact import rows
 
 # Hard negatives
@@ -83,3 +85,103 @@ def test_best_of_scores(pairs, k):
     scores, ids = np.array([s for s, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64)
     found = [(-int(scores[p]), int(ids[p])) for p in stripes.best(scores, ids, k)]
     assert found == sorted((-s, i) for s, i in pairs)[:k]
+
+
+# Quality
+
+
+def junk(seed: int) -> str:
+    rnd = random.Random(seed)
+    words = prose(seed, rnd.randint(20, 120)).split()
+    return [
+        " ".join(w + "###" for w in words), " ".join(f"{w} {w} {w} {w}" for w in words), " | ".join(words),
+        " ".join(w.upper() + "!!" for w in words),
+    ][seed % 4]
+
+
+def judged(n=300):
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 5 == 3
+        rows.append((i, junk(i) if bad else prose(i, 20 + i % 100).capitalize() + "."))
+        labels.append((i, 0 if bad else 1))
+    return rows, labels
+
+
+def labels_table(spark, labels):
+    return spark.createDataFrame(
+        [(i, q, 0, "x") for i, q in labels], "doc_id long, quality int, toxic int, statistics string"
+    ).repartition(2)
+
+
+def plain_log_ratios(table, labels):
+    """The densities from whole matrices, by determinants and inverses."""
+    x = np.array([quality.statistics(t or "", quality._kinds()) for _, t in table])
+    marks: dict = {}
+    for i, q in labels:
+        if i is not None and q in (0, 1):
+            marks[i] = max(q, marks.get(i, 0))
+    own = [x[[j for j, (i, _) in enumerate(table) if marks.get(i) == c]] for c in (0, 1)]
+    scatter = [(o - o.mean(0)).T @ (o - o.mean(0)) for o in own]
+    shared = sum(scatter) / sum(map(len, own))
+    spread = np.sqrt(np.maximum(np.diag(shared), 1e-12))
+    logs = []
+    for o, s in zip(own, scatter, strict=True):
+        c = (s + quality.PRIOR_ROWS * shared) / (len(o) + quality.PRIOR_ROWS)
+        c = (0.9 * c + 0.1 * shared) / np.outer(spread, spread)
+        c = (0.98 * c + 0.02 * np.trace(c) / len(c) * np.eye(len(c))) * np.outer(spread, spread)
+        d = x - o.mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.linalg.slogdet(c)[1])
+    ratio = logs[1] - logs[0]
+    return np.sign(ratio) * np.log1p(np.abs(ratio))
+
+
+def test_log_ratios_and_held_out_quality(spark):
+    table, labels = judged()
+    table += [r for r in texts() if r[0] is None or r[0] > 1000] + [(None, None), (5000, None), (5001, ""), (5001, ""), (5002, prose(1, 9000))]
+    marked = [*labels[:200], (0, 0), (1, None), (None, 1), (7777, 0), (2, 5)]
+    described = quality.document_statistics(documents(spark, table))
+    classifier = quality.learn(described, labels_table(spark, marked))
+    got = quality.score(described, classifier).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in table)
+    expected = {}
+    for (i, t), value in zip(table, plain_log_ratios(table, marked), strict=True):
+        expected[i, tuple(quality.statistics(t or "", quality._kinds()))] = value
+    by_id = {(i): v for (i, _), v in expected.items() if i is not None}
+    for r in got:
+        if r.doc_id is not None:
+            assert abs(r.log_ratio - by_id[r.doc_id]) < 1e-4
+            assert abs(r.score - 1 / (1 + np.exp(-(classifier.curve[0] + classifier.curve[1] * r.log_ratio)))) < 1e-9
+    held_out = {r.doc_id: r.score >= quality.THRESHOLD for r in got if r.doc_id is not None and 200 <= r.doc_id < 300}
+    right = sum(held_out[i] == (q == 1) for i, q in labels[200:])
+    assert right >= 97
+
+
+def test_quality_of_awkward_documents(spark):
+    described = quality.document_statistics(documents(spark))
+    for labels in ([], [(1, 1), (4, 1)], [(1, 1), (8, 0)], [(1, 1), (4, 0), (11, 1), (12, 0), (21, 0)]):
+        classifier = quality.learn(described, labels_table(spark, labels))
+        got = quality.score(described, classifier).collect()
+        assert len(got) == len(texts()) and all(0 <= r.score <= 1 for r in got)
+        if not labels:
+            assert {r.score for r in got} == {0.5}
+    empty = quality.document_statistics(documents(spark, []))
+    assert quality.score(empty, quality.learn(empty, labels_table(spark, [(1, 1)]))).count() == 0
+
+
+def test_quality_query(spark, tmp_path):
+    """held_out and predicted follow from ids and scores; held-out labels are no input."""
+    table, labels = judged(200)
+    scores = []
+    for n, changed in enumerate((False, True)):
+        folder = f"{tmp_path}/{n}"
+        documents(spark, table).write.parquet(f"{folder}/documents.parquet")
+        out = [zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in labels]
+        own = [(i, 1 - q if changed and o else q) for (i, q), o in zip(labels, out, strict=True)]
+        labels_table(spark, own).write.parquet(f"{folder}/labels.parquet")
+        got = {r.doc_id: r for r in queries.op13_discriminant_quality(spark, folder).collect()}
+        assert len(got) == len(table)
+        for (i, _), o in zip(labels, out, strict=True):
+            assert got[i].held_out == o and got[i].predicted == int(got[i].score >= 0.3)
+        scores.append({i: round(r.score, 6) for i, r in got.items()})
+    assert scores[0] == scores[1]
