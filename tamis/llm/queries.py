@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import decontamination, negatives, ngram_join, oracle, packing, perspectives, quality, sanitising, sharding, suffix_dedup, token_counts, topk, toxicity
+from tamis.llm import alignment, decontamination, negatives, ngram_join, oracle, packing, perspectives, quality, sanitising, sharding, suffix_dedup, token_counts, topk, toxicity
 from tamis.llm.common import read
 
 
@@ -97,6 +97,10 @@ def op10_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(read(spark, sf_dir, "documents"))
+
+
 def op12_slot_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = read(spark, sf_dir, "embeddings").withColumn("label", relabelled)
@@ -124,6 +128,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_folded_lexicon_toxicity": op8_folded_lexicon_toxicity,
     "op9_term_at_a_time_top_k": op9_term_at_a_time_top_k,
     "op10_transducer_token_counts": op10_transducer_token_counts,
+    "op11_interval_alignment": op11_interval_alignment,
     "op12_slot_hard_negatives": op12_slot_hard_negatives,
     "op13_discriminant_quality": op13_discriminant_quality,
 }

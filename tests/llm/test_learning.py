@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tamis.llm import negatives, quality, queries, stripes
+from tamis.llm import alignment, negatives, quality, queries, stripes
 from tests.llm.fixtures import documents, prose, texts
 from tests.llm.test_exact import rows
 
@@ -185,3 +186,121 @@ def test_quality_query(spark, tmp_path):
             assert got[i].held_out == o and got[i].predicted == int(got[i].score >= 0.3)
         scores.append({i: round(r.score, 6) for i, r in got.items()})
     assert scores[0] == scores[1]
+
+
+# Alignment
+
+
+def plain_tokens(text):
+    """Tokens of both libraries, as (id, bytes)."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    exact.encode_special_tokens = True
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    # The byte-level alphabet: bytes without a printable Latin-1 sign are moved behind 255.
+    letters, moved = {}, 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            letters[chr(b)] = b
+        else:
+            letters[chr(256 + moved)] = b
+            moved += 1
+    a = [(i, bytes(letters[c] for c in exact.id_to_token(i))) for i in exact.encode(" " + text, add_special_tokens=False).ids]
+    b = []
+    for i in model.encode(text):
+        piece = model.id_to_piece(i)
+        b.append((i, bytes.fromhex(piece[3:5]) if model.is_byte(i) else piece.replace("\u2581", " ").encode()))
+    return a, b
+
+
+def plain_alignment(table):
+    aligned = []
+    for _, text in table:
+        a, b = plain_tokens(text) if text else ([], [])
+        whole = (" " + (text or "")).encode()
+        if b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            a = b = []
+        places = []
+        for tokens in (a, b):
+            at, own = 0, []
+            for i, raw in tokens:
+                own.append((at, at + len(raw), i))
+                at += len(raw)
+            places.append(own)
+        both = sorted({e for _, e, _ in places[0]} & {e for _, e, _ in places[1]})
+        groups, start = [], 0
+        for end in both:
+            groups.append("|".join(
+                ",".join(str(i) for s, e, i in own if s >= start and e <= end) for own in places
+            ))
+            start = end
+        links, first = [], 0
+        for s, e, i in places[0]:
+            while first < len(places[1]) and places[1][first][1] <= s:
+                first += 1
+            for t, u, j in places[1][first:]:
+                if t >= e:
+                    break
+                links.append((i, j))
+        aligned.append((places, groups, links))
+    totals = Counter(x for _, _, links in aligned for x in links)
+    most = {}
+    for (_, j), n in totals.items():
+        most[j] = max(n, most.get(j, 0))
+    return Counter(
+        (doc_id, len(p[0]), len(p[1]), len(groups), len(links), sum(totals[x] == most[x[1]] for x in links),
+         sum(totals[x] for x in links), hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
+        for (doc_id, _), (p, groups, links) in zip(table, aligned, strict=True)
+    )
+
+
+ALIGNED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+ODD = [
+    (700, "a <|endoftext|> b </s> <s> <unk> <0x41>"), (701, "low \u2581 line"), (702, " leading  and   double "),
+    (703, "emoji 👩‍👩‍👧 and 漢字かな \u0000 zero \u00a0 \u3000 spaces\r\n\ttab"), (704, "e\u0301 ﬁ ½ Ａ"), (705, "x" * 4000),
+    (706, "\n"), (707, " "), (708, "١٢٣ and 𝟘𝟙 don't I'LL"), (709, "\u200b\ufeff soft\u00adhyphen"),
+]
+
+
+def test_alignment(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 10_000)  # several slices a block, several blocks a task
+    table = [*texts(), *ODD]
+    documents(spark, table).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op11_interval_alignment(spark, str(tmp_path))
+    expected = plain_alignment(table)
+    assert sum(1 for r in expected if r[1]) > 30 and any(r[0] == 701 and not r[1] for r in expected)
+    assert rows(got, *ALIGNED) == expected
+    assert alignment.alignments(documents(spark, [])).count() == 0
+    assert rows(alignment.alignments(documents(spark, [(1, None), (2, "")])), *ALIGNED) == plain_alignment([(1, None), (2, "")])
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text(max_size=40), max_size=5))
+def test_alignment_of_any_text(parts):
+    parts = [p.encode("utf-8", "ignore").decode() for p in parts]
+    tokens = alignment.tokenizers(alignment.BYTE_TOKENIZER, alignment.BYTE_RANKS, alignment.PIECE_TOKENIZER)
+    x = alignment.Aligned(parts, *tokens)
+    for n, text in enumerate(parts):
+        (row,) = plain_alignment([(0, text)])
+        assert (x.n_a[n], x.n_b[n], x.n_groups[n], x.n_links[n]) == row[1:5]
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 5), max_size=30), st.lists(st.integers(1, 5), max_size=30))
+def test_overlaps_and_groups_of_intervals(a, b):
+    ends = [np.cumsum(np.array(x, np.int64)) for x in (a, b)]
+    starts = [e - np.array(x, np.int64) for e, x in zip(ends, (a, b), strict=True)]
+    args = (starts[0], ends[0], starts[1], ends[1])
+    found = list(zip(*(x.tolist() for x in alignment.overlaps(*args)), strict=True))
+    assert found == [
+        (i, j) for i in range(len(a)) for j in range(len(b)) if starts[0][i] < ends[1][j] and starts[1][j] < ends[0][i]
+    ]
+    groups = alignment.coalesce(*args)
+    cuts = sorted({0, *ends[0].tolist()} & {0, *ends[1].tolist()})
+    for own, start in zip(groups, starts, strict=True):
+        within = [sum(c <= s for c in cuts) - 1 for s in start.tolist() if s < max(cuts[-1], 0)]
+        assert own[: len(within)].tolist() == within
