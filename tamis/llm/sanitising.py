@@ -3,21 +3,23 @@
 Values that the patterns find are the protected entities. For a term that shares several documents
 with an entity, the corpus tells how much it reveals: the pointwise mutual information of term and
 entity, as a share of the entity's own information. (At 1 the term occurs in no other document than
-the entity's.) Terms beyond a threshold are generalised, those beyond a second one removed, at each
-of their places in all documents.
+the entity's.) It counts only where a likelihood-ratio test, corrected for the number of pairs of terms
+and entities, says that they don't meet by chance. Terms beyond a threshold are generalised, those beyond
+a second one removed, at each of their places in all documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
@@ -40,8 +42,13 @@ SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 # Distinct terms that a task counts before it sends them, or remembers.
 HELD_TERMS = 1_000_000
-# Bits of the map that tells most terms that reveal nothing; 8 MB at most.
-MAP_BITS = 1 << 26
+# Chance that any pair of a term and an entity, of all that are tested, counts though they are independent.
+CHANCE = 0.05
+# Tasks get the revealing terms themselves if they are so many at most (8 MB). Beyond that they get a
+# filter of 16 bits and 6 hashes a term (0.1 % false), of 64 MB at most; the join behind it is exact.
+EXACT_TERMS = 1_000_000
+FILTER_BITS = 1 << 29
+FILTER_HASHES = 6
 
 
 def _luhn(digits: str) -> bool:
@@ -149,7 +156,19 @@ def _observed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, from_arrow_schema(schema))
 
 
-def _revealing(seen: DataFrame, total: int, support: int, generalise: float) -> DataFrame:
+def _unlikely(total: int, tested: int, chance: float) -> Column:
+    """Whether n_both of the n_term documents with a term would hardly fall on the entity's by chance.
+
+    The logarithm of the likelihood ratio bounds the chance from above (Chernoff); it must be below
+    ``chance`` divided by the number of pairs tested.
+    """
+    own, base = F.col("n_both") / F.col("n_term"), F.col("n_entity") / F.lit(float(max(total, 1)))
+    rest = F.when(F.col("n_both") < F.col("n_term"), (1 - own) * F.log((1 - own) / (1 - base))).otherwise(0.0)
+    evidence = F.col("n_term") * (own * F.log(own / base) + rest)
+    return (own > base) & (evidence >= math.log(max(tested, 1) / chance))
+
+
+def _revealing(seen: DataFrame, total: int, support: int, generalise: float, chance: float) -> DataFrame:
     """term, n_term, share: the terms that reveal an entity, with the largest share."""
     entities = stage_table(
         seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -161,6 +180,7 @@ def _revealing(seen: DataFrame, total: int, support: int, generalise: float) ->
         .where(F.col("n_term") >= support),
         "counts",
     )
+    tested = counts.count() * entities.count()
     own = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
     # As n_both <= n_entity, a term of more documents cannot have the share; the rest is for rounding.
     most = F.col("n_entity") * F.exp(own * F.lit(1.0 - generalise)) * F.lit(1.000001)
@@ -179,20 +199,43 @@ def _revealing(seen: DataFrame, total: int, support: int, generalise: float) ->
         .where(F.col("n_both") >= support)
     )
     lift = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    shares = together.withColumn("share", F.least(F.lit(1.0), lift / own)).where(F.col("share") >= generalise)
+    shares = together.where(_unlikely(total, tested, chance)).withColumn("share", F.least(F.lit(1.0), lift / own))
+    shares = shares.where(F.col("share") >= generalise)
     return stage_table(shares.groupBy("term", "n_term").agg(F.max("share").alias("share")), "revealing")
 
 
-def _places(docs: DataFrame, revealing: DataFrame, number: int) -> DataFrame:
-    """row_key, row_key2, term, start, end of each place of a revealing term, and of some others."""
-    bits = min(MAP_BITS, 1 << max(10, (16 * number).bit_length()))
-    at = F.pmod("term", F.lit(bits))
-    words = revealing.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(
+def _filter(revealing: DataFrame, number: int) -> Callable[[int], bool]:
+    """Tells, in tasks, whether a term may be a revealing one."""
+    if number <= EXACT_TERMS:
+        terms = np.sort(revealing.select("term").toArrow()["term"].to_numpy())
+
+        def exact(term: int) -> bool:
+            at = int(np.searchsorted(terms, term))
+            return at < len(terms) and int(terms[at]) == term
+
+        return exact
+    bits = min(FILTER_BITS, 1 << (16 * number - 1).bit_length())
+    low, high = F.col("term").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("term", 32).bitwiseOR(F.lit(1))
+    places = F.array(*[(low + n * high).bitwiseAND(F.lit(bits - 1)) for n in range(FILTER_HASHES)])
+    at = F.col("at")
+    words = revealing.select(F.explode(places).alias("at")).groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("set")
     ).toArrow()
-    held = np.zeros(bits // 64, "<i8")
-    held[words["word"].to_numpy()] = words["set"].to_numpy()
-    held = held.tobytes()
+    map_of = np.zeros(bits // 64, "<i8")
+    map_of[words["word"].to_numpy()] = words["set"].to_numpy()
+    held = map_of.tobytes()
+
+    def likely(term: int) -> bool:
+        low, high = term & 0xFFFFFFFF, (term >> 32 & 0xFFFFFFFF) | 1
+        at = [(low + n * high) & (bits - 1) for n in range(FILTER_HASHES)]
+        return all(held[x >> 3] >> (x & 7) & 1 for x in at)
+
+    return likely
+
+
+def _places(docs: DataFrame, revealing: DataFrame, number: int) -> DataFrame:
+    """row_key, row_key2, term, start, end of each place of a revealing term, and maybe of a few others."""
+    wanted = _filter(revealing, number)
     ddl = "row_key long, row_key2 int, term long, start int, end int"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
@@ -201,8 +244,7 @@ def _places(docs: DataFrame, revealing: DataFrame, number: int) -> DataFrame:
 
         def term(word: str) -> int | None:
             n = _number(word.lower())
-            at = n & (bits - 1)
-            known[word] = n if held[at >> 3] >> (at & 7) & 1 else None
+            known[word] = n if wanted(n) else None
             return known[word]
 
         for part in text_slices(batches, "text"):
@@ -227,14 +269,15 @@ def _places(docs: DataFrame, revealing: DataFrame, number: int) -> DataFrame:
 
 def personal_spans(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    support: int = SUPPORT, generalise: float = GENERALISE,
+    support: int = SUPPORT, generalise: float = GENERALISE, chance: float = CHANCE,
 ) -> DataFrame:
     """Per row: row_key, row_key2, doc_id, base and terms (arrays of spans).
 
     ``base`` has the spans of the patterns, by kind (email, ip, card, phone) and start; ``terms`` those
     of revealing terms, with ``share``, how much of an entity's information they reveal at most. Places
     are code points, ends exclusive. A term counts if it shares at least ``support`` documents with the
-    same entity; then all its places outside of ``base`` are spans, in documents without the entity too.
+    same entity, and more than chance gives: over all pairs of a term and an entity of ``support`` documents
+    or more, one that is independent passes with a probability of ``chance`` at most. Then all its places outside of ``base`` are spans, in documents without the entity too.
 
     Null and empty texts have no spans. Repeated rows count as documents of their own and get equal
     spans; null ids are kept; other columns are not read. No rows give no rows.
@@ -244,7 +287,7 @@ def personal_spans(
     rows = seen.where(F.col("base").isNotNull()).select("row_key", "row_key2", "doc_id", "base")
     keys = ["row_key", "row_key2"]
     nothing = F.array().cast("array<struct<start: int, end: int, share: double>>")
-    revealing = _revealing(seen, rows.count(), support, generalise)
+    revealing = _revealing(seen, rows.count(), support, generalise, chance)
     number = revealing.count()
     if not number:
         return rows.withColumn("terms", nothing)

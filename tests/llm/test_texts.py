@@ -144,13 +144,19 @@ def plain_terms(rows, support=sanitising.SUPPORT, generalise=sanitising.GENERALI
         for kind, s, e in spans:
             value = text[s:e].lower() if kind == "email" else re.sub("[^0-9]", ".", text[s:e])
             entities.setdefault((kind, value), set()).add(i)
-    out = set()
+    out, total = set(), len(rows)
+    entities = {e: at for e, at in entities.items() if support <= len(at) < total}
+    having = {term: held for term, held in having.items() if len(held) >= support}
     for at in entities.values():
         for term, held in having.items():
-            both = len(at & held)
-            if both >= support and len(at) < len(rows):
-                share = math.log(both * len(rows) / (len(held) * len(at))) / math.log(len(rows) / len(at))
-                out |= {term} if share >= generalise else set()
+            both, n = len(at & held), len(held)
+            if both >= support:
+                share = math.log(both * total / (n * len(at))) / math.log(total / len(at))
+                evidence = both * math.log(both / n / (len(at) / total))
+                if both < n:
+                    evidence += (n - both) * math.log((1 - both / n) / (1 - len(at) / total))
+                significant = both / n > len(at) / total and evidence >= math.log(len(entities) * len(having) / 0.05)
+                out |= {term} if share >= generalise and significant else set()
     return [[(a, b) for term, a, b in own if term in out] for own in places]
 
 
@@ -167,6 +173,28 @@ def test_terms_far_from_the_entity_and_without_it(spark):
     assert not any("Ottokar" in clean[i] for i in (200, 201, 202, 300)) and "Wiesel" not in clean[200]
 
 
+def test_filter_of_many_terms(spark, monkeypatch):
+    """Beyond the exact list, the filter lets all revealing terms through and hardly another."""
+    terms = spark.range(3000).selectExpr("xxhash64(id) AS term")
+    monkeypatch.setattr(sanitising, "EXACT_TERMS", 0)
+    likely = sanitising._filter(terms, 3000)
+    assert all(likely(r.term) for r in terms.collect())
+    others = spark.range(10_000, 30_000).selectExpr("xxhash64(id) AS term").collect()
+    assert sum(likely(r.term) for r in others) < 40
+    rows = [*revealing(), *texts()]
+    found = sanitising.personal_spans(documents(spark, rows)).collect()
+    got = Counter((r.doc_id, tuple((t.start, t.end) for t in r.terms)) for r in found)
+    assert got == Counter((i, tuple(spans)) for (i, _), spans in zip(rows, plain_terms(rows), strict=True))
+
+
+def test_terms_that_meet_an_entity_by_chance(spark):
+    """A word of two documents that happen to hold one address is no evidence among so many pairs."""
+    rows = [(i, f"{prose(i, 30)} word{chr(97 + i % 20)}x{chr(97 + i // 2 % 26)}") for i in range(120)]
+    rows += [(500 + i, f"{prose(900 + i, 30)} a.{i % 9}@mail.example.com" + " Rarissima" * (i in (0, 9))) for i in range(18)]
+    found = sanitising.personal_spans(documents(spark, rows)).collect()
+    assert plain_terms(rows) == [[] for _ in rows] and not any(r.terms for r in found)
+
+
 def test_sanitising_awkward_documents(spark):
     docs = documents(spark)
     out = sanitising.sanitise(docs)
