@@ -1,8 +1,9 @@
 """CSV with a header row; every cell is a string.
 
-A file without quotes has one row per line, so its lines are split natively in
-parallel. Files with quotes cannot be split safely and are streamed by the csv
-module, one task per file.
+A file without quotes has one row per line, so its lines are split natively. The
+splits of files with quotes are parsed in parallel too (see quoted_csv). Only
+files that Spark's reader cannot read as they are (hidden names, byte order
+marks) are streamed by the csv module, one task per file.
 """
 
 from __future__ import annotations
@@ -10,16 +11,26 @@ from __future__ import annotations
 import csv
 import io
 from collections import Counter
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tamis import fixed
 from tamis.dataset import FIELD_DDL
+from tamis.operators.skew import attach_by_key
 from tamis.sources.decode import open_file, safe
 from tamis.sources.json_array import scan_whole_files
-from tamis.sources.lines import bytes_problem, numbered_lines, void_file_rows
+from tamis.sources.lines import bytes_problem, numbered_lines, split_lines, void_file_rows
 from tamis.sources.manifest import Manifest, SourceFile
+from tamis.sources.quoted_csv import quoted_rows, unlimited
+from tamis.staging import stage
+
+# Names, paths and headers of files are broadcast if they have so many bytes at most.
+BROADCAST_BYTES = 32_000_000
 
 
 def _string_field(name: str, value: str) -> dict:
@@ -49,7 +60,7 @@ def _file_rows(file_ord: int, path: str, uri: str):
     if bytes_problem(uri):
         yield from void_file_rows(fixed.DETAIL_CSV_BYTES)(file_ord, path, uri)
         return
-    csv.field_size_limit(2**31 - 1)  # a cell may be as long as a string
+    unlimited()
     with open_file(uri) as stream:
         reader = csv.reader(io.TextIOWrapper(stream, encoding="utf-8", newline="\n"))
         header, broken = None, None
@@ -83,27 +94,41 @@ def _file_rows(file_ord: int, path: str, uri: str):
             yield row(0, line, detail=detail, field_name=name)
 
 
-def _plain_rows(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """Rows of files whose lines are rows, natively."""
-    lines = lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
-    headers = {
-        r.file_ord: r.value
-        for r in lines.filter("line_number = 1").select("file_ord", "value").collect()
-    }  # one line per file
-    good, void = [], []
-    for file_ord, line in headers.items():
-        names = line.split(",") if line else []
-        problem = _header_problem(names)
-        (void if problem else good).append((file_ord, problem or names))
-    header_table = F.broadcast(
-        spark.createDataFrame(good, "file_ord int, header array<string>")
-    )
-    cells = F.split("value", ",", -1)
-    rows = (
-        lines.filter("line_number > 1 and value <> ''")
-        .join(header_table, "file_ord")
-        .withColumn("cells", cells)
-    )
+_HEADER_DDL = "file_ord int, path string, length long, header array<string>, line long, field_name string, detail string"
+
+
+def _headers(files: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row per file: its header, or in ``detail`` what voids the file."""
+    first = cells.where("first_line = 1").select("file_ord", "cells")
+    known = files.select("file_ord", "path", "length").join(first, "file_ord", "left")
+    schema = to_arrow_schema(StructType.fromDDL(_HEADER_DDL))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file in batch.to_pylist():
+                header = file.pop("cells")
+                detail, field_name, line = _header_problem(header) or (None, None, None)
+                rows.append({**file, "header": header if detail is None else None, "line": line,
+                             "field_name": field_name, "detail": None if detail is None else safe(detail)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return known.mapInArrow(run, _HEADER_DDL)
+
+
+def _with_header(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows of files with a good header, with that header."""
+    good = headers.where("detail IS NULL").select("file_ord", "header", "length")
+    size = good.agg(F.sum(F.length(F.to_json("header")) + 16)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(good.drop("length")), "file_ord")
+    return attach_by_key(rows, good, "file_ord", "length", "line_number").where("header IS NOT NULL").drop("length")
+
+
+def _decoded(cells: DataFrame, files: DataFrame, problems: DataFrame | None) -> DataFrame:
+    """Decoded rows of ``cells`` (file_ord, path, first_line, line_number, cells) and the files' issues."""
+    headers = stage(_headers(files, cells))  # one narrow row per file
+    rows = _with_header(cells.where((F.col("first_line") > 1) & (F.size("cells") > 0)), headers)
     fits = F.size("cells") == F.size("header")
     field = F.zip_with(
         "header",
@@ -121,39 +146,56 @@ def _plain_rows(spark: SparkSession, lines: DataFrame) -> DataFrame:
     width = F.format_string(
         fixed.DETAIL_CSV_WIDTH.replace("{}", "%d"), "line_number", F.size("cells"), F.size("header")
     )
+    none = F.lit(None).cast("long")
     decoded = rows.select(
-        "file_ord",
-        "path",
-        F.col("line_number").alias("pos"),
-        "line_number",
-        F.lit(None).cast("long").alias("array_index"),
+        "file_ord", "path", F.col("line_number").alias("pos"), "line_number", none.alias("array_index"),
         F.when(fits, field).cast(f"array<{FIELD_DDL}>").alias("fields"),
-        F.lit(None).cast("string").alias("field_name"),
-        F.when(~fits, width).alias("detail"),
+        F.lit(None).cast("string").alias("field_name"), F.when(~fits, width).alias("detail"),
     )
-    if not void:
-        return decoded
-    problems = spark.createDataFrame(
-        [(o, 0, line, None, None, name, safe(detail)) for o, (detail, name, line) in void],
-        "file_ord int, pos long, line_number long, array_index long, "
-        f"fields array<{FIELD_DDL}>, field_name string, detail string",
+    nothing = F.lit(None).cast(f"array<{FIELD_DDL}>").alias("fields")
+    void = headers.where("detail IS NOT NULL").select(
+        "file_ord", "path", F.lit(0).cast("long").alias("pos"), F.col("line").alias("line_number"),
+        none.alias("array_index"), nothing, "field_name", "detail",
     )
-    paths = lines.filter("line_number = 1").select("file_ord", "path")
-    return decoded.unionByName(problems.join(paths, "file_ord").select(*decoded.columns))
+    decoded = decoded.unionByName(void)
+    if problems is None:
+        return decoded
+    malformed = F.format_string(fixed.DETAIL_CSV_MALFORMED.replace("{}", "%s"), "line_number", "detail")
+    return decoded.unionByName(problems.select(  # listed before the file's other issues
+        "file_ord", "path", F.lit(-1).cast("long").alias("pos"), "line_number", none.alias("array_index"), nothing,
+        F.lit(None).cast("string").alias("field_name"), malformed.alias("detail"),
+    ))
 
 
 def scan_csv(spark: SparkSession, manifest: Manifest, files: list[SourceFile]) -> DataFrame:
-    empty = [f for f in files if f.length == 0]
     lines = numbered_lines(spark, manifest, [f for f in files if f.length], csv=True)
+    value = F.regexp_replace("value", "\r$", "")
+    cells = lines.frame.select(
+        "file_ord", "path", F.col("line_number").alias("first_line"), "line_number",
+        F.when(value != "", F.split(value, ",", -1)).otherwise(F.array().cast("array<string>")).alias("cells"),
+    )
+    known, problems = [*lines.plain, *(f for f in files if not f.length)], None
+    if lines.quoted:
+        placed = manifest.frame(spark, lines.quoted).select("file_ord", "path", "name")
+        rows, problems = quoted_rows(split_lines(spark, lines.quoted))
+        rows, problems = _placed(rows, placed), _placed(problems, placed)
+        cells = cells.unionByName(rows) if lines.plain else rows
+        known += lines.quoted
     parts = []
-    if lines.plain:
-        parts.append(_plain_rows(spark, lines.frame))
+    if known:
+        parts.append(_decoded(cells, manifest.frame(spark, known), problems))
     if lines.bad_bytes:
         void = void_file_rows(fixed.DETAIL_CSV_BYTES)
         parts.append(scan_whole_files(spark, manifest, lines.bad_bytes, void))
-    if lines.quoted or empty:
-        parts.append(scan_whole_files(spark, manifest, lines.quoted + empty, _file_rows))
-    decoded = parts[0]
-    for part in parts[1:]:
-        decoded = decoded.unionByName(part)
-    return decoded
+    if lines.apart:
+        parts.append(scan_whole_files(spark, manifest, lines.apart, _file_rows))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows with file_ord and path in place of the name."""
+    size = files.agg(F.sum(F.length("path") + F.length("name") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(files), "name").drop("name")
+    weighed = files.join(rows.groupBy("name").agg(F.count(F.lit(1)).alias("weight")), "name")
+    return attach_by_key(rows, weighed, "name", "weight", "line_number").drop("name", "weight")

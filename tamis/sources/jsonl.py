@@ -60,6 +60,6 @@ def scan_jsonl(spark: SparkSession, manifest: Manifest, files: list[SourceFile])
     if lines.bad_bytes:
         void = void_file_rows(fixed.DETAIL_JSONL_BYTES)
         decoded = decoded.unionByName(scan_whole_files(spark, manifest, lines.bad_bytes, void))
-    if lines.quoted:  # hidden names and byte order marks
-        decoded = decoded.unionByName(scan_whole_files(spark, manifest, lines.quoted, _file_rows))
+    if lines.apart:  # hidden names and byte order marks
+        decoded = decoded.unionByName(scan_whole_files(spark, manifest, lines.apart, _file_rows))
     return decoded

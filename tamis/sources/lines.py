@@ -23,12 +23,24 @@ LINE_DDL = "file_ord int, path string, line_number long, value string"
 
 @dataclass(frozen=True)
 class Lines:
-    """``frame``: file_ord, path, line_number, value. The others: files set apart."""
+    """``frame``: file_ord, path, line_number, value of the plain files. ``quoted``: files whose lines
+    are not rows; ``bad_bytes`` and ``apart``: files to be read one by one."""
 
     frame: DataFrame
     plain: list[SourceFile]
     bad_bytes: list[SourceFile]
     quoted: list[SourceFile]
+    apart: list[SourceFile]
+
+
+def split_lines(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
+    """name, split (where it begins), length (of the file) and value of each line, in order in a split."""
+    return spark.read.option("lineSep", "\n").text([f.uri for f in files]).select(
+        "value",
+        F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.col("_metadata.file_size").alias("length"),
+    )
 
 
 def _marked_files(spark: SparkSession, manifest: Manifest, files: list[SourceFile]) -> set[int]:
@@ -53,25 +65,16 @@ def numbered_lines(
     """Lines of ``files`` with 1-based physical numbers.
 
     Set apart, to be read file by file: files with hidden names or a byte order
-    mark, and for CSV files whose lines are not rows (quotes, inner carriage
-    returns). Files with bytes that are not UTF-8 are void.
+    mark. Of CSV files, those whose lines are not rows (quotes, inner carriage
+    returns) are ``quoted``. Files with bytes that are not UTF-8 are void.
     """
     none = spark.createDataFrame([], LINE_DDL)
     marked = _marked_files(spark, manifest, files) if files else set()
     apart = [f for f in files if f.hidden or f.file_ord in marked]
     usual = [f for f in files if f not in apart]
     if not usual:
-        return Lines(none, [], [], apart)
-    text = (
-        spark.read.option("lineSep", "\n")
-        .text([f.uri for f in usual])
-        .select(
-            "value",
-            F.col("_metadata.file_name").alias("name"),
-            F.col("_metadata.file_block_start").alias("split"),
-        )
-        .withColumn("at", F.monotonically_increasing_id())
-    )
+        return Lines(none, [], [], [], apart)
+    text = split_lines(spark, usual).withColumn("at", F.monotonically_increasing_id())
     # Quotes, and carriage returns before the end.
     odd = F.col("value").rlike("\"|\r[\\s\\S]")
     splits = text.groupBy("name", "split").agg(
@@ -89,7 +92,7 @@ def numbered_lines(
     quoted = [f for f in usual if f.name in flagged and f not in bad]
     plain = [f for f in usual if f.name not in flagged]
     if not plain:
-        return Lines(none, [], bad, quoted + apart)
+        return Lines(none, [], bad, quoted, apart)
     placed = starts.select("name", "split", "first_at", "base").join(
         F.broadcast(manifest.frame(spark, plain).select("file_ord", "path", "name")), "name"
     )
@@ -101,7 +104,7 @@ def numbered_lines(
         (F.col("base") + F.col("at") - F.col("first_at") + 1).alias("line_number"),
         "value",
     )
-    return Lines(lines, plain, bad, quoted + apart)
+    return Lines(lines, plain, bad, quoted, apart)
 
 
 def bytes_problem(uri: str) -> str | None:

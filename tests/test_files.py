@@ -227,6 +227,56 @@ def test_csv_paths_agree_with_the_csv_module(spark, folder):
         assert own == csv_expected(text)
 
 
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def whole_file(text: str):
+    """Good rows, wrong widths and the complaint of the csv module that reads the file as one."""
+    reader = csv.reader(io.TextIOWrapper(io.BytesIO(text.encode()), "utf-8", newline="\n"))
+    rows, widths, broken, header = [], [], None, None
+    try:
+        header = next(reader)
+        for row in reader:
+            if row:
+                (rows if len(row) == len(header) else widths).append((reader.line_num, row))
+    except csv.Error as exc:
+        broken = (reader.line_num, f"Malformed CSV on line {reader.line_num}: {exc}")
+    return header, rows, [n for n, _ in widths], broken
+
+
+def test_quoted_csv_in_splits(spark, folder, small_splits):
+    """Rows, line numbers and complaints of split files are those of files read as one."""
+    rng = random.Random(5)
+    texts = {
+        "long__csv": 'h,k\n"' + "x\n" * 200 + '",1\n2,3\n"' + 'a""b\n\n' * 100 + '",9\n5,6',
+        "open__csv": 'h,k\n1,2\n3,"' + "never closed\n" * 30, "open_end__csv": 'h,k\n1,2\n3,"' + "never closed\n" * 30 + "x",
+        "header__csv": '"h\n' + "y\n" * 60 + '",k\n1,2\n', "in_header__csv": '"h" x\rz,k\n1,2\n' * 9,
+        "wrong__csv": "h,k\n" + '1,"2"\n' * 20 + '"3\n4"\r5,6\n' + '1,"2"\n' * 20,
+        "crlf__csv": 'h,k\r\n"1\r\n",2\r\n\r\n' * 20,
+    }
+    for n in range(5):
+        parts = ['a', '"', '""', ',', '"x y"', '"\n"', '\n', '\n', 'b,c\n', '"d\ne",f\n'] + (['\r\n'] if n % 2 else [])
+        texts[f"odd{n}__csv"] = "h,k\n" + "".join(rng.choices(parts, k=250)) + ('"' if n % 3 else "")
+    path = folder(**texts)
+    names = [f"{path}/{n.replace('__', '.')}" for n in texts]
+    assert spark.read.text(names).rdd.getNumPartitions() > 25
+    ds = read_records(spark, path)
+    issues, found_rows = [r.asDict(recursive=True) for r in ds.parse_issues.collect()], records(ds)
+    for name, text in texts.items():
+        header, rows, widths, broken = whole_file(text)
+        at = name.replace("__", ".")
+        own = [(loc.line_number, v) for loc, v in found_rows if loc.source_file.endswith("/" + at)]
+        assert own == [(n, dict(zip(header, row))) for n, row in rows], name
+        found = [(i["loc"]["line_number"], i["detail"]) for i in issues if i["loc"]["source_file"].endswith("/" + at)]
+        assert sorted(n for n, d in found if d.startswith("CSV row")) == widths, name
+        assert [f for f in found if f[1].startswith("Malformed")] == ([broken] if broken else []), name
+        assert any("no header" in d for _, d in found) == (header is None), name
+
+
 def test_csv_defects(spark, folder):
     ds = read_records(
         spark,
