@@ -236,6 +236,14 @@ ORACLE_SQL = {
     "pii_spans": f"""WITH {PII}
         SELECT doc_id, 'text' AS field_name, pii_category, span_start, span_end,
                pii_category || ' detected in field ''text''' AS detail FROM pii""",
+    "pii_contacts": """WITH letter AS (
+            SELECT c_custkey, c_custkey % 7 < 6 AS street,
+                28 + length((c_custkey % 100000)::VARCHAR) + length(c_mktsegment) + 2
+                + length(['Street', 'Avenue', 'Road', 'Boulevard', 'Lane', 'Drive', 'Place'][c_custkey % 7 + 1]) AS stop
+            FROM customer)
+        SELECT c_custkey, 'phone' AS pii_category, 5 AS span_start, 17 AS span_end FROM letter
+        UNION ALL SELECT c_custkey, 'physical_address', 28, stop FROM letter WHERE street
+        UNION ALL SELECT c_custkey, 'government_id', stop + 25, stop + 36 FROM letter""",
     "pii_counts": f"""WITH {PII} SELECT pii_category, count(*) AS n_spans,
         count(DISTINCT doc_id) AS n_records FROM pii GROUP BY 1""",
     # Cards shadowed by an e-mail do not occur outside e-mails, so replacing
@@ -371,13 +379,19 @@ ORACLE_SQL = {
     "csv_roundtrip": "SELECT doc_id, text, lang FROM documents",
     "parquet_roundtrip": "SELECT doc_id, text, lang FROM documents",
     "jsonl_lines": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "csv_lines": """SELECT row_number() OVER (ORDER BY o_orderkey) + 1 AS line_number,
+    "csv_lines": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place,
         o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders""",
-    "parse_errors": """SELECT 'parse_error' AS category, 'Malformed JSON on line '
-        || row_number() OVER (ORDER BY c_custkey) || ': Expecting value: line 1 column 1 (char 0)'
-        AS detail, 1::BIGINT AS n FROM customer""",
-    "first_unrepresentable_value": """SELECT 0::BIGINT AS record_index, 'embedding' AS field_name,
-        count(*) AS n_records FROM embeddings""",
+    "mixed_folder_contents": """SELECT min(doc_id) AS doc_id, 2 * count(*) AS n_records
+        FROM documents GROUP BY doc_id, text, lang""",
+    "csv_width_errors": """SELECT CASE WHEN c_custkey % 3 = 0 THEN 'parse_error' ELSE 'record' END AS kind,
+        row_number() OVER (ORDER BY c_custkey) + 1 AS line_number,
+        CASE WHEN c_custkey % 3 = 0 THEN 'CSV row on line ' || (row_number() OVER (ORDER BY c_custkey) + 1)
+            || ' has 3 fields but the header declares 2' ELSE c_name || ', key' END AS detail FROM customer""",
+    "parse_errors": """SELECT 'parse_error' AS category, true AS located, count(*) AS n
+        FROM customer WHERE trim(c_name) <> ''""",
+    "first_unrepresentable_value": """SELECT min(place) FILTER (label = 7 AND embedding IS NOT NULL) AS record_index,
+        'embedding' AS field_name, count(*) AS n_records
+        FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)""",
     "export_field_names": """SELECT * FROM (VALUES (0, 'text', 'string'), (1, 'lang', 'string'),
         (2, 'quality', 'integer,null'), (3, 'toxic', 'integer,null')) AS f(pos, name, types)""",
     "round_trip_differences": "SELECT count(*) AS n_different FROM documents WHERE false",

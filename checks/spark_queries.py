@@ -177,6 +177,24 @@ def pii_spans(spark, sf_dir):
     )
 
 
+def pii_contacts(spark, sf_dir):
+    """Telephone numbers, addresses and ids, and look-alikes, in letters made of customers' keys."""
+    parts = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey",
+        "lpad(c_custkey % 1000, 3, '0') AS a", "lpad(c_custkey % 100, 2, '0') AS b", "lpad(c_custkey % 10000, 4, '0') AS c",
+        "concat(c_custkey % 100000, ' ', initcap(c_mktsegment), ' ', element_at(array('Street', 'Avenue', 'Road', "
+        "'Boulevard', 'Lane', 'Drive', 'Place'), cast(c_custkey % 7 + 1 AS int))) AS address",
+    )
+    letters = parts.selectExpr(
+        "c_custkey", "concat('Ring ', a, '-', a, '-', c, ' or write: ', address, '; no ', a, '-', b, '-', c, "
+        "'x, valid ', a, '-', b, '-', c, '.') AS text",
+    )
+    return detect_pii(records_from_table(letters, ["text"], "c_custkey", "letters")).select(
+        F.col("rec_ord").alias("c_custkey"), "pii_category", F.col("span.start").alias("span_start"),
+        F.col("span.end").alias("span_end"),
+    )
+
+
 def pii_counts(spark, sf_dir):
     return detect_pii(documents(spark, sf_dir)).groupBy("pii_category").agg(
         F.count(F.lit(1)).alias("n_spans"), F.count_distinct("rec_ord").alias("n_records")
@@ -463,35 +481,73 @@ def jsonl_lines(spark, sf_dir):
 
 
 def csv_lines(spark, sf_dir):
-    """Quote-free CSV, whose lines are split and numbered in parallel."""
+    """Quote-free CSV in several files with headers, whose lines are split and numbered in parallel."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"
     )
     folder = new_folder(spark, "orders")
-    orders.orderBy(F.col("o_orderkey").cast("bigint")).coalesce(1).write.csv(folder, header=True)
+    orders.repartitionByRange(8, F.col("o_orderkey").cast("bigint")).sortWithinPartitions(
+        F.col("o_orderkey").cast("bigint")
+    ).write.csv(folder, header=True)
     name_parts(spark, folder, "csv")
-    return read_records(spark, folder).df.select(
-        F.col("loc.line_number").alias("line_number"),
-        *[_field(n)["str"].alias(n) for n in orders.columns],
+    ds = read_records(spark, folder)
+    return ds.df.join(record_positions(ds.df.select("rec_ord")), "rec_ord").select(
+        F.col("rec_idx").alias("place"), *[_field(n)["str"].alias(n) for n in orders.columns],
+    )
+
+
+def mixed_folder_contents(spark, sf_dir):
+    """Documents as JSONL and again as Parquet in one folder: equal records are one content."""
+    ds = records_from_table(
+        table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"], "doc_id", "documents"
+    )
+    folder = new_folder(spark, "mixed")
+    export_records(ds, "jsonl", folder)
+    table(spark, sf_dir, "documents").select("lang", "text", "doc_id").write.mode("append").parquet(folder)
+    mixed = read_records(spark, folder)
+    contents = mixed.df.select(mixed.content.key().alias("key"), _field("doc_id")["json"].cast("bigint").alias("doc_id"))
+    return contents.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_records")).drop("key")
+
+
+def csv_width_errors(spark, sf_dir):
+    """Addresses with one comma or two under a header of two columns: located issues and records."""
+    lines = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 3 == 0, F.format_string('"%s, key",%d,x', "c_name", "c_custkey"))
+        .otherwise(F.format_string('"%s, key",%d', "c_name", "c_custkey")).alias("line"),
+    )
+    header = spark.createDataFrame([(-1, "name,key")], "c_custkey long, line string")
+    folder = new_folder(spark, "widths")
+    write_lines(header.unionByName(lines).coalesce(1), ["c_custkey"], folder, "csv")
+    ds = read_records(spark, folder)
+    good = ds.df.select(
+        F.lit("record").alias("kind"), F.col("loc.line_number").alias("line_number"), _field("name")["str"].alias("detail")
     )
+    return good.unionByName(ds.parse_issues.select(
+        F.col("category").alias("kind"), F.col("loc.line_number").alias("line_number"), "detail"
+    ))
 
 
 def parse_errors(spark, sf_dir):
-    """Plain text lines read as JSONL: one parse error per line that is not blank."""
+    """Plain text lines read as JSONL: one parse error per line that is not blank, in however many files."""
     lines = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("line"))
     folder = new_folder(spark, "names")
     write_lines(lines, ["c_custkey"], folder, "jsonl")
-    return read_records(spark, folder).parse_issues.groupBy("category", "detail").agg(
-        F.count(F.lit(1)).alias("n")
+    found = read_records(spark, folder).parse_issues
+    located = F.col("detail") == F.concat(
+        F.lit("Malformed JSON on line "), F.col("loc.line_number"), F.lit(": Expecting value: line 1 column 1 (char 0)")
     )
+    return found.groupBy("category", located.alias("located")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_unrepresentable_value(spark, sf_dir):
-    ds = records_from_table(
-        table(spark, sf_dir, "embeddings"), ["label", "embedding"], "vec_id", "embeddings"
+    """The first vector of the label 7 is the first one that a CSV cell cannot hold."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "embedding", F.when(F.col("label") == 7, F.col("embedding"))
     )
-    index, name = exports.first_unrepresentable(ds, "csv")
-    counts = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n_records"))
+    ds = records_from_table(vectors, ["label", "embedding"], "vec_id", "embeddings")
+    index, name = exports.first_unrepresentable(ds, "csv") or (None, None)
+    counts = vectors.agg(F.count(F.lit(1)).alias("n_records"))
     return counts.select(
         F.lit(index).cast("bigint").alias("record_index"),
         F.lit(name).alias("field_name"),
@@ -519,7 +575,7 @@ QUERIES = {
     for f in (
         token_counts, token_metrics, word_set_sizes, record_text, non_alnum_ratios, number_text,
         field_type_profile, blank_fields, quality_issues, quality_short, quality_gibberish,
-        quality_empty, pii_spans, pii_counts, redacted_documents, luhn_check, toxicity_flags,
+        quality_empty, pii_spans, pii_contacts, pii_counts, redacted_documents, luhn_check, toxicity_flags,
         toxicity_scores, toxicity_bad_threshold, exact_duplicates, exact_duplicate_labels,
         first_occurrences, repeated_orders, near_duplicates, near_duplicates_low,
         near_duplicate_turns, duplicate_issues, schema_declared, schema_inferred,
@@ -527,7 +583,7 @@ QUERIES = {
         all_issues, report_markdown_lines, report_json_issues, explorer_search, explorer_clean,
         explorer_category, explorer_page, explorer_pages, explorer_preview, record_categories,
         record_issue_nest, record_numbers, exact_duplicate_customers, near_duplicate_customers,
-        json_roundtrip, jsonl_roundtrip, csv_roundtrip, parquet_roundtrip, jsonl_lines, csv_lines,
-        parse_errors, first_unrepresentable_value, export_field_names, round_trip_differences,
+        json_roundtrip, jsonl_roundtrip, csv_roundtrip, parquet_roundtrip, jsonl_lines, csv_lines, mixed_folder_contents,
+        csv_width_errors, parse_errors, first_unrepresentable_value, export_field_names, round_trip_differences,
     )
 }

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.functions import text as tx
+from tamis.functions.canonical import canonical, content_key, sized
 from tamis.functions.numbers import float_array_texts, float_text, nested_texts
 from tamis.issues import LOC_DDL
 
@@ -27,7 +28,7 @@ _STRINGS = (T.StringType, T.CharType, T.VarcharType)
 
 # One schemaless field. ``str`` is set for strings only. Every other type has its
 # JSON text in ``json`` (key order kept), the text it contributes in ``parts``,
-# and in ``canon`` the JSON text with sorted keys where that differs from ``json``.
+# and in ``canon`` its canonical text, which equal values share in all formats.
 FIELD_DDL = (
     "struct<name:string,type:string,str:string,json:string,canon:string,finite:boolean,"
     "parts:array<string>>"
@@ -103,36 +104,6 @@ def _text_parts(value: Column, dtype: T.DataType) -> Column | None:
     return None
 
 
-def _typed_key_part(value: Column, dtype: T.DataType) -> Column:
-    """Text that differs whenever two values of one column differ."""
-    if isinstance(dtype, _STRINGS):
-        return value
-    if isinstance(dtype, T.BinaryType):
-        return F.base64(value)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    if isinstance(dtype, T.ArrayType):
-        parts = F.transform(value, lambda v: _net(_typed_key_part(v, dtype.elementType)))
-        return F.concat(F.lit("a"), F.size(value).cast("string"), F.lit(":"), F.array_join(parts, ""))
-    if isinstance(dtype, T.StructType):
-        parts = [_net(_typed_key_part(value[f.name], f.dataType)) for f in dtype.fields]
-        return F.when(value.isNotNull(), F.concat(F.lit("o"), *parts))
-    if isinstance(dtype, T.MapType):
-        parts = F.transform(
-            F.map_entries(value),
-            lambda e: F.concat(
-                _net(_typed_key_part(e["key"], dtype.keyType)), _net(_typed_key_part(e["value"], dtype.valueType))
-            ),
-        )
-        return F.concat(F.lit("m"), F.array_join(F.array_sort(parts), ""))
-    return value.cast("string")
-
-
-def _net(part: Column) -> Column:
-    """Length-prefixed text, so that joined parts cannot run into each other."""
-    return F.coalesce(F.concat(F.octet_length(part).cast("string"), F.lit(":"), part), F.lit("n"))
-
-
 @dataclass(frozen=True)
 class TypedContent:
     """Record fields held as the typed columns of a table."""
@@ -167,9 +138,10 @@ class TypedContent:
 
     def key(self) -> Column:
         """Binary digest equal for two records exactly when their content is equal."""
-        parts = [_net(_typed_key_part(F.col(f"`{n}`"), self.schema[n].dataType))
-                 for n in sorted(self.names)]
-        return F.unhex(F.sha2(F.concat(*parts), 256)) if parts else F.unhex(F.lit("00"))
+        parts = [
+            F.concat(sized(F.lit(n)), canonical(F.col(f"`{n}`"), self.schema[n].dataType)) for n in sorted(self.names)
+        ]
+        return content_key(parts)
 
     def blank(self, name: str) -> Column:
         if name not in self.names:
@@ -281,13 +253,10 @@ class TaggedContent:
             "fields",
             lambda f: F.struct(
                 f["name"].alias("name"),
-                F.when(f["type"] == "string", F.concat(F.lit("s"), _net(f["str"])))
-                .otherwise(F.concat(F.lit("j"), _net(F.coalesce(f["canon"], f["json"]))))
-                .alias("value"),
+                F.when(f["type"] == "string", F.concat(F.lit("s"), sized(f["str"]))).otherwise(f["canon"]).alias("value"),
             ),
         )
-        flat = F.transform(F.array_sort(parts), lambda p: F.concat(_net(p["name"]), p["value"]))
-        return F.unhex(F.sha2(F.array_join(flat, ""), 256))
+        return content_key([F.array_join(F.transform(F.array_sort(parts), lambda p: F.concat(sized(p["name"]), p["value"])), "")])
 
     @staticmethod
     def _field_blank(f: Column) -> Column:

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from typing import Any
 
 from tamis import fixed
+from tamis.functions.canonical import canonical_text
+from tamis.functions.canonical import storable as safe
 
 CHUNK = 1 << 20
 
@@ -59,15 +61,6 @@ class BadBytes(ValueError):
         super().__init__(f"'utf-8' codec can't decode {where}: {exc.reason}")
 
 
-def safe(text: str) -> str:
-    """Text that can be stored as UTF-8; lone surrogates become escapes."""
-    try:
-        text.encode("utf-8")
-        return text
-    except UnicodeEncodeError:
-        return text.encode("utf-8", "backslashreplace").decode("utf-8")
-
-
 def _flatten(value: Any, parts: list[str]) -> bool:
     """Collect the text of a decoded value; tells whether all its numbers are finite."""
     if isinstance(value, str):
@@ -99,9 +92,7 @@ def tagged_field(name: str, value: Any) -> dict:
     field["parts"] = []
     field["finite"] = _flatten(value, field["parts"])
     field["json"] = safe(json.dumps(value, ensure_ascii=False, default=repr))
-    if tag in ("list", "object"):
-        canon = safe(json.dumps(value, ensure_ascii=False, sort_keys=True, default=repr))
-        field["canon"] = canon if canon != field["json"] else None
+    field["canon"] = canonical_text(value)
     return field
 
 

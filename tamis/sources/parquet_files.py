@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tamis import fixed
 from tamis.dataset import FIELD_DDL, TypedContent, type_tag
+from tamis.functions.canonical import canonical
 from tamis.functions.numbers import float_text
 from tamis.sources.decode import open_file, safe, tagged_record
 from tamis.sources.json_array import scan_whole_files
@@ -112,7 +113,7 @@ def tagged_fields(schema: T.StructType, names: list[str]) -> Column:
             F.when(null, F.lit("null")).otherwise(F.lit(tag)).alias("type"),
             string.alias("str"),
             F.when(null, F.lit("null")).otherwise(json).alias("json"),
-            none.alias("canon"),
+            F.when(F.lit(tag != "string"), canonical(value, dtype)).alias("canon"),
             finite.alias("finite"),
             F.when(null, F.array().cast("array<string>")).otherwise(parts).alias("parts"),
         ).cast(FIELD_DDL)

@@ -9,6 +9,8 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tamis.dataset import records_from_table
@@ -20,6 +22,7 @@ from tamis.errors import (
     UnrepresentableValue,
     UnsupportedFormat,
 )
+from tamis.functions.canonical import canonical_text
 from tamis.operators.equivalence import equivalent
 from tamis.plans.path import analyze_path
 from tamis.sinks.exports import export_records
@@ -29,6 +32,12 @@ from tamis.sources.json_array import array_elements
 from tamis.sources.manifest import detect_format, list_files
 
 
+VALUES = st.recursive(
+    st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text("aé:;0", max_size=4),
+    lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text("ab:0", max_size=2), v, max_size=3), max_leaves=6,
+)
+
+
 @pytest.fixture
 def folder(tmp_path):
     def write(**files):
@@ -302,6 +311,38 @@ def test_csv_defects(spark, folder):
     ]
 
 
+# One content in several formats
+
+
+def test_equal_records_of_all_formats_are_one_content(spark, folder):
+    nested = {"s": 'é "q" \\u000b \x0b \n', "i": 7, "f": 0.1, "b": True, "n": None,
+              "l": [1, 2, None], "d": [1e-7, 2.0, -0.0], "o": {"z": "x", "a": [{"k": "v", "j": None}], "m": 1.5}}
+    moved = {k: nested[k] for k in reversed(nested)}
+    moved["o"] = {k: nested["o"][k] for k in ("m", "z", "a")}
+    other = {**nested, "i": 7.0}
+    path = folder(
+        a__jsonl="".join(json.dumps(r) + "\n" for r in (nested, moved, other)), b__json=json.dumps([moved]),
+    )
+    pq.write_table(pa.Table.from_pylist([nested, nested]), f"{path}/c.parquet")
+    pq.write_table(pa.Table.from_pylist([moved]), f"{path}/d.parquet")
+    pq.write_table(pa.Table.from_pylist([moved]), f"{path}/_hidden.parquet")
+    ds = read_records(spark, path)
+    keys = [bytes(r.k) for r in ds.df.select(ds.content.key().alias("k")).collect()]
+    assert len(keys) == 8 and sorted(keys.count(k) for k in set(keys)) == [1, 7]
+    typed = records_from_table(spark.read.parquet(f"{path}/c.parquet"), list(nested), F.monotonically_increasing_id())
+    assert {bytes(r.k) for r in typed.df.select(typed.content.key().alias("k")).collect()} == {
+        k for k in keys if keys.count(k) == 7
+    }
+
+
+@settings(deadline=None, max_examples=200)
+@given(VALUES, VALUES)
+def test_canonical_texts_tell_values_apart(a, b):
+    same = json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+    assert (canonical_text(a) == canonical_text(b)) == same
+    assert canonical_text([a, b]) != canonical_text([b, a]) or same
+
+
 # Parquet
 
 
