@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis import fixed
@@ -13,20 +13,27 @@ from tamis.dataset import Dataset
 from tamis.functions.text import three_decimals
 from tamis.issues import DUPLICATES, issue, literal_issues, order_key
 from tamis.operators.numbering import record_positions
-from tamis.operators.similarity import similar_pairs
-from tamis.operators.skew import attach_by_key
+from tamis.operators.similarity import similar_pairs, similarity_column
+from tamis.operators.skew import attach_by_key, crowded_keys, join_in_blocks
 from tamis.staging import stage_table
 
 FIRST = -(2**63)
 
 
-def duplicate_features(dataset: Dataset) -> DataFrame:
-    """What duplicate detection needs of each record: ``rec_ord, loc, key, rec_idx``.
+def scan_records(dataset: Dataset, threshold: float, **more: Column) -> DataFrame:
+    """Staged ``rec_ord, loc, key`` of each record, ``sig`` for the similarity join, and more columns.
 
-    Staged, so that contents are digested and records numbered once, in one scan.
+    All that needs the records' contents, so they are read once.
     """
-    rows = dataset.df.select("rec_ord", "loc", dataset.content.key().alias("key"))
-    return stage_table(record_positions(stage_table(rows, "keys")), "features")
+    sig = similarity_column(dataset, threshold)
+    columns = {"key": dataset.content.key(), **({} if sig is None else {"sig": sig}), **more}
+    return stage_table(dataset.df.select("rec_ord", "loc", *[c.alias(n) for n, c in columns.items()]), "scan")
+
+
+def duplicate_features(dataset: Dataset, scan: DataFrame | None = None) -> DataFrame:
+    """What duplicate issues need of each record: ``rec_ord, loc, key, rec_idx``, staged."""
+    rows = scan_records(dataset, 0) if scan is None else scan
+    return stage_table(record_positions(rows.select("rec_ord", "loc", "key")), "features")
 
 
 def exact_groups(dataset: Dataset) -> DataFrame:
@@ -86,14 +93,14 @@ def exact_duplicate_issues(dataset: Dataset, copies: DataFrame | None = None) ->
 
 
 def near_duplicate_pairs(
-    dataset: Dataset, threshold: float, copies: DataFrame | None = None
+    dataset: Dataset, threshold: float, copies: DataFrame | None = None, scan: DataFrame | None = None
 ) -> DataFrame:
-    """Pairs ``(rec_ord, other_ord, score)`` of similar records.
+    """Staged pairs ``(rec_ord, other_ord, score)`` of similar records.
 
     ``rec_ord`` is always a first occurrence; ``other_ord`` is any earlier record
     with different content, so a copy of similar content counts again.
     """
-    pairs = stage_table(similar_pairs(dataset, threshold), "pairs")
+    pairs = stage_table(similar_pairs(dataset, threshold, scan), "pairs")
     firsts = pairs.select(
         F.col("later_ord").alias("rec_ord"), F.col("earlier_ord").alias("other_ord"), "score"
     )
@@ -101,12 +108,13 @@ def near_duplicate_pairs(
     copies = copies.select(
         F.col("first_ord").alias("earlier_ord"), F.col("rec_ord").alias("other_ord")
     )
+    crowded = crowded_keys(pairs, copies, "earlier_ord")
     repeats = (
-        pairs.join(copies, "earlier_ord")
+        join_in_blocks(pairs, copies, "earlier_ord", crowded, "later_ord", "other_ord")
         .filter("other_ord < later_ord")
         .select(F.col("later_ord").alias("rec_ord"), "other_ord", "score")
     )
-    return firsts.unionByName(repeats)
+    return stage_table(firsts.unionByName(repeats), "near_pairs")
 
 
 def near_duplicate_issues(
@@ -114,14 +122,23 @@ def near_duplicate_issues(
     threshold: float,
     copies: DataFrame | None = None,
     features: DataFrame | None = None,
+    scan: DataFrame | None = None,
 ) -> DataFrame:
     if features is None:
-        features = duplicate_features(dataset)
-    pairs = near_duplicate_pairs(dataset, threshold, copies)
+        scan = scan_records(dataset, threshold)
+        features = duplicate_features(dataset, scan)
+    if copies is None:
+        copies = stage_table(located_copies(features), "copies")
+    if threshold == 0 or scan is None or "sig" not in scan.columns:
+        scan = None
+    pairs = near_duplicate_pairs(dataset, threshold, copies, scan)
+    own = features.select("rec_ord", "rec_idx", "loc")
     other = features.select(
         F.col("rec_ord").alias("other_ord"), F.col("rec_idx").alias("other_idx"), F.col("loc").alias("other_loc")
     )
-    placed = pairs.join(features.drop("key"), "rec_ord").join(other, "other_ord")
+    placed = join_in_blocks(pairs, own, "rec_ord", crowded_keys(pairs, None, "rec_ord"), "other_ord", "rec_ord")
+    crowded = crowded_keys(pairs, None, "other_ord")
+    placed = join_in_blocks(placed, other, "other_ord", crowded, "rec_ord", "other_ord")
     return placed.select(
         issue(
             "near_duplicate",
@@ -141,17 +158,25 @@ def near_duplicate_issues(
     ).select("issue.*")
 
 
+def similarity_threshold(threshold: Any):
+    """The threshold in force, and what is wrong with the given one."""
+    return checked_threshold("similarity_threshold", threshold, fixed.DEFAULT_SIMILARITY_THRESHOLD)
+
+
 def detect_duplicates(
-    dataset: Dataset, threshold: Any = fixed.DEFAULT_SIMILARITY_THRESHOLD
+    dataset: Dataset, threshold: Any = fixed.DEFAULT_SIMILARITY_THRESHOLD, scan: DataFrame | None = None
 ) -> DataFrame:
-    """Exact and near duplicate issues; a bad threshold adds one config issue."""
-    effective, rejected = checked_threshold(
-        "similarity_threshold", threshold, fixed.DEFAULT_SIMILARITY_THRESHOLD
-    )
-    features = duplicate_features(dataset)
+    """Exact and near duplicate issues; a bad threshold adds one config issue.
+
+    ``scan``: from ``scan_records`` with the threshold that ``similarity_threshold`` gives, if there is one.
+    """
+    effective, rejected = similarity_threshold(threshold)
+    if scan is None:
+        scan = scan_records(dataset, effective)
+    features = duplicate_features(dataset, scan)
     copies = stage_table(located_copies(features), "copies")
     found = exact_duplicate_issues(dataset, copies).unionByName(
-        near_duplicate_issues(dataset, effective, copies, features)
+        near_duplicate_issues(dataset, effective, copies, features, scan)
     )
     if rejected:
         found = found.unionByName(

@@ -12,9 +12,13 @@ from tamis.issues import category_dimension
 
 def token_stats(dataset: Dataset) -> DataFrame:
     """One row: record count and mean (half to even), min and max tokens."""
-    tokens = dataset.df.select(token_count(dataset.content.text()).alias("tokens"))
+    return token_summary(dataset.df.select(token_count(dataset.content.text()).alias("tokens")))
+
+
+def token_summary(counts: DataFrame) -> DataFrame:
+    """The same of counts at hand, in a column ``tokens``."""
     zero = F.lit(0)
-    return tokens.agg(
+    return counts.agg(
         F.count(F.lit(1)).alias("record_count"),
         F.coalesce(
             F.bround(F.sum("tokens") / F.count(F.lit(1)), 0).cast("bigint"), zero
@@ -24,22 +28,37 @@ def token_stats(dataset: Dataset) -> DataFrame:
     )
 
 
+def flagged_ords(records: DataFrame, issues: DataFrame) -> DataFrame:
+    """Distinct ``rec_ord`` of the records (rec_ord, loc) that at least one issue points to.
+
+    A record-level issue carries the ``rec_ord`` of its record. One that has a location alone, as an
+    extra detector may give it, is matched with the record at that place; several issues of a place
+    are one before the join.
+    """
+    known = issues.filter("loc is not null and rec_ord is not null").select("rec_ord").distinct()
+    placed = issues.filter("loc is not null and rec_ord is null and category <> 'parse_error'").select("loc").distinct()
+    if placed.isEmpty():
+        return known
+    at = placed.select(F.xxhash64("loc").alias("at"), F.col("loc").alias("issue_loc"))
+    found = records.select("rec_ord", "loc", F.xxhash64("loc").alias("at")).join(at, "at")
+    found = found.filter(F.to_json("loc") == F.to_json("issue_loc"))
+    return known.unionByName(found.select("rec_ord")).distinct()
+
+
 def flagged_records(dataset: Dataset, issues: DataFrame) -> DataFrame:
     """Records at least one issue points to."""
-    located = issues.filter("loc is not null and rec_ord is not null").select("rec_ord")
-    return dataset.df.join(located.distinct(), "rec_ord", "left_semi")
+    return dataset.df.join(flagged_ords(dataset.df, issues), "rec_ord", "left_semi")
 
 
-def compute_metrics(dataset: Dataset, issues: DataFrame) -> DataFrame:
+def compute_metrics(dataset: Dataset, issues: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """One row of metrics; all zero for an empty dataset.
 
-    A record-level issue carries the ``rec_ord`` of its record, so counting
-    distinct values replaces the join with the records.
+    ``scan``: staged records (rec_ord, loc, tokens), where token counts are known.
     """
-    flagged = issues.filter("loc is not null and rec_ord is not null").agg(
-        F.count_distinct("rec_ord").alias("flagged")
-    )
-    both = token_stats(dataset).unionByName(flagged, allowMissingColumns=True)
+    records = dataset.df if scan is None else scan
+    flagged = flagged_ords(records, issues).agg(F.count(F.lit(1)).alias("flagged"))
+    tokens = token_stats(dataset) if scan is None else token_summary(scan)
+    both = tokens.unionByName(flagged, allowMissingColumns=True)
     both = both.agg(*[F.max(c).alias(c) for c in both.columns])  # two rows into one
     share = F.when(F.col("record_count") == 0, F.lit(0.0)).otherwise(
         F.col("flagged") / F.col("record_count")

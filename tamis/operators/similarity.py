@@ -9,7 +9,10 @@ are, and no word statistics are needed. A 64-bit word parity map travels along
 and discards most chance candidates inside the join.
 
 Low thresholds leave too few words per part; there the classic prefix filter on
-words ordered from rare to common is used instead.
+words ordered from rare to common is used instead. Only the most frequent words
+are ranked by frequency, any others count as rare, so tasks order words by a
+bounded list and no word is shuffled for it. A 1024-bit word parity map per set
+then rules out most candidates before word sets are compared.
 
 Either way candidates are then checked on the real word sets. Join keys shared
 by very many sets are cut into pairs of small blocks, so that the comparisons of
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 
 from tamis.dataset import Dataset
 from tamis.functions import text as tx
-from tamis.operators.skew import attach_by_key, block_keys, in_blocks, met_once
+from tamis.operators.skew import block_keys, crowded_keys, in_blocks, join_in_blocks, met_once
 from tamis.staging import stage, stage_table
 
 PARTS_FROM = 0.85
 BLOCKS = 64
+# Words that are ordered by their frequency; the others come before them, ordered by hash.
+RANKED_WORDS = 65_536
+MAP_WORDS = 16  # 64-bit words of a parity map
 _SLACK = 1e-9
 
 
@@ -151,15 +157,18 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(count, "earlier_ord", "later_ord").distinct()
 
 
-def _pairs_by_parts(dataset: Dataset, threshold: float) -> DataFrame:
+def similarity_column(dataset: Dataset, threshold: float) -> Column | None:
+    """What the join needs of each record: signatures, or word hashes below ``PARTS_FROM``."""
+    if threshold == 0:
+        return None
+    hashes = _word_hashes(dataset)
+    return _signatures_udf(threshold)(hashes) if threshold >= PARTS_FROM else hashes
+
+
+def _pairs_by_parts(scan: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of distinct contents that share a signature."""
-    signed_up = dataset.df.select(
-        dataset.content.key().alias("key"),
-        "rec_ord",
-        _signatures_udf(threshold)(_word_hashes(dataset)).alias("sig"),
-    )
     # Copies have equal signatures, so grouping by both merges them map-side.
-    distinct = signed_up.groupBy("key", "sig").agg(F.min("rec_ord").alias("id"))
+    distinct = scan.groupBy("key", "sig").agg(F.min("rec_ord").alias("id"))
     signed = stage_table(distinct.select("id", "sig.*"), "signatures")
     kinds = [("home", True), ("visit", False)]
     rows = [
@@ -183,32 +192,63 @@ def _pairs_by_parts(dataset: Dataset, threshold: float) -> DataFrame:
     return _distinct_pairs(matches.select(*_ordered(F.col("x.id"), F.col("y.id"))))
 
 
-def _pairs_by_prefix(dataset: Dataset, threshold: float) -> DataFrame:
-    """Candidate pairs of distinct contents that share a rare-first prefix word."""
-    sets = dataset.df.select(
-        dataset.content.key().alias("key"), "rec_ord", _word_hashes(dataset).alias("words")
-    )
-    distinct = sets.groupBy("key", "words").agg(F.min("rec_ord").alias("id"))
-    # explode_outer, because explode would add a filter that reads all words again.
-    words = distinct.select(
-        "id", F.size("words").alias("n"), F.explode_outer("words").alias("w")
-    ).filter("w is not null")
-    frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = attach_by_key(words, frequency, "w", "df", "id")
-    ordered = ranked.groupBy("id", "n").agg(
-        F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ranked")
-    )
+def _ranked_words(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``RANKED_WORDS`` most frequent words in order of their hashes, and their ranks from 1.
+
+    Any order of the words gives the same pairs; this one makes prefixes rare.
+    """
+    counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    top = counts.filter("df > 1").orderBy(F.desc("df"), "w").limit(RANKED_WORDS).toArrow()  # bounded
+    words, df = top["w"].to_numpy(), top["df"].to_numpy()
+    rank = np.empty(len(words), np.int64)
+    rank[np.lexsort((words, df))] = np.arange(1, len(words) + 1)
+    order = np.argsort(words)
+    return words[order], rank[order]
 
-    def needed(share: float) -> Column:
-        return F.col("n") - F.ceil(share * F.col("n") - _SLACK) + 1
 
-    prefix = ordered.select(
-        "id",
-        "n",
-        needed(2 * threshold / (1 + threshold)).alias("short"),
-        F.posexplode(F.slice("ranked", F.lit(1), needed(threshold).cast("int"))).alias("pos", "t"),
-    ).select("id", "n", "pos", "short", F.col("t.w").alias("w"))
-    blocked = in_blocks(stage_table(prefix, "prefixes"), "w", "id")
+def _prefix_udf(threshold: float, words: np.ndarray, rank: np.ndarray):
+    """The rarest words of a set, as many as qualifying sets must share one of, and the parity map."""
+
+    @F.arrow_udf("struct<prefix:array<bigint>,bits:array<bigint>>")
+    def prefixes(hashes: pa.Array) -> pa.Array:
+        size = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = hashes.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(size)), size)
+        at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+        known = words[at] == flat if len(words) else np.zeros(len(flat), bool)
+        order = np.lexsort((flat, np.where(known, rank[at] if len(words) else 0, 0), row))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        needed = np.where(size > 0, size - np.ceil(threshold * size - _SLACK).astype(np.int64) + 1, 0)
+        kept = place < needed[row]
+        starts = np.concatenate(([0], np.cumsum(np.minimum(needed, size))))
+        bits = np.zeros(len(size) * MAP_WORDS, np.uint64)
+        spot = _mix(flat.view(np.uint64), 8) & np.uint64(64 * MAP_WORDS - 1)
+        where = row * MAP_WORDS + (spot >> np.uint64(6)).astype(np.int64)
+        np.bitwise_xor.at(bits, where, np.uint64(1) << (spot & np.uint64(63)))
+        steps = pa.array(np.arange(len(size) + 1) * MAP_WORDS, pa.int32())
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat[order][kept])),
+                pa.ListArray.from_arrays(steps, pa.array(bits.view(np.int64))),
+            ],
+            ["prefix", "bits"],
+        )
+
+    return prefixes.asNondeterministic()
+
+
+def _pairs_by_prefix(scan: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs of distinct contents that share a rare-first prefix word."""
+    distinct = scan.groupBy("key", F.col("sig").alias("words")).agg(F.min("rec_ord").alias("id"))
+    sets = stage_table(distinct.filter(F.size("words") > 0).select("id", "words"), "word_sets")
+    chosen = sets.select("id", F.size("words").alias("n"), _prefix_udf(threshold, *_ranked_words(sets))("words").alias("p"))
+    chosen = stage_table(chosen.select("id", "n", "p.*"), "prefixes")
+    share = 2 * threshold / (1 + threshold)
+    prefix = chosen.select(
+        "id", "n", (F.col("n") - F.ceil(share * F.col("n") - _SLACK) + 1).alias("short"),
+        F.posexplode("prefix").alias("pos", "w"),
+    )
+    blocked = in_blocks(prefix, "w", "id")
     x, y = blocked.alias("x"), blocked.filter("pos < short").alias("y")
     rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     candidates = x.join(
@@ -222,8 +262,29 @@ def _pairs_by_prefix(dataset: Dataset, threshold: float) -> DataFrame:
         & (F.col("y.n") >= threshold * F.col("x.n") - _SLACK)
         & (rest >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - _SLACK),
     )
-    pairs = _distinct_pairs(candidates.select(*_ordered(F.col("x.id"), F.col("y.id"))))
-    return _likely(pairs, distinct.select("id", "words"), threshold)
+    pairs = stage(_distinct_pairs(candidates.select(*_ordered(F.col("x.id"), F.col("y.id")))))
+    near = stage(_near_maps(pairs, chosen.select("id", "n", "bits"), threshold))
+    return _likely(near, sets, threshold)
+
+
+def _beside(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Staged pairs with the columns of ``known`` (one row per id) of both records; hot records are spread."""
+    both, joined = ("earlier", "later"), pairs
+    for side, other in (both, both[::-1]):
+        named = known.select(*[F.col(c).alias(f"{side}_{'ord' if c == 'id' else c}") for c in known.columns])
+        crowded = crowded_keys(pairs, None, f"{side}_ord")
+        joined = join_in_blocks(joined, named, f"{side}_ord", crowded, f"{other}_ord", f"{side}_ord")
+    return joined
+
+
+def _near_maps(pairs: DataFrame, maps: DataFrame, threshold: float) -> DataFrame:
+    """Drop pairs whose parity maps differ in more bits than qualifying sets can in words."""
+    joined = _beside(pairs, maps)
+    differing = F.aggregate(
+        F.zip_with("earlier_bits", "later_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x
+    )
+    total = F.col("earlier_n") + F.col("later_n")
+    return joined.filter(differing <= _difference_share(threshold) * total + 1e-6).select("earlier_ord", "later_ord")
 
 
 def _likely(pairs: DataFrame, hashed: DataFrame, threshold: float) -> DataFrame:
@@ -233,10 +294,7 @@ def _likely(pairs: DataFrame, hashed: DataFrame, threshold: float) -> DataFrame:
     a hash (``lost``) can hide at most that many common words, so no pair that
     qualifies is dropped.
     """
-    def side(name: str) -> DataFrame:
-        return hashed.select(F.col("id").alias(f"{name}_ord"), F.col("words").alias(f"{name}_h"))
-
-    joined = pairs.join(side("earlier"), "earlier_ord").join(side("later"), "later_ord")
+    joined = _beside(pairs, hashed.select("id", F.col("words").alias("h")))
     shared = F.size(F.array_intersect("earlier_h", "later_h"))
     lost = F.size("earlier_h") - F.size(F.array_distinct("earlier_h"))
     total = F.size("earlier_h") + F.size("later_h")
@@ -282,30 +340,29 @@ def _every_pair(dataset: Dataset) -> DataFrame:
     )
 
 
-def similar_pairs(dataset: Dataset, threshold: float) -> DataFrame:
+def similar_pairs(dataset: Dataset, threshold: float, scan: DataFrame | None = None) -> DataFrame:
     """``(earlier_ord, later_ord, score)`` of distinct contents with score >= threshold.
 
-    Each content is represented by the ``rec_ord`` of its first record.
+    Each content is represented by the ``rec_ord`` of its first record. ``scan`` is a staged table of
+    rec_ord, key and ``similarity_column`` (as ``sig``), where there is one.
     """
     if threshold == 0:
         return _every_pair(dataset)
+    if scan is None:
+        columns = ["rec_ord", dataset.content.key().alias("key"), similarity_column(dataset, threshold).alias("sig")]
+        scan = stage_table(dataset.df.select(*columns), "scan")
     by_parts = threshold >= PARTS_FROM
-    candidates = stage((_pairs_by_parts if by_parts else _pairs_by_prefix)(dataset, threshold))
+    candidates = stage((_pairs_by_parts if by_parts else _pairs_by_prefix)(scan, threshold))
     ids = (
         candidates.select(F.col("earlier_ord").alias("rec_ord"))
         .unionByName(candidates.select(F.col("later_ord").alias("rec_ord")))
         .distinct()
     )
     sets = dataset.df.join(ids, "rec_ord", "left_semi").select(
-        "rec_ord", tx.word_set(dataset.content.text()).alias("words")
+        F.col("rec_ord").alias("id"), tx.word_set(dataset.content.text()).alias("words")
     )
-
-    def side(name: str) -> DataFrame:
-        return sets.select(
-            F.col("rec_ord").alias(f"{name}_ord"), F.col("words").alias(f"{name}_words")
-        )
-
-    scored = candidates.join(side("earlier"), "earlier_ord").join(side("later"), "later_ord")
+    # Both sides of the pairs read these sets, so texts are read for them once.
+    scored = _beside(candidates, stage_table(sets, "compared"))
     return scored.select(
         "earlier_ord",
         "later_ord",

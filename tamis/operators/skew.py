@@ -86,3 +86,47 @@ def met_once(left: str, right: str) -> Column:
     return (F.col(f"{left}._block") != F.col(f"{right}._block")) | (
         F.col(f"{left}._lo") == F.col(f"{left}._hi")
     )
+
+
+def crowded_keys(left: DataFrame, right: DataFrame | None, key: str) -> DataFrame | None:
+    """Keys with more than ``BLOCK_ROWS`` rows on a side that meet, with the blocks of both sides.
+
+    ``right`` is None where it has one row per key. None if there is no such key, as usual.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l"))
+    if right is None:
+        counts = counts.filter(F.col("_l") > BLOCK_ROWS).withColumn("_r", F.lit(1))
+    else:
+        others = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
+        counts = counts.join(others, key).filter(F.greatest("_l", "_r") > BLOCK_ROWS)
+    crowded = stage(
+        counts.select(
+            key,
+            F.ceil(F.col("_l") / BLOCK_ROWS).cast("int").alias("_l_blocks"),
+            F.ceil(F.col("_r") / BLOCK_ROWS).cast("int").alias("_r_blocks"),
+            F.greatest("_l", "_r").alias("_weight"),
+        )
+    )
+    return None if crowded.isEmpty() else crowded
+
+
+def join_in_blocks(
+    left: DataFrame, right: DataFrame, key: str, crowded: DataFrame | None, left_spread: str, right_spread: str
+) -> DataFrame:
+    """Inner join on ``key`` where many rows of both sides may share a value.
+
+    Both sides of a crowded key (see ``crowded_keys``) are cut into blocks by a hash of their spread
+    columns, and every pair of blocks is a join key of its own, so no task joins a whole hot key.
+    """
+    if crowded is None:
+        return left.join(right, key)
+
+    def placed(rows: DataFrame, own: str, other: str, spread: str, mine: str, theirs: str) -> DataFrame:
+        known = attach_by_key(rows, crowded, key, "_weight", spread)
+        block = F.pmod(F.xxhash64(spread), F.coalesce(own, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return known.withColumn(mine, block).withColumn(theirs, copies).drop("_l_blocks", "_r_blocks", "_weight")
+
+    x = placed(left, "_l_blocks", "_r_blocks", left_spread, "_l_block", "_r_block")
+    y = placed(right, "_r_blocks", "_l_blocks", right_spread, "_r_block", "_l_block")
+    return x.join(y, [key, "_l_block", "_r_block"]).drop("_l_block", "_r_block")

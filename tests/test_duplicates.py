@@ -110,6 +110,38 @@ def test_hot_groups_are_compared_in_blocks(dataset, monkeypatch, threshold):
     assert found(detect_duplicates(ds, threshold)) == brute_force(texts, threshold)
 
 
+def test_many_rows_of_both_sides_are_joined_in_blocks(spark, monkeypatch):
+    """A key of a third of all rows, on one side or both: the rows of a plain join, in small groups."""
+    monkeypatch.setattr(skew, "BLOCK_ROWS", 10)
+    left = spark.createDataFrame([(0 if i % 3 else i % 11, i) for i in range(300)], "k long, a long")
+    right = spark.createDataFrame([(0 if i % 3 == 0 else i % 13, i) for i in range(150)], "k long, b long")
+    one = spark.createDataFrame([(i, 10 * i) for i in range(11)], "k long, b long")
+    for other, unique in ((right, False), (one, True)):
+        crowded = skew.crowded_keys(left, None if unique else other, "k")
+        sizes = {r.k: (r._l_blocks, r._r_blocks) for r in crowded.collect()}
+        assert sizes[0] == (21, 1 if unique else 6)
+        joined = skew.join_in_blocks(left, other, "k", crowded, "a", "b")
+        assert joined.columns == ["k", "a", "b"]
+        assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, left.join(other, "k").collect()))
+    assert skew.crowded_keys(one, None, "k") is None
+
+
+def test_parity_maps_leave_few_candidates(dataset, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.sample(vocabulary, 60) for _ in range(120)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:50] + ["new"]) for b in base[:15]]
+    seen = {}
+    for name in ("_near_maps", "_likely"):
+        def counted(pairs, *args, name=name, run=getattr(similarity, name)):
+            seen[name] = pairs.count()
+            return run(pairs, *args)
+
+        monkeypatch.setattr(similarity, name, counted)
+    assert found(detect_duplicates(dataset([{"text": t} for t in texts]), 0.6)) == brute_force(texts, 0.6)
+    assert seen["_likely"] <= 20 < seen["_near_maps"]
+
+
 def test_block_pairs_meet_once(spark, monkeypatch):
     monkeypatch.setattr(skew, "BLOCK_ROWS", 4)
     rows = spark.createDataFrame([(i, 1 if i < 50 else i % 7 + 2) for i in range(90)], "id long, k long")

@@ -6,9 +6,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.config import AnalysisConfig
+from tamis.dataset import records_from_table
 from tamis.errors import ReportFailed, UnsupportedFormat
 from tamis.functions.pii import pii_spans
-from tamis.operators import explorer
+from tamis.issues import issue, order_key
+from tamis.operators import explorer, metrics
 from tamis.operators.metrics import compute_metrics
 from tamis.operators.personal_data import detect_pii
 from tamis.operators.quality import detect_quality
@@ -164,3 +167,34 @@ def test_display_spans(spark):
 def test_spans_of_columns_and_redaction_agree(spark):
     df = spark.createDataFrame([("a@b.org",)], "t string")
     assert len(df.select(pii_spans(F.col("t"))).first()[0]) == 1
+
+
+def test_texts_are_read_a_few_times(spark, tmp_path):
+    """Whatever an analysis needs of a text, it comes from one scan and the comparison of candidates."""
+    texts = [f"some words of record {i} with mail m{i}@b.org {'!' * (i % 9)}" for i in range(40)] * 2
+    spark.createDataFrame(list(enumerate(texts)), "i long, t string").write.parquet(str(tmp_path / "t"))
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        reads.add(1)
+        return text
+
+    for threshold in (0.9, 0.5):
+        before = reads.value
+        table = spark.read.parquet(str(tmp_path / "t")).withColumn("t", counted("t"))
+        result = analyze(records_from_table(table, ["t"], "i"), AnalysisConfig(similarity_threshold=threshold))
+        assert result.metrics.first().record_count == 80 and result.issues.count() > 80
+        assert reads.value - before <= 4 * len(texts)
+
+
+def test_an_issue_with_a_location_alone_counts(dataset):
+    ds = dataset([{"t": "three words here"}, {"t": "other words here now"}, {"t": "hi"}, {"t": "more words here"}])
+
+    def detector(data, config):
+        at = data.df.filter("rec_ord IN (0, 20)")
+        return at.select(issue("toxicity", order_key(2, F.col("rec_ord")), loc=F.col("loc")).alias("i")).select("i.*")
+
+    result = analyze(ds, AnalysisConfig(), extra_detectors=[detector, detector])
+    assert result.metrics.first().issue_record_proportion == 0.5  # records 0 and 2, which is short too
+    assert ids(metrics.flagged_records(ds, result.issues).orderBy("rec_ord")) == [0, 2]
