@@ -378,6 +378,8 @@ ORACLE_SQL = {
     "jsonl_roundtrip": "SELECT doc_id, text, lang FROM documents",
     "csv_roundtrip": "SELECT doc_id, text, lang FROM documents",
     "parquet_roundtrip": "SELECT doc_id, text, lang FROM documents",
+    "parquet_coordinates": """SELECT count(*) AS n_records, count(*) AS n_right, true AS several_groups
+        FROM orders""",
     "jsonl_lines": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "csv_lines": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place,
         o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders""",

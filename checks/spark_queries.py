@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamis.config import AnalysisConfig, QualityConfig, Schema
@@ -469,6 +469,27 @@ def parquet_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "parquet").df.select("doc_id", "text", "lang")
 
 
+def parquet_coordinates(spark, sf_dir):
+    """Row group and index of each order in files of many small row groups, against their order by key."""
+    orders = table(spark, sf_dir, "orders")
+    folder = new_folder(spark, "groups")
+    orders.repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").write.option(
+        "parquet.block.size", 20_000
+    ).option("parquet.page.row.count.limit", 500).option("parquet.page.size.row.check.min", 100).option(
+        "parquet.block.size.row.check.min", 100
+    ).parquet(folder)
+    found = read_records(spark, folder).df.select("o_orderkey", "loc.*")
+    file = Window.partitionBy("source_file").orderBy("o_orderkey")
+    group = Window.partitionBy("source_file", "row_group")
+    placed = found.withColumn("place", F.row_number().over(file) - 1)
+    placed = placed.withColumn("first", F.min("place").over(group))
+    right = F.col("row_index") == F.col("place") - F.col("first")
+    return placed.agg(
+        F.count(F.lit(1)).alias("n_records"), F.count_if(right).alias("n_right"),
+        (F.count_distinct("source_file", "row_group") > F.count_distinct("source_file")).alias("several_groups"),
+    )
+
+
 def jsonl_lines(spark, sf_dir):
     """JSON text of each event as one line of JSONL files."""
     lines = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("line"))
@@ -583,7 +604,7 @@ QUERIES = {
         all_issues, report_markdown_lines, report_json_issues, explorer_search, explorer_clean,
         explorer_category, explorer_page, explorer_pages, explorer_preview, record_categories,
         record_issue_nest, record_numbers, exact_duplicate_customers, near_duplicate_customers,
-        json_roundtrip, jsonl_roundtrip, csv_roundtrip, parquet_roundtrip, jsonl_lines, csv_lines, mixed_folder_contents,
+        json_roundtrip, jsonl_roundtrip, csv_roundtrip, parquet_roundtrip, parquet_coordinates, jsonl_lines, csv_lines, mixed_folder_contents,
         csv_width_errors, parse_errors, first_unrepresentable_value, export_field_names, round_trip_differences,
     )
 }

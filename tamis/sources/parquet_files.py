@@ -20,11 +20,13 @@ from tamis.functions.canonical import canonical
 from tamis.functions.numbers import float_text
 from tamis.sources.decode import open_file, safe, tagged_record
 from tamis.sources.json_array import scan_whole_files
-from tamis.sources.lines import BROADCAST_SPLITS
+from tamis.operators.skew import attach_by_key
 from tamis.sources.manifest import Manifest, SourceFile
 from tamis.staging import stage
 
 ORDER_BITS = 40
+# The row group starts of all files are broadcast if they have so many bytes at most.
+BROADCAST_BYTES = 32_000_000
 _FOOTER_DDL = (
     "file_ord int, name string, row_group int, first_row long, n_rows long, "
     "schema string, detail string"
@@ -139,6 +141,19 @@ def _group_rows(file_ord: int, path: str, uri: str):
         first += n_rows
 
 
+def _last_start(starts: Column, at: Column, most: int) -> Column:
+    """The place of the last of at most ``most`` sorted starts that is not behind ``at``.
+
+    A binary search from the largest power of two downwards, as a column expression.
+    """
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(most - 1, 1).bit_length()))])
+
+    def step(found: Column, width: Column) -> Column:
+        return F.when(F.get(starts, found + width) <= at, found + width).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def scan_parquet(
     spark: SparkSession, manifest: Manifest, files: list[SourceFile], check: bool = False
 ) -> tuple[list[tuple[DataFrame, list[str]]], DataFrame | None, DataFrame]:
@@ -166,17 +181,22 @@ def scan_parquet(
             apart.append(file)
         else:
             groups[seen.schema].append(file)
-    starts = found.filter("schema is not null").select(
-        F.col("file_ord").alias("_file_ord"),
-        F.col("name").alias("_name"),
-        F.col("row_group").alias("_row_group"),
-        F.col("first_row").alias("_first"),
-        F.col("n_rows").alias("_n"),
+    # One row per file: where its row groups start, in order.
+    starts = (
+        found.filter("schema is not null").groupBy("file_ord", "name")
+        .agg(
+            F.array_sort(F.collect_list("first_row")).alias("_starts"),
+            F.sum("n_rows").alias("_rows"),
+            F.count(F.lit(1)).alias("_groups"),
+        )
+        .join(manifest.frame(spark, files).select("file_ord", "path"), "file_ord")
+        .select(F.col("file_ord").alias("_file_ord"), F.col("path").alias("_path"), F.col("name").alias("_name"),
+                "_starts", "_rows", "_groups")
     )
-    paths = spark.createDataFrame([(f.file_ord, f.path) for f in files], "_file_ord int, _path string")
-    starts = starts.join(F.broadcast(paths), "_file_ord")
-    if starts.count() <= BROADCAST_SPLITS:
-        starts = F.broadcast(starts)
+    starts = stage(starts)
+    held, most = starts.agg(
+        F.sum(8 * F.col("_groups") + F.length("_path") + F.length("_name") + 64), F.max("_groups")
+    ).first()
     scans = []
     for same in groups.values():
         df = spark.read.parquet(*[f.uri for f in same])
@@ -184,17 +204,17 @@ def scan_parquet(
         placed = df.withColumns(
             {"_name": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")}
         )
-        located = placed.join(
-            starts,
-            (placed["_name"] == starts["_name"])
-            & (F.col("_at") >= F.col("_first"))
-            & (F.col("_at") < F.col("_first") + F.col("_n")),
-        ).select(
+        if held <= BROADCAST_BYTES:
+            located = placed.join(F.broadcast(starts.drop("_rows", "_groups")), "_name")
+        else:
+            located = attach_by_key(placed, starts, "_name", "_rows", "_at")
+        group = _last_start(F.col("_starts"), F.col("_at"), int(most))
+        located = located.withColumn("_row_group", group).select(
             *[F.col(f"`{n}`") for n in names],
             "_file_ord",
             "_path",
             "_row_group",
-            (F.col("_at") - F.col("_first")).alias("_row_index"),
+            (F.col("_at") - F.get("_starts", F.col("_row_group"))).alias("_row_index"),
             F.col("_at").alias("_pos"),
         )
         scans.append((located, names))

@@ -26,7 +26,7 @@ from tamis.functions.canonical import canonical_text
 from tamis.operators.equivalence import equivalent
 from tamis.plans.path import analyze_path
 from tamis.sinks.exports import export_records
-from tamis.sources import json_array
+from tamis.sources import json_array, parquet_files
 from tamis.sources.ingest import read_records
 from tamis.sources.json_array import array_elements
 from tamis.sources.manifest import detect_format, list_files
@@ -346,6 +346,25 @@ def test_canonical_texts_tell_values_apart(a, b):
 # Parquet
 
 
+@pytest.mark.parametrize("limit", [0, 32_000_000])
+def test_row_groups_are_found_by_search(spark, folder, monkeypatch, limit):
+    """Uneven and empty groups, in files with one group and with many; no join compares ranges."""
+    monkeypatch.setattr(parquet_files, "BROADCAST_BYTES", limit)
+    path, expected = folder(), []
+    for name, sizes in (("a", [3, 1, 5, 2, 7, 1, 1]), ("b", [4]), ("c", [0, 2, 3])):
+        with pq.ParquetWriter(f"{path}/{name}.parquet", pa.schema([("v", pa.string())])) as writer:
+            for group, size in enumerate(sizes):
+                writer.write_table(pa.table({"v": pa.array([f"{name}{group}.{i}" for i in range(size)], pa.string())}))
+    ds = read_records(spark, path)
+    rows = ds.df.select("v", "loc.row_group", "loc.row_index").collect()
+    assert len(rows) == 29
+    for r in rows:
+        group, index = r.v[1:].split(".")
+        assert (r.row_group, r.row_index) == (int(group), int(index)), r
+    plan = ds.df._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan and "_first" not in plan
+
+
 def test_parquet_row_groups_and_corrupt_files(spark, folder, tmp_path):
     path = folder(bad__parquet=b"PAR1 not really")
     table = pa.table({"i": list(range(10)), "s": [None] + ["x"] * 9})
