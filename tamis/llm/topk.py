@@ -1,9 +1,10 @@
 """Exact top-k inner products by term-at-a-time accumulation.
 
-Vectors are quantised and kept as blocks. For a block of queries and a block of candidates every
-dimension is one term: the candidates' posting list of that dimension (places and weights that are not
-zero) is scattered, weighted by the queries' components, into a dense score array. A partition
-selection keeps the best k of the block, and the blocks' winners are merged per query.
+Vectors are quantised; every dimension is a term. Candidates are dealt into stripes that visiting queries
+meet one after another (see stripes). A stripe turns its candidates into posting lists once: the places and
+weights that are not zero, per term. For a batch of queries each term's postings are scattered, weighted by
+the queries' components, into dense score arrays. A partition selection keeps the best k of the stripe per
+query, and the stripes' winners are merged by rank.
 """
 
 from __future__ import annotations
@@ -12,99 +13,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamis.llm.stripes import against_all, best, in_parts, matrix, whole_components
 from tamis.staging import stage_table
 
 SCALE = 1024
-QUERY_BLOCK = 256
-CANDIDATE_BLOCK = 1024
 _LONG = 2**63 - 1
-_BLOCK = "block long, n int, width int, ids binary, values binary"
-
-
-def _quantised(vectors: list, scale: int) -> list[np.ndarray | None]:
-    out = []
-    for v in vectors:
-        a = None if v is None or any(x is None for x in v) else np.array(v, dtype=np.float64)
-        out.append(None if a is None or not np.isfinite(a).all() else np.floor(scale * a))
-    return out
-
-
-def _blocks(df: DataFrame, size: int, scale: int) -> DataFrame:
-    """Rows of up to ``size`` vectors: their ids and a matrix, shorter vectors filled with zeros."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        ids: list[int] = []
-        rows: list[np.ndarray] = []
-
-        def emit() -> pa.RecordBatch:
-            width = max(len(r) for r in rows)
-            matrix = np.zeros((len(rows), width))
-            for i, r in enumerate(rows):
-                matrix[i, : len(r)] = r
-            return pa.RecordBatch.from_pydict(
-                {"block": pa.array([number], pa.int64()), "n": pa.array([len(rows)], pa.int32()),
-                 "width": pa.array([width], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()],
-                 "values": [matrix.tobytes()]}
-            )
-
-        for batch in batches:
-            vectors = _quantised(batch.column("embedding").to_pylist(), scale)
-            for vec_id, v in zip(batch.column("vec_id").to_pylist(), vectors, strict=True):
-                if v is not None and vec_id is not None:
-                    ids.append(vec_id)
-                    rows.append(v)
-                    if len(rows) == size:
-                        yield emit()
-                        number, ids, rows = number + 1, [], []
-        if rows:
-            yield emit()
-
-    return df.mapInArrow(build, _BLOCK)
-
-
-def _unpack(n: int, width: int, ids: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(values).reshape(n, width)
-
-
-def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Integer inner products, one term (dimension) after the other."""
-    width = min(queries.shape[1], candidates.shape[1])
-    queries, candidates = queries[:, :width], candidates[:, :width]
-    largest = max(np.abs(queries).max(initial=0), 1) * max(np.abs(candidates).max(initial=0), 1) * max(width, 1)
-    exact = largest < 2**62
-    if exact:
-        q, c = queries.astype(np.int64), candidates.astype(np.int64)
-        scores = np.zeros((len(q), len(c)), dtype=np.int64)
-    else:  # whole numbers of any size
-        whole = np.vectorize(int, otypes=[object])
-        q, c = whole(queries), whole(candidates)
-        scores = np.zeros((len(q), len(c)), dtype=object)
-    for term in range(width):
-        asking = np.flatnonzero(q[:, term])
-        posting = np.flatnonzero(c[:, term])
-        if not len(asking) or not len(posting):
-            continue
-        added = np.outer(q[asking, term], c[posting, term])
-        if len(asking) == len(q) and len(posting) == len(c):
-            scores += added
-        else:
-            scores[np.ix_(asking, posting)] += added
-    return scores if exact else np.clip(scores, -_LONG - 1, _LONG).astype(np.int64)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids, in that order."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+
+class Postings:
+    """The terms of a stripe's candidates: places and weights that are not zero."""
+
+    def __init__(self, values: np.ndarray):
+        self.number = len(values)
+        self.lists = []
+        for term in range(values.shape[1]):
+            places = np.flatnonzero(values[:, term])
+            whole = len(places) == len(values)  # then the scores are added to as they lie
+            self.lists.append((None if whole else places, values[places, term]))
+        self.largest = int(max(values.max(initial=0), -int(values.min(initial=0))))
+
+    def scores(self, queries: np.ndarray) -> np.ndarray:
+        """Inner products of all queries with all candidates, one term after the other, held to 64 bits."""
+        width = min(queries.shape[1], len(self.lists))
+        largest = int(max(queries.max(initial=0), -int(queries.min(initial=0)))) * self.largest * max(width, 1)
+        # Whole numbers of this size are exact in every step; others take Python's numbers.
+        kind = np.float64 if largest < 2**53 else np.int64 if largest < 2**63 else object
+        scores = np.zeros((len(queries), self.number), kind)
+        added = np.empty_like(scores)
+        for term, (places, weights) in enumerate(self.lists[:width]):
+            asking = np.flatnonzero(queries[:, term])
+            if not len(asking) or not len(weights):
+                continue
+            components, weights = queries[asking, term].astype(kind), weights.astype(kind)
+            if places is None and len(asking) == len(queries):
+                np.multiply(components[:, None], weights[None, :], out=added)
+                scores += added
+            elif places is None:
+                scores[asking] += np.multiply.outer(components, weights)
+            else:
+                scores[np.ix_(asking, places)] += np.multiply.outer(components, weights)
+        if kind is object:
+            scores = np.clip(scores, -_LONG - 1, _LONG)
+        return scores.astype(np.int64)
 
 
 def top_k(
@@ -115,44 +68,34 @@ def top_k(
 
     Columns: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. A component x
     counts as floor(scale * x). Rows with a null id, a null vector or a null or non-finite component
-    take no part; missing components of shorter vectors count as 0, an empty vector scores 0. Scores
-    beyond 64 bits are held to the nearest such number. A query id that occurs twice, or a repeated
-    candidate, is answered row by row after dropping equal results. Fewer than k candidates are all
-    returned; no queries or no candidates give no rows.
+    take no part; missing components of shorter vectors count as 0, an empty vector scores 0. Components
+    and scores beyond 64 bits are held to the nearest such number. Every query row is answered for itself,
+    also if its id occurs again, and a repeated candidate is a candidate of its own. Other columns are not
+    read. Fewer than k candidates are all returned; no queries or no candidates give no rows.
     """
-    as_pair = lambda df: df.select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")
-    )
-    asked = stage_table(_blocks(as_pair(queries), QUERY_BLOCK, scale), "query_blocks")
-    held = stage_table(_blocks(as_pair(vectors), CANDIDATE_BLOCK, scale), "blocks")
-    # Every block of the stated queries meets every block of candidates: candidate rows name the
-    # query blocks by number, so this is an equality join of blocks.
-    numbers = asked.select(F.collect_list("block").alias("asked"))  # one number per QUERY_BLOCK queries
-    pairs = held.join(F.broadcast(numbers)).withColumn("asked", F.explode("asked"))
-    pairs = pairs.join(
-        asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns]), F.col("asked") == F.col("q_block")
-    )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                r = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-                ids, values = _unpack(r["n"], r["width"], r["ids"], r["values"])
-                q_ids, q_values = _unpack(r["q_n"], r["q_width"], r["q_ids"], r["q_values"])
-                scores = _scores(q_values, values)
-                found: list[list[np.ndarray]] = [[], [], []]
-                for at, query in enumerate(q_ids):
+
+    def usable(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(vec_id).cast("long").alias("id"), whole_components(F.col(embedding), scale).alias("v"))
+        return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+
+    held = stage_table(usable(vectors).select(F.struct("id").alias("row"), "v"), "candidates")
+    asked = usable(queries).withColumn("q", F.monotonically_increasing_id())
+    asked = stage_table(asked.select(F.struct("q", "id").alias("row"), "v"), "queries")
+
+    def work(stripe: pa.Table, stream: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        postings, ids = Postings(matrix(stripe["v"])), stripe["id"].to_numpy()
+        for batch in stream:
+            for part in in_parts(batch, len(ids)):
+                scores, found = postings.scores(matrix(part["v"])), []
+                for row, (q, query) in enumerate(zip(part["q"].to_pylist(), part["id"].to_pylist(), strict=True)):
                     others = np.flatnonzero(ids != query)
-                    best = others[_best(scores[at][others], ids[others], k)]
-                    found[0].append(np.full(len(best), query))
-                    found[1].append(ids[best])
-                    found[2].append(scores[at][best])
-                yield pa.RecordBatch.from_pydict(
-                    dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, found), strict=True))
-                )
-
-    best = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
+                    top = others[best(scores[row][others], ids[others], k)]
+                    found.append((np.full(len(top), q), np.full(len(top), query), ids[top], scores[row][top]))
+                columns = (np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_pydict(dict(zip(("q", "query_id", "vec_id", "score"), columns, strict=True)))
+
+    found = against_all(held, asked, work, "q long, query_id long, vec_id long, score long")
     # The rank filter keeps k rows per query and task before the shuffle.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

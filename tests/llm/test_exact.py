@@ -302,17 +302,18 @@ def test_top_k(spark):
     vectors = [(i, [rnd.uniform(-1, 1) if rnd.random() < 0.6 else 0.0 for _ in range(9)]) for i in range(300)]
     vectors += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 9), (303, [float("inf")] * 9), (304, []),
                 (305, [0.5]), (306, [0.25] * 12), (400, vectors[1][1]), (401, vectors[1][1]), (None, [1.0] * 9),
-                (500, [3e18, -3e18])]
+                (500, [3e18, -3e18]), (100, vectors[100][1]), (200, [0.5] * 9), (200, [0.5] * 9)]  # repeated queries
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, block string")
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
     usable = [
-        (i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors
+        (i, [held(int(np.floor(1024 * x))) for x in v]) for i, v in vectors
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
     ]
     expected = Counter()
     for q, a in usable:
         if q % 100 == 0:
             scored = sorted(
-                (-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False)))), i)
+                (-held(sum(x * y for x, y in zip(a, b, strict=False))), i)
                 for i, b in usable if i != q
             )
             for rank, (score, i) in enumerate(scored[:10], 1):
