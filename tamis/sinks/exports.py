@@ -7,13 +7,14 @@ has its header), so reading the folder back gives the same records.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.dataset import Dataset, TypedContent
-from tamis.operators.numbering import record_positions
 from tamis.errors import MixedTypes, UnrepresentableValue, UnsupportedFormat
 from tamis.functions.numbers import float_text
 from tamis.sinks.files import name_parts
@@ -121,27 +122,39 @@ def _csv_columns(dataset: Dataset) -> list[Column]:
     return [F.coalesce(cell, F.lit("")).alias(name) for name, cell in cells.items()]
 
 
-def _nested_type(dataset: Dataset, name: str) -> str:
-    """Column type that holds all list or object values of a field."""
-    json = _field(name)["json"]
-    merged = dataset.df.agg(F.schema_of_variant_agg(F.try_parse_json(json)).alias("t")).first().t
+def _column_type(name: str, merged: str) -> str:
+    """Column type that holds all list or object values of a field, from their merged variant schema."""
     if "VARIANT" in merged:
         raise MixedTypes(f"field {name!r} holds values of different types")
-    import re
-
     merged = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", merged.replace("OBJECT", "STRUCT"))
     return re.sub(r"\bVOID\b", "STRING", merged)
 
 
+def _tagged_types(dataset: Dataset) -> list[Row]:
+    """Of each field, in order of first appearance: its types, the merged schema of its nested values, and
+    the first record with an integer beyond 64 bits. One job; tasks merge what they see of a field."""
+    fields = dataset.df.select("rec_ord", F.posexplode("fields").alias("pos", "f"))
+    nested = F.when(F.col("f.type").isin("list", "object"), F.col("f.json"))
+    wide = (F.col("f.type") == "integer") & F.col("f.json").try_cast("bigint").isNull()
+    return (
+        fields.groupBy(F.col("f.name").alias("name"))
+        .agg(
+            F.min(F.struct("rec_ord", "pos")).alias("first"),
+            F.array_sort(F.collect_set("f.type")).alias("types"),
+            F.schema_of_variant_agg(F.try_parse_json(nested)).alias("merged"),
+            F.min(F.when(wide, F.col("rec_ord"))).alias("wide"),
+        )
+        .orderBy("first")
+        .collect()
+    )  # one row per field
+
+
 _PARQUET_TYPES = {"integer": "bigint", "float": "double", "boolean": "boolean"}
 
 
-def _parquet_columns(dataset: Dataset) -> list[Column]:
-    content = dataset.content
-    if isinstance(content, TypedContent):
-        return content.columns
+def _parquet_columns(types: list[Row]) -> list[Column]:
     columns = []
-    for row in field_names(dataset).collect():
+    for row in types:
         f, kinds = _field(row.name), [t for t in row.types if t != "null"]
         if len(kinds) > 1:
             raise MixedTypes(f"field {row.name!r} holds {', '.join(kinds)}")
@@ -153,7 +166,7 @@ def _parquet_columns(dataset: Dataset) -> list[Column]:
             value = text.cast(_PARQUET_TYPES[kind])
         else:
             value = F.from_json(
-                F.when(f["type"] != "null", f["json"]), _nested_type(dataset, row.name)
+                F.when(f["type"] != "null", f["json"]), _column_type(row.name, row.merged)
             )
         columns.append(value.alias(row.name))
     return columns
@@ -171,17 +184,13 @@ def _framed(batches):
         yield pa.RecordBatch.from_pydict({"value": pa.array(["]"], pa.string())})
 
 
-def _first_beyond_64_bits(dataset: Dataset) -> tuple[int, str] | None:
+def _first_beyond_64_bits(dataset: Dataset, types: list[Row]) -> tuple[int, str] | None:
     """Position and field of the first integer that a Parquet column cannot hold."""
-    if isinstance(dataset.content, TypedContent):
-        return None
-    fields = dataset.df.select("rec_ord", F.explode("fields").alias("f"))
-    wide = fields.filter("f.type = 'integer' and try_cast(f.json as bigint) is null")
-    first = wide.agg(F.min(F.struct("rec_ord", F.col("f.name").alias("field"))).alias("first")).first().first
-    if first is None:
+    wide = [(row.wide, row.name) for row in types if row.wide is not None]
+    if not wide:
         return None
-    positions = record_positions(dataset.df.select("rec_ord"))
-    return positions.filter(F.col("rec_ord") == first.rec_ord).first().rec_idx, first.field
+    rec_ord, name = min(wide)
+    return dataset.df.filter(F.col("rec_ord") < rec_ord).count(), name
 
 
 def export_records(dataset: Dataset, fmt: str, path: str) -> list[str]:
@@ -192,8 +201,10 @@ def export_records(dataset: Dataset, fmt: str, path: str) -> list[str]:
     if fmt not in FORMATS:
         raise UnsupportedFormat(fmt)
     offence = first_unrepresentable(dataset, fmt)
-    if not offence and fmt == "parquet":
-        offence = _first_beyond_64_bits(dataset)
+    types = None
+    if fmt == "parquet" and not isinstance(dataset.content, TypedContent):
+        types = _tagged_types(dataset)
+        offence = offence or _first_beyond_64_bits(dataset, types)
     if offence:
         raise UnrepresentableValue(*offence, fmt)
     spark = dataset.df.sparkSession
@@ -203,7 +214,8 @@ def export_records(dataset: Dataset, fmt: str, path: str) -> list[str]:
         return name_parts(spark, path, fmt)
     ordered = dataset.df.orderBy("rec_ord")
     if fmt == "parquet":
-        ordered.select(*_parquet_columns(dataset)).write.parquet(path)
+        columns = dataset.content.columns if types is None else _parquet_columns(types)
+        ordered.select(*columns).write.parquet(path)
     elif fmt == "csv":
         ordered.select(*_csv_columns(dataset)).write.csv(
             path, header=True, quoteAll=True, quote='"', escape='"', lineSep="\n",

@@ -25,6 +25,7 @@ from tamis.errors import (
 from tamis.functions.canonical import canonical_text
 from tamis.operators.equivalence import equivalent
 from tamis.plans.path import analyze_path
+from tamis.sinks import exports
 from tamis.sinks.exports import export_records
 from tamis.sources import json_array, parquet_files
 from tamis.sources.ingest import read_records
@@ -511,3 +512,24 @@ def test_integers_beyond_64_bits_stop_a_parquet_export(spark, folder, tmp_path):
         export_records(read_records(spark, path), "parquet", target)
     assert "'n'" in str(caught.value) and "index 1" in str(caught.value)
     assert not (tmp_path / "out").exists()
+
+
+def test_parquet_export_finds_all_types_in_one_job(spark, dataset, tmp_path, monkeypatch):
+    """Merged schemas of several nested fields come from one aggregate; the first wide integer is named."""
+    seen = []
+    own = exports._tagged_types
+    monkeypatch.setattr(exports, "_tagged_types", lambda ds: seen.append(1) or own(ds))
+    ds = dataset([
+        {"a": {"x": 1}, "b": [1], "c": [[None]], "n": 1}, {"a": {"y": "q"}, "b": [2.5], "c": [["s"]], "n": None}, {"d": [{"k": True}]},
+    ])
+    export_records(ds, "parquet", str(tmp_path / "o"))
+    back = spark.read.parquet(str(tmp_path / "o"))
+    assert len(seen) == 1
+    assert {f.name: f.dataType.simpleString() for f in back.schema} == {
+        "a": "struct<x:bigint,y:string>", "b": "array<double>", "c": "array<array<string>>", "n": "bigint",
+        "d": "array<struct<k:boolean>>",
+    }
+    with pytest.raises(MixedTypes):
+        export_records(dataset([{"a": [1]}, {"a": ["x"]}]), "parquet", str(tmp_path / "p"))
+    with pytest.raises(UnrepresentableValue, match="1"):
+        export_records(dataset([{"m": 5, "n": 1}, {"n": 2**70}, {"m": 2**80}]), "parquet", str(tmp_path / "q"))
