@@ -53,15 +53,16 @@ def read_records(
     spark: SparkSession,
     path: str,
     max_file_bytes: int | None = None,
-    check_row_groups: bool = False,
+    check_row_groups: bool = True,
     keep: bool = True,
 ) -> Dataset:
     """Read a file, or the direct files of a folder, as one dataset.
 
     Parquet of a single schema stays typed. JSON and CSV are decoded in Python,
     so with ``keep`` the decoded rows are staged once instead of being decoded
-    by every operator. ``check_row_groups`` reads Parquet data ahead to report
-    unreadable row groups instead of failing on them.
+    by every operator. Unreadable Parquet row groups are issues; finding them reads
+    the data ahead, a task per row group. Without ``check_row_groups`` it is read
+    once, and an unreadable group fails the first job that meets it.
     """
     manifest = list_files(spark, path, max_file_bytes)
     decoded, issues, records = [], [], []

@@ -2,6 +2,9 @@
 
 Footers are read in tasks, one small read per file. They show which files are
 corrupt and where row groups start, and let files of one schema share one scan.
+Row groups are then read ahead, each by a task of its own, to find those that
+cannot be read; the readable groups of such files are decoded group by group,
+since Spark's reader would fail on the whole scan.
 """
 
 from __future__ import annotations
@@ -13,13 +16,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tamis import fixed
 from tamis.dataset import FIELD_DDL, TypedContent, type_tag
 from tamis.functions.canonical import canonical
 from tamis.functions.numbers import float_text
-from tamis.sources.decode import open_file, safe, tagged_record
-from tamis.sources.json_array import scan_whole_files
+from tamis.sources.decode import DECODED_DDL, safe, tagged_record
 from tamis.operators.skew import attach_by_key
 from tamis.sources.manifest import Manifest, SourceFile
 from tamis.staging import stage
@@ -27,6 +30,9 @@ from tamis.staging import stage
 ORDER_BITS = 40
 # The row group starts of all files are broadcast if they have so many bytes at most.
 BROADCAST_BYTES = 32_000_000
+MAX_TASKS = 10_000
+BATCH_ROWS = 8192
+_BAD_DDL = "file_ord int, row_group int, detail string"
 _FOOTER_DDL = (
     "file_ord int, name string, row_group int, first_row long, n_rows long, "
     "schema string, detail string"
@@ -42,10 +48,8 @@ def _open_parquet(uri: str) -> pq.ParquetFile:
     return pq.ParquetFile(filesystem.open_input_file(path))
 
 
-def footers(
-    spark: SparkSession, manifest: Manifest, files: list[SourceFile], check: bool
-) -> DataFrame:
-    """One row per row group, or per corrupt file. ``check`` also reads the data."""
+def footers(spark: SparkSession, manifest: Manifest, files: list[SourceFile]) -> DataFrame:
+    """One row per row group, or per corrupt file."""
 
     def read(file: dict):
         base = {"file_ord": file["file_ord"], "name": file["name"]}
@@ -57,22 +61,14 @@ def footers(
             return
         first = 0
         for group in range(meta.num_row_groups):
-            n_rows, detail = meta.row_group(group).num_rows, None
-            if check:
-                try:
-                    parquet.read_row_group(group)
-                except Exception as exc:
-                    detail = safe(fixed.DETAIL_PARQUET_GROUP.format(group, exc))
-            yield {**base, "row_group": group, "first_row": first, "n_rows": n_rows,
-                   "schema": schema, "detail": detail}
+            n_rows = meta.row_group(group).num_rows
+            yield {**base, "row_group": group, "first_row": first, "n_rows": n_rows, "schema": schema}
             first += n_rows
 
     fields = T.StructType.fromDDL(_FOOTER_DDL)
     names = fields.names
 
     def decode(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         for batch in batches:
             for file in batch.to_pylist():
                 rows = [{n: r.get(n) for n in names} for r in read(file)]
@@ -82,6 +78,34 @@ def footers(
     return chosen.mapInArrow(decode, _FOOTER_DDL)
 
 
+def _spread(groups: DataFrame) -> DataFrame:
+    """Row groups in tasks of a few groups each."""
+    number = groups.count()
+    return groups.repartition(max(1, min(number, MAX_TASKS)), "file_ord", "row_group")
+
+
+def checked_groups(groups: DataFrame) -> DataFrame:
+    """Row groups (file_ord, uri, row_group) that cannot be read: file_ord, row_group, detail.
+
+    Every page is decoded, some thousand rows at a time, and dropped.
+    """
+    schema = to_arrow_schema(T.StructType.fromDDL(_BAD_DDL))
+
+    def run(batches):
+        for batch in batches:
+            bad = []
+            for row in batch.to_pylist():
+                try:
+                    for _ in _open_parquet(row["uri"]).iter_batches(BATCH_ROWS, [row["row_group"]], use_threads=False):
+                        pass
+                except Exception as exc:
+                    detail = safe(fixed.DETAIL_PARQUET_GROUP.format(row["row_group"], exc))
+                    bad.append({"file_ord": row["file_ord"], "row_group": row["row_group"], "detail": detail})
+            yield pa.RecordBatch.from_pylist(bad, schema)
+
+    return _spread(groups).mapInArrow(run, _BAD_DDL)
+
+
 def tagged_fields(schema: T.StructType, names: list[str]) -> Column:
     """Typed columns as the ``fields`` array of schemaless records."""
     parts_of = TypedContent(schema, tuple(names))
@@ -123,22 +147,26 @@ def tagged_fields(schema: T.StructType, names: list[str]) -> Column:
     return F.array(*[one(n) for n in names])
 
 
-def _group_rows(file_ord: int, path: str, uri: str):
-    """Rows of a file with unreadable row groups, or a name Spark ignores."""
-    parquet, first = _open_parquet(uri), 0
-    for group in range(parquet.num_row_groups):
-        n_rows = parquet.metadata.row_group(group).num_rows
-        try:
-            rows = parquet.read_row_group(group).to_pylist()
-        except Exception:
-            rows = []  # reported by the footer pass
-        for index, row in enumerate(rows):
-            yield {
-                "file_ord": file_ord, "path": path, "pos": first + index, "line_number": index,
-                "array_index": group, "fields": tagged_record(row), "field_name": None,
-                "detail": None,
-            }
-        first += n_rows
+def _group_rows(groups: DataFrame) -> DataFrame:
+    """Rows of readable groups (file_ord, path, uri, row_group, first_row) of files that Spark cannot read as
+    they are, because of unreadable groups or a name that it ignores."""
+    schema = to_arrow_schema(T.StructType.fromDDL(DECODED_DDL))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                index = 0
+                base = {"file_ord": row["file_ord"], "path": row["path"], "array_index": row["row_group"],
+                        "field_name": None, "detail": None}
+                for part in _open_parquet(row["uri"]).iter_batches(BATCH_ROWS, [row["row_group"]], use_threads=False):
+                    rows = [
+                        {**base, "pos": row["first_row"] + index + i, "line_number": index + i, "fields": tagged_record(r)}
+                        for i, r in enumerate(part.to_pylist())
+                    ]
+                    index += len(rows)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return _spread(groups).mapInArrow(run, DECODED_DDL)
 
 
 def _last_start(starts: Column, at: Column, most: int) -> Column:
@@ -155,14 +183,22 @@ def _last_start(starts: Column, at: Column, most: int) -> Column:
 
 
 def scan_parquet(
-    spark: SparkSession, manifest: Manifest, files: list[SourceFile], check: bool = False
+    spark: SparkSession, manifest: Manifest, files: list[SourceFile], check: bool = True
 ) -> tuple[list[tuple[DataFrame, list[str]]], DataFrame | None, DataFrame]:
     """``(typed scans, rows of files read apart, footers)``.
 
     A typed scan has the file columns plus ``_file_ord``, ``_path``,
     ``_row_group``, ``_row_index`` and ``_pos``.
     """
-    found = stage(footers(spark, manifest, files, check))
+    found = stage(footers(spark, manifest, files))
+    placed_files = manifest.frame(spark, files).select("file_ord", "path", "uri")
+    if check:
+        groups = found.filter("schema is not null").select("file_ord", "row_group").join(placed_files, "file_ord")
+        bad = checked_groups(groups)
+        found = stage(
+            found.join(bad.withColumnRenamed("detail", "unreadable"), ["file_ord", "row_group"], "left")
+            .withColumn("detail", F.coalesce("detail", "unreadable")).drop("unreadable")
+        )
     per_file = {
         r.file_ord: r
         for r in found.groupBy("file_ord")
@@ -218,5 +254,9 @@ def scan_parquet(
             F.col("_at").alias("_pos"),
         )
         scans.append((located, names))
-    rows = scan_whole_files(spark, manifest, apart, _group_rows) if apart else None
+    rows = None
+    if apart:
+        chosen = manifest.frame(spark, apart).select("file_ord", "path", "uri")
+        good = found.filter("schema is not null and detail is null").select("file_ord", "row_group", "first_row")
+        rows = _group_rows(good.join(chosen, "file_ord"))
     return scans, rows, found

@@ -393,11 +393,17 @@ def test_unreadable_row_group(spark, folder):
     data = bytearray(open(file, "rb").read())
     data[start : start + 40] = b"\xff" * 40
     open(file, "wb").write(bytes(data))
-    ds = read_records(spark, path, check_row_groups=True)
-    assert [(r["loc"].row_group, r.detail[:31]) for r in ds.parse_issues.collect()] == [
-        (1, "Unreadable Parquet row group 1:")
+    pq.write_table(pa.table({"s": ["fine"] * 5}), f"{path}/y.parquet", row_group_size=2)
+    ds = read_records(spark, path)
+    assert [(r["loc"].source_file, r["loc"].row_group, r.detail[:31]) for r in ds.parse_issues.collect()] == [
+        (file, 1, "Unreadable Parquet row group 1:")
     ]
-    assert {loc.row_group for loc, _ in records(ds)} == {0, 2}
+    got = records(ds)
+    assert [(loc.row_group, loc.row_index) for loc, _ in got[:200]] == [(g, i) for g in (0, 2) for i in range(100)]
+    assert [v["s"] for _, v in got[:200]] == [f"value {i}" * 5 for i in range(300) if i // 100 != 1]
+    assert [(loc.row_group, loc.row_index) for loc, _ in got[200:]] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+    assert [r.detail[:31] for r in analyze_path(spark, path).analysis.issues.filter("category = 'parse_error'").collect()] == [
+        "Unreadable Parquet row group 1:"]
 
 
 def test_single_schema_parquet_stays_typed(spark, folder):
