@@ -28,9 +28,9 @@ from tamis.llm.common import text_slices
 from tamis.llm.tokenizing import tokenizer_file
 
 CHUNK = 256  # characters
-PIECE = 7_800 * CHUNK  # characters of one text that are held as codes at a time
+PIECE = 7_800 * CHUNK  # characters of one text that run at a time
 TABLE_BYTES = 96_000_000  # the compiled table is dropped and compiled anew beyond that
-LAST_CODE = 0x2E80  # texts with later code points are counted by the tokenizer itself
+LAST_CODE = 0x2E80  # words with later code points are counted by the tokenizer itself
 SPECIAL = "\U0010ffff"  # stands for a special string
 END = "</w>"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -119,7 +119,7 @@ class Transducer:
         if c in SPACES:
             c = " "
         lower = c.lower()
-        if len(lower) != 1 or unicodedata.category(c) in ("Cn", "Cs") or len(self.chars) > 1000:
+        if len(lower) != 1 or unicodedata.category(c) in ("Cn", "Cs"):
             self.columns[code] = -2
             return
         if lower not in self.chars:
@@ -290,16 +290,28 @@ class Transducer:
                 ends[lane] = state
         return np.add.reduceat(counts, first), ends[first + each - 1]
 
-    def _codes(self, text: str) -> np.ndarray | None:
+    def _codes(self, text: str) -> tuple[np.ndarray, int]:
+        """The columns of a text's characters, and the tokens of words with characters that have none.
+
+        White space parts words that don't depend on each other, so such words go to the library by
+        themselves and their places become white space.
+        """
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        columns, apart = self.columns[codes], 0
+        if not len(columns) or columns.min() >= 0:
+            return columns, 0
+        for code in np.unique(codes[columns == -1]).tolist():
+            self._column(code)
         columns = self.columns[codes]
-        if len(columns) and columns.min() < 0:
-            for code in np.unique(codes[columns == -1]).tolist():
-                self._column(code)
-            columns = self.columns[codes]
-            if columns.min() < 0:
-                return None
-        return columns
+        rare = columns == -2
+        ends = (columns == self.space) | (columns == self.columns[ord(SPECIAL)])
+        word = np.cumsum(ends)
+        for number in np.unique(word[rare]).tolist():
+            start, end = np.searchsorted(word, [number, number + 1]).tolist()
+            start += bool(ends[start])
+            apart += self._exactly(text[start:end])
+            columns[start:end] = self.space
+        return columns, apart
 
     def _exactly(self, text: str) -> int:
         return len(self.exact.encode(text, add_special_tokens=False).ids)
@@ -309,33 +321,27 @@ class Transducer:
             self._reset()
         counts, codes, at = [0] * len(texts), [], []
         for n, text in enumerate(texts):
-            if SPECIAL in text:
+            if SPECIAL in text:  # no character of a text
                 counts[n] = self._exactly(text)
                 continue
             marked = text if text.isascii() else unicodedata.normalize("NFC", text)
             for special in self.special:
                 marked = marked.replace(special, SPECIAL)
-            if len(marked) > PIECE:
-                counts[n] = self._long(marked, text)
-                continue
-            own = self._codes(marked)
-            if own is None:
-                counts[n] = self._exactly(text)
+            own, counts[n] = self._codes(marked)
+            if len(own) > PIECE:
+                counts[n] += self._long(own)
             else:
                 codes.append(np.append(own, np.int16(self.space)))  # ends the last word
                 at.append(n)
         if codes:
             for n, found in zip(at, self._run(codes, [START] * len(codes))[0].tolist(), strict=True):
-                counts[n] = found
+                counts[n] += found
         return counts
 
-    def _long(self, marked: str, text: str) -> int:
+    def _long(self, codes: np.ndarray) -> int:
         total, state = 0, START
-        for start in range(0, len(marked), PIECE):  # whole chunks, but for the last piece
-            codes = self._codes(marked[start : start + PIECE])
-            if codes is None:
-                return self._exactly(text)
-            found, ends = self._run([codes], [state])
+        for start in range(0, len(codes), PIECE):  # whole chunks, but for the last piece
+            found, ends = self._run([codes[start : start + PIECE]], [state])
             total, state = total + int(found[0]), int(ends[0])
         return total + int(self._run([np.array([self.space], np.int16)], [state])[0][0])
 
@@ -352,9 +358,9 @@ def token_counts(
     """Per row: doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
     Null and empty texts have no bytes and no tokens. Repeated rows and null ids are kept; other
-    columns are not read. Special strings in a text count as one token each, as in the library. Texts
+    columns are not read. Special strings in a text count as one token each, as in the library. Words
     with code points from U+2E80 on, or with characters that have no single lower-case form, are
-    counted by the library itself.
+    counted by the library itself; all other words of such texts run through the transducer.
     """
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType()),

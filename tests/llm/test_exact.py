@@ -349,6 +349,23 @@ def test_transducer_counts_like_the_library(counter, text):
     assert counter.count([text]) == [counter._exactly(text)]
 
 
+def test_only_rare_words_leave_the_transducer(counter, monkeypatch):
+    """Words with characters from U+2E80 on go to the library one by one; their neighbours don't."""
+    sent = []
+    monkeypatch.setattr(counter, "_exactly", lambda text, own=counter._exactly: sent.append(text) or own(text))
+    text = "plain words 漢字 and İstanbul, 😀 it's<|endoftext|>かな! " + PASSAGE
+    exact = len(counter.exact.encode(text, add_special_tokens=False).ids)
+    assert counter.count([text]) == [exact] and sent == ["漢字", "İstanbul,", "😀", "かな!"]
+    # More than a thousand different characters, whatever a worker has read before.
+    many = [" ".join(chr(c) * 2 for c in range(low, low + 300) if chr(c).isprintable()) for low in range(0xA1, 0x2000, 300)]
+    assert counter.count(many) == [len(counter.exact.encode(t, add_special_tokens=False).ids) for t in many]
+    assert len(counter.chars) > 1500
+    long = "ab 漢" * 3 + "x y" * 60
+    monkeypatch.setattr(token_counts, "PIECE", 64)
+    monkeypatch.setattr(token_counts, "CHUNK", 16)
+    assert counter.count([long]) == [len(counter.exact.encode(long, add_special_tokens=False).ids)]
+
+
 def test_chunks_compose(counter, monkeypatch):
     monkeypatch.setattr(token_counts, "CHUNK", 16)
     monkeypatch.setattr(token_counts, "PIECE", 64)
