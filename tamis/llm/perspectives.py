@@ -36,6 +36,7 @@ def rotate_perspectives(
     and masks (array of struct(start, end), places in ``text`` of what the assistant wrote, with its
     end marker). The parts of a rendering in order are the whole rendering.
 
+    Names with white space or one of <>|%+ are percent-encoded, so different names stay different.
     Turns are ordered by turn number (nulls first), then speaker and a hash of the text; equal rows
     stay as repeated messages. A null speaker is the participant "unknown", a null text an empty message.
     Null dialogue ids form one dialogue. A dialogue with instructions alone has no perspective and
@@ -54,7 +55,7 @@ def rotate_perspectives(
         .where(~F.col("perspective").isin(*instructions)).distinct()
     )
     own = F.col("speaker") == F.col("perspective")
-    name = F.regexp_replace("speaker", r"[\s<>|]", "_")
+    name = F.when(F.col("speaker").rlike(r"[\s<>|%+]"), F.url_encode("speaker")).otherwise(F.col("speaker"))
     header = (
         F.when(own, F.lit(f"{OPEN}assistant\n"))
         .when(F.col("speaker").isin(*instructions), F.concat(F.lit(OPEN), name, F.lit("\n")))

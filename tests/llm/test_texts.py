@@ -61,6 +61,14 @@ def test_every_speaker_is_the_assistant_once(spark):
     assert len(whole[4, "A"]) > 10
 
 
+def test_names_stay_different(spark):
+    names = ["a b", "a_b", "a+b", "a%20b", "<a>", "_a_", "a", "é"]
+    found = perspectives.rotate_perspectives(turns(spark, [(1, i, n, "hi") for i, n in enumerate(names)]))
+    (text,) = [r.text for r in found.collect() if r.perspective == "a"]
+    shown = re.findall(r"<\|im_start\|>user name=(.*)", text)
+    assert shown == ["a+b", "a_b", "a%2Bb", "a%2520b", "%3Ca%3E", "_a_", "é"]
+
+
 def test_repeated_turns_and_no_turns(spark):
     rows = [(None, None, "a", "x"), (None, None, "a", "x"), (7, 1, "a", "x"), (7, 1, "b", "y")]
     found = perspectives.rotate_perspectives(turns(spark, rows)).collect()
