@@ -307,6 +307,9 @@ ORACLE_SQL = {
         for i, (name, kind) in enumerate(LABELLED_FIELDS)
     ),
     "issue_category_counts": f"{ISSUES} SELECT category_ord, category, n_issues FROM counts",
+    "path_category_counts": f"{ISSUES} SELECT category_ord, category, n_issues FROM counts",
+    "extra_detector_records": f"""{ISSUES} SELECT rec_ord AS doc_id FROM issues
+        UNION SELECT doc_id FROM documents WHERE length(coalesce(text, '')) % 5 = 0""",
     "quality_metrics": f"{ISSUES} SELECT *, 1 - issue_record_proportion AS quality_score FROM metrics",
     "issue_records": f"{ISSUES} SELECT DISTINCT rec_ord AS doc_id FROM issues",
     "report_totals": f"""{ISSUES} SELECT (SELECT count(*) FROM documents) AS total_records,
@@ -394,7 +397,11 @@ ORACLE_SQL = {
     "first_unrepresentable_value": """SELECT min(place) FILTER (label = 7 AND embedding IS NOT NULL) AS record_index,
         'embedding' AS field_name, count(*) AS n_records
         FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)""",
-    "export_field_names": """SELECT * FROM (VALUES (0, 'text', 'string'), (1, 'lang', 'string'),
-        (2, 'quality', 'integer,null'), (3, 'toxic', 'integer,null')) AS f(pos, name, types)""",
+    "export_field_names": f"""WITH joined AS ({LABELLED}), kinds AS (
+            SELECT 0 AS pos, 'text' AS name, CASE WHEN text IS NULL THEN 'null' ELSE 'string' END AS kind FROM joined
+            UNION ALL SELECT 1, 'lang', CASE WHEN lang IS NULL THEN 'null' ELSE 'string' END FROM joined
+            UNION ALL SELECT 2, 'quality', CASE WHEN quality IS NULL THEN 'null' ELSE 'integer' END FROM joined
+            UNION ALL SELECT 3, 'toxic', CASE WHEN toxic IS NULL THEN 'null' ELSE 'integer' END FROM joined)
+        SELECT pos, name, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types FROM kinds GROUP BY pos, name""",
     "round_trip_differences": "SELECT count(*) AS n_different FROM documents WHERE false",
 }

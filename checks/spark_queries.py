@@ -17,7 +17,9 @@ from tamis.operators.personal_data import detect_pii, redact_records
 from tamis.operators.quality import detect_quality
 from tamis.operators.toxicity import detect_toxicity, toxicity_score
 from tamis.operators.equivalence import differing_records
+from tamis.issues import issue, order_key
 from tamis.plans.analysis import Analysis, analyze
+from tamis.plans.path import analyze_path
 from tamis.plans.report import build_report, issue_json, report_lines
 from tamis.sinks import exports
 from tamis.sinks.exports import export_records
@@ -324,6 +326,28 @@ def quality_metrics(spark, sf_dir):
     return document_analysis(spark, sf_dir).metrics
 
 
+def path_category_counts(spark, sf_dir):
+    """From a path to the issues of all detectors: the texts as JSONL files."""
+    ds = records_from_table(table(spark, sf_dir, "documents"), ["text"], "doc_id", "documents")
+    folder = new_folder(spark, "corpus")
+    export_records(ds, "jsonl", folder)
+    found = analyze_path(spark, folder)
+    return metrics.category_counts(found.analysis.issues)
+
+
+def extra_detector_records(spark, sf_dir):
+    """Issues of a caller's detector, which names locations alone, count like all others."""
+
+    def detector(dataset, config):
+        marked = dataset.df.filter(F.length(dataset.content.text()) % 5 == 0)
+        return marked.select(
+            issue("toxicity", order_key(2, F.col("rec_ord")), loc=F.col("loc")).alias("issue")
+        ).select("issue.*")
+
+    analysis = analyze(documents(spark, sf_dir), extra_detectors=[detector])
+    return metrics.flagged_records(analysis.dataset, analysis.issues).select(F.col("rec_ord").alias("doc_id"))
+
+
 def issue_records(spark, sf_dir):
     analysis = document_analysis(spark, sf_dir)
     return metrics.flagged_records(analysis.dataset, analysis.issues).select(
@@ -600,7 +624,8 @@ QUERIES = {
         toxicity_scores, toxicity_bad_threshold, exact_duplicates, exact_duplicate_labels,
         first_occurrences, repeated_orders, near_duplicates, near_duplicates_low,
         near_duplicate_turns, duplicate_issues, schema_declared, schema_inferred,
-        inferred_fields, issue_category_counts, quality_metrics, issue_records, report_totals,
+        inferred_fields, issue_category_counts, quality_metrics, path_category_counts,
+        extra_detector_records, issue_records, report_totals,
         all_issues, report_markdown_lines, report_json_issues, explorer_search, explorer_clean,
         explorer_category, explorer_page, explorer_pages, explorer_preview, record_categories,
         record_issue_nest, record_numbers, exact_duplicate_customers, near_duplicate_customers,
