@@ -392,8 +392,9 @@ ORACLE_SQL = {
         row_number() OVER (ORDER BY c_custkey) + 1 AS line_number,
         CASE WHEN c_custkey % 3 = 0 THEN 'CSV row on line ' || (row_number() OVER (ORDER BY c_custkey) + 1)
             || ' has 3 fields but the header declares 2' ELSE c_name || ', key' END AS detail FROM customer""",
-    "parse_errors": """SELECT 'parse_error' AS category, true AS located, count(*) AS n
-        FROM customer WHERE trim(c_name) <> ''""",
+    "parse_errors": """SELECT 'parse_error' AS category, 'Malformed JSON on line '
+        || row_number() OVER (ORDER BY c_custkey) || ': Expecting value: line 1 column 1 (char 0)'
+        AS detail, 1::BIGINT AS n FROM customer WHERE trim(c_name) <> ''""",
     "first_unrepresentable_value": """SELECT min(place) FILTER (label = 7 AND embedding IS NOT NULL) AS record_index,
         'embedding' AS field_name, count(*) AS n_records
         FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)""",

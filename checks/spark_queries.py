@@ -579,10 +579,14 @@ def parse_errors(spark, sf_dir):
     folder = new_folder(spark, "names")
     write_lines(lines, ["c_custkey"], folder, "jsonl")
     found = read_records(spark, folder).parse_issues
-    located = F.col("detail") == F.concat(
-        F.lit("Malformed JSON on line "), F.col("loc.line_number"), F.lit(": Expecting value: line 1 column 1 (char 0)")
-    )
-    return found.groupBy("category", located.alias("located")).agg(F.count(F.lit(1)).alias("n"))
+    # The order key of a parse issue holds its file's place and its line.
+    keyed = found.withColumn("rec_ord", F.col("issue_ord.rec_ord") + F.col("issue_ord.a"))
+    in_file, in_folder = (
+        F.concat(F.lit("Malformed JSON on line "), n.cast("string"), F.lit(":")) for n in (F.col("loc.line_number"), F.col("rec_idx") + 1)
+    )
+    return record_positions(keyed).withColumn("detail", F.replace("detail", in_file, in_folder)).groupBy(
+        "category", "detail"
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_unrepresentable_value(spark, sf_dir):
