@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tamis import fixed
-from tamis.sources.decode import DECODED_DDL, jsonl_row, open_file
+from tamis.sources.decode import DECODED_DDL, jsonl_row, open_file, text_slices
 from tamis.sources.json_array import scan_whole_files
 from tamis.sources.lines import bytes_problem, numbered_lines, void_file_rows
 from tamis.sources.manifest import Manifest, SourceFile
@@ -48,9 +48,9 @@ def scan_jsonl(spark: SparkSession, manifest: Manifest, files: list[SourceFile])
     schema = to_arrow_schema(StructType.fromDDL(DECODED_DDL))
 
     def decode(batches):
-        for batch in batches:
+        for part in (part for batch in batches for part in text_slices(batch, "value")):
             rows = []
-            for line in batch.to_pylist():
+            for line in part.to_pylist():
                 row = _decoded(line["file_ord"], line["path"], line["line_number"], line["value"])
                 if row:
                     rows.append(row)
