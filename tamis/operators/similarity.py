@@ -42,6 +42,7 @@ PARTS_FROM = 0.85
 BLOCKS = 64
 # Words that are ordered by their frequency; the others come before them, ordered by hash.
 RANKED_WORDS = 65_536
+SLICE_WORDS = 200_000  # words that a task signs at a time, about
 MAP_WORDS = 16  # 64-bit words of a parity map
 # Candidates per set that the prefix join may shuffle; where there would be more, stripes are compared.
 PAIRS_PER_SET = 8
@@ -61,6 +62,14 @@ def _mix(values: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _by_slices(sets: pa.Array, work) -> pa.Array:
+    """``work`` over slices of ``sets`` of about SLICE_WORDS words: its arrays take many times the words' memory."""
+    words = np.cumsum(sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(words // SLICE_WORDS)) + 1
+    edges = [0, *cuts.tolist(), len(sets)]
+    return pa.concat_arrays([work(sets.slice(a, b - a)) for a, b in zip(edges, edges[1:], strict=False)])
+
+
 def _difference_share(threshold: float) -> float:
     return (1 - threshold) / (1 + threshold)
 
@@ -129,8 +138,7 @@ def _signatures_udf(threshold: float):
             pa.array(_mix(key[signed], 7).view(np.int64)),
         )
 
-    @F.arrow_udf("struct<n:bigint,home:array<bigint>,visit:array<bigint>,parity:bigint>")
-    def signatures(hashes: pa.Array) -> pa.Array:
+    def signed(hashes: pa.Array) -> pa.Array:
         size = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         words = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         row = np.repeat(np.arange(len(size)), size)
@@ -147,6 +155,10 @@ def _signatures_udf(threshold: float):
             ["n", "home", "visit", "parity"],
         )
 
+    @F.arrow_udf("struct<n:bigint,home:array<bigint>,visit:array<bigint>,parity:bigint>")
+    def signatures(hashes: pa.Array) -> pa.Array:
+        return _by_slices(hashes, signed)
+
     # Deterministic in fact; the mark keeps filters on its result from running it twice.
     return signatures.asNondeterministic()
 
