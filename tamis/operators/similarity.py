@@ -19,9 +19,10 @@ no rows at all: maps of the sets, as wide as their sizes ask for, are dealt into
 stripes, and a task compares two stripes and gives only the pairs whose maps
 allow them to qualify. That is quadratic in time, but not on disk.
 
-Either way candidates are then checked on the real word sets. Join keys shared
-by very many sets are cut into pairs of small blocks, so that the comparisons of
-one group are spread over many tasks.
+Either way candidates are then checked on the real word sets, in cells of two
+groups of sets each, so that a set is sent once to a cell and not once for each
+of its pairs. Join keys shared by very many sets are cut into pairs of small
+blocks, so that the comparisons of one group are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tamis.dataset import Dataset
 from tamis.functions import text as tx
-from tamis.operators.skew import block_keys, crowded_keys, in_blocks, join_in_blocks, met_once
+from tamis.operators.skew import BROADCAST_KEYS, block_keys, crowded_keys, in_blocks, join_in_blocks, met_once
 from tamis.staging import stage, stage_table
 
 PARTS_FROM = 0.85
@@ -50,6 +51,9 @@ FEW_PAIRS = 200_000  # so many are never too many
 STRIPE_BYTES = 32_000_000  # maps of a stripe, about
 STRIPE_SETS = 512  # sets that a stripe has at least, if there are as many
 TILE = 1 << 21  # numbers of a tile of unpacked maps
+# Words and sets of a group of sets that are scored together, about.
+CELL_WORDS = 400_000
+CELL_SETS = 2048
 _SLACK = 1e-9
 
 
@@ -200,21 +204,32 @@ def _pairs_by_parts(scan: DataFrame, threshold: float) -> DataFrame:
     rows = signed.select("id", F.inline(F.concat(signs("home", True), signs("visit", False))))
     # Few signatures are shared. One shuffle of ids alone finds these; only they meet with sizes and maps.
     beside = Window.partitionBy("s")
-    shared = rows.withColumn("known", F.count(F.lit(1)).over(beside)).filter("known > 1").drop("known")
-    met = stage_table(shared.join(signed.select("id", "n", "parity"), "id"), "shared")
-    blocked = in_blocks(met, "s", "id")
-    x, y = blocked.filter("at_home").alias("x"), blocked.alias("y")
+    shared = rows.withColumns(
+        {"known": F.count(F.lit(1)).over(beside), "lead": F.min("id").over(beside)}
+    ).filter("known > 1")
+    # Near copies share many signatures, and most of those have the same first record. They meet under that
+    # record, once, and not under each signature.
+    lists = {c: F.collect_set(F.when(F.col("at_home") == (c == "home"), F.col("s"))) for c in ("home", "visit")}
+    led = shared.groupBy("lead", "id").agg(*[v.alias(c) for c, v in lists.items()])
+    met = stage_table(led.join(signed.select("id", "n", "parity"), "id"), "shared")
+    blocked = in_blocks(met, "lead", "id")
+    x, y = blocked.alias("x"), blocked.alias("y")
     total = F.col("x.n") + F.col("y.n")
     differing = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    agree = (
+        F.arrays_overlap("x.home", "y.home") | F.arrays_overlap("x.home", "y.visit")
+        | F.arrays_overlap("x.visit", "y.home")
+    )
     matches = x.join(
         y,
-        block_keys("x", "y", "s")
+        block_keys("x", "y", "lead")
         & met_once("x", "y")
-        & ((F.col("x.id") < F.col("y.id")) | ~F.col("y.at_home"))
+        & (F.col("x.id") < F.col("y.id"))
         & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - _SLACK)
-        & (differing <= _difference_share(threshold) * total + 1e-6),
+        & (differing <= _difference_share(threshold) * total + 1e-6)
+        & agree,
     )
-    return _distinct_pairs(matches.select(*_ordered(F.col("x.id"), F.col("y.id"))))
+    return _distinct_pairs(matches.select(F.col("x.id").alias("earlier_ord"), F.col("y.id").alias("later_ord")))
 
 
 def _ranked_words(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -497,6 +512,134 @@ def _every_pair(dataset: Dataset) -> DataFrame:
     )
 
 
+def _placed_sets(candidates: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``id, grp`` of the sets in candidate pairs: groups of sets that are likely to be compared.
+
+    Sets with the same least partner are together, near copies of one record above all. So many that
+    their words (``sizes``: id, n) or their number pass a bound are dealt into several groups.
+    """
+    ends = F.array(*[
+        F.struct(F.col(f"{own}_ord").alias("id"), F.col(f"{other}_ord").alias("other"))
+        for own, other in (("earlier", "later"), ("later", "earlier"))
+    ])
+    leads = candidates.select(F.inline(ends)).groupBy("id").agg(F.least("id", F.min("other")).alias("lead"))
+    known = stage(leads.join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id"))
+    held = F.greatest(F.sum("n") / CELL_WORDS, F.count(F.lit(1)) / CELL_SETS)
+    crowded = known.groupBy("lead").agg(F.ceil(held).alias("groups")).filter("groups > 1")
+    group = F.pmod(F.xxhash64("id"), F.coalesce("groups", F.lit(1)))
+    return stage(known.join(crowded, "lead", "left").select("id", F.xxhash64("lead", group).alias("grp")))
+
+
+def _score_cells(threshold: float):
+    """Scores of the pairs of each cell, and its sets: rows come by cell, sets (no ``other``) before pairs."""
+
+    def ready(ids: list[np.ndarray], sets: list[pa.Array]):
+        """The sets of a cell: ids and their order, and words as numbers from ``start``, ``size`` of them."""
+        words = pa.concat_arrays(sets)
+        size = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        codes, mark = coded.indices.to_numpy(zero_copy_only=False), np.zeros(len(coded.dictionary), bool)
+        every = np.concatenate(ids)
+        return every, np.argsort(every, kind="stable"), codes, np.cumsum(size) - size, size, mark
+
+    def score(held, pairs: tuple[np.ndarray, np.ndarray]):
+        ids, order, codes, start, size, mark = held
+        first, times = [], []
+        for side in pairs:  # of a repeated id, each row is compared
+            first.append(np.searchsorted(ids, side, "left", sorter=order))
+            times.append(np.searchsorted(ids, side, "right", sorter=order) - first[-1])
+        each = times[0] * times[1]
+        pair = np.repeat(np.arange(len(each)), each)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
+        x = order[first[0][pair] + nth // times[1][pair]]
+        y = order[first[1][pair] + nth % times[1][pair]]
+        by = np.argsort(x, kind="stable")
+        x, y, pair = x[by], y[by], pair[by]
+        cuts = np.flatnonzero(np.diff(x, prepend=-1, append=-1)).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = codes[start[x[a]] : start[x[a]] + size[x[a]]]
+            mark[own] = True
+            n = size[y[a:b]]
+            ends = np.cumsum(n)
+            flat = np.arange(ends[-1]) + np.repeat(start[y[a:b]] - ends + n, n)
+            found = np.concatenate(([0], np.cumsum(mark[codes[flat]])))
+            mark[own] = False
+            common = found[ends] - found[ends - n]
+            scores = common / np.maximum(len(own) + n - common, 1)
+            kept = scores >= threshold
+            at = pair[a:b][kept]
+            yield pairs[0][at], pairs[1][at], scores[kept]
+
+    def run(batches):
+        ids, sets, held, cell, out = [], [], None, None, []
+        for batch in batches:
+            cells = batch.column("cell").to_numpy(zero_copy_only=False)
+            paired = batch.column("other").is_valid().to_numpy(zero_copy_only=False)
+            new = (cells[1:] != cells[:-1]) | (paired[1:] != paired[:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(cells)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    ids, sets, held, cell = [], [], None, cells[a]
+                own = batch.column("id").slice(a, b - a).to_numpy(zero_copy_only=False)
+                if not paired[a]:
+                    ids.append(own)
+                    sets.append(pa.concat_arrays([batch.column("words").slice(a, b - a)]))
+                elif ids:
+                    if held is None:
+                        held, sets = ready(ids, sets), []
+                    other = batch.column("other").slice(a, b - a).to_numpy(zero_copy_only=False)
+                    out.extend(score(held, (own, other)))
+            if out:
+                names = ("earlier_ord", "later_ord", "score")
+                yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in zip(names, zip(*out), strict=True)})
+                out = []
+
+    return run
+
+
+def _cells(dataset: Dataset, candidates: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of cells (cell, id, other, words), sets and staged candidates, and into how many parts to deal them.
+
+    Sets do not travel with each of their pairs: two groups of sets that have candidates are a cell, and a
+    set is sent once to each cell that has a pair of it.
+    """
+    groups = _placed_sets(candidates, sizes)
+    known = groups.count()
+    if known <= BROADCAST_KEYS:
+        grouped = candidates
+        for side in ("earlier", "later"):
+            named = groups.select(F.col("id").alias(f"{side}_ord"), F.col("grp").alias(f"{side}_grp"))
+            grouped = grouped.join(F.broadcast(named), f"{side}_ord")
+    else:
+        grouped = _beside(candidates, groups)
+    cell = F.xxhash64(F.least("earlier_grp", "later_grp"), F.greatest("earlier_grp", "later_grp"))
+    tasks = 8 * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = stage(grouped.select(cell.alias("cell"), "earlier_ord", "later_ord").repartition(tasks, "cell"))
+    ends = pairs.select("cell", F.explode(F.array("earlier_ord", "later_ord")).alias("rec_ord"))
+    members = stage(ends.groupBy("rec_ord").agg(F.collect_set("cell").alias("cells")))
+    places = members.agg(F.sum(F.size("cells"))).first()[0] or 0
+    if known <= BROADCAST_KEYS and places <= 4 * BROADCAST_KEYS:
+        members = F.broadcast(members)
+    sets = dataset.df.join(members, "rec_ord").select(
+        F.col("rec_ord").alias("id"), tx.word_set(dataset.content.text()).alias("words"), "cells"
+    )
+    rows = sets.select(F.explode("cells").alias("cell"), "id", F.lit(None).cast("bigint").alias("other"), "words")
+    asked = pairs.select(
+        "cell", F.col("earlier_ord").alias("id"), F.col("later_ord").alias("other"),
+        F.lit(None).cast("array<string>").alias("words"),
+    )
+    return rows.unionByName(asked), tasks
+
+
+def _scored(dataset: Dataset, candidates: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Staged candidates with their scores, those that reach the threshold."""
+    rows, tasks = _cells(dataset, candidates, sizes)
+    dealt = rows.repartition(tasks, "cell").sortWithinPartitions("cell", "other")
+    return dealt.mapInArrow(_score_cells(threshold), "earlier_ord long, later_ord long, score double")
+
+
 def similar_pairs(dataset: Dataset, threshold: float, scan: DataFrame | None = None) -> DataFrame:
     """``(earlier_ord, later_ord, score)`` of distinct contents with score >= threshold.
 
@@ -510,18 +653,5 @@ def similar_pairs(dataset: Dataset, threshold: float, scan: DataFrame | None = N
         scan = stage_table(dataset.df.select(*columns), "scan")
     by_parts = threshold >= PARTS_FROM
     candidates = stage((_pairs_by_parts if by_parts else _pairs_by_prefix)(scan, threshold))
-    ids = (
-        candidates.select(F.col("earlier_ord").alias("rec_ord"))
-        .unionByName(candidates.select(F.col("later_ord").alias("rec_ord")))
-        .distinct()
-    )
-    sets = dataset.df.join(ids, "rec_ord", "left_semi").select(
-        F.col("rec_ord").alias("id"), tx.word_set(dataset.content.text()).alias("words")
-    )
-    # Both sides of the pairs read these sets, so texts are read for them once.
-    scored = _beside(candidates, stage_table(sets, "compared"))
-    return scored.select(
-        "earlier_ord",
-        "later_ord",
-        tx.jaccard(F.col("earlier_words"), F.col("later_words")).alias("score"),
-    ).filter(F.col("score") >= threshold)
+    n = F.col("sig.n") if by_parts else F.size("sig")
+    return _scored(dataset, candidates, scan.select(F.col("rec_ord").alias("id"), n.alias("n")), threshold)
