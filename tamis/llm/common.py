@@ -54,8 +54,14 @@ def rows_in(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str =
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.Table]:
-    """Cut record batches so that the texts of a slice hold about ``limit`` bytes."""
+    """Cut record batches so that the texts of a slice hold about ``limit`` bytes.
+
+    After each batch Arrow gives back the memory of those before; the worker, which later tasks and
+    stages use again, would keep it.
+    """
+    pool = pa.default_memory_pool()
     for batch in batches:
+        pool.release_unused()
         sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
@@ -65,6 +71,8 @@ def text_slices(
             held += n or 0
         if start < batch.num_rows:
             yield pa.Table.from_batches([batch.slice(start)])
+        del batch
+    pool.release_unused()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

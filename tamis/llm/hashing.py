@@ -13,7 +13,7 @@ LONGEST = 1 << 15  # longer words are hashed one by one
 _POWERS = np.cumprod(np.full(LONGEST, BASE, dtype=np.uint64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17  # arrays for a block take some fifty times its bytes
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -35,6 +35,8 @@ WORDS = 5
 PERCENT = 80  # similarity, in percent
 # Postings that a task holds before it sends them (12 bytes each).
 HELD_POSTINGS = 2_000_000
+# Bytes of texts whose sets a task makes at a time: sets and their hashes take many times the texts' memory.
+SET_BYTES = 1_000_000
 # Rounds of comparing members with a centre, at most.
 ROUNDS = 3
 # What an entry of an inverted list costs, a comparison with the list's centre included, in subset keys.
@@ -93,10 +95,12 @@ def _sets_and_postings(docs: DataFrame, words: int, percent: int, buckets: int)
         def emit() -> pa.RecordBatch:
             sizes = [len(k) for k in keys]
             key = np.concatenate(keys)
+            keys.clear()
             order = np.argsort(key, kind="stable")
             key = key[order]
             tag = np.repeat(np.array(tags, np.uint32), sizes)[order]
             ref = np.repeat(np.array(refs, np.uint32), sizes)[order]
+            del order
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             count = np.diff(np.append(first, len(key)))
             several = np.repeat(count > 1, count)
@@ -122,7 +126,7 @@ def _sets_and_postings(docs: DataFrame, words: int, percent: int, buckets: int)
             )
 
         held = 0
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SET_BYTES):
             found = shingle_sets(part["text"].to_pylist(), words)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
             numbers = np.arange(row, row + len(found))
@@ -134,7 +138,8 @@ def _sets_and_postings(docs: DataFrame, words: int, percent: int, buckets: int)
             for s, d, number in zip(found, digest, numbers.tolist(), strict=True):
                 if len(s) and d not in digests:  # of equal sets one speaks for all
                     digests.add(d)
-                    keys.append(s[: len(s) - _overlap(len(s), percent) + _evidence(len(s))])
+                    # A copy: a view would hold the whole set until its postings are sent.
+                    keys.append(s[: len(s) - _overlap(len(s), percent) + _evidence(len(s))].copy())
                     tags.append(int.from_bytes(d[:4], "little"))
                     refs.append(number - base)
                     held += len(keys[-1])
@@ -197,7 +202,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     wanted = docs.join(named, match).select("text", "node", "digest")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SET_BYTES):
             found = shingle_sets(part["text"].to_pylist(), words)
             # Id and key may, by chance, belong to several texts.
             kept = [

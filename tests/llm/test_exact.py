@@ -5,18 +5,21 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tamis.llm import decontamination, ngram_join, packing, sharding, suffix_dedup, token_counts, topk
+from tamis.llm import common, decontamination, ngram_join, packing, sharding, suffix_dedup, token_counts, topk
 from tests.llm.fixtures import LINE, PASSAGE, documents, prose, texts
 
 
@@ -378,3 +381,41 @@ def test_table_can_be_dropped(counter, monkeypatch):
     own = [prose(n, 50) for n in range(5)]
     for text in own:
         assert counter.count([text]) == [counter._exactly(text)]
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    """pipeline: what a task has used of Arrow's memory is not kept by the worker for later stages."""
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+
+    pool = Pool()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    batches = [pa.RecordBatch.from_pydict({"text": ["ab", None, "cd"]}) for _ in range(4)]
+    assert sum(part.num_rows for part in common.text_slices(iter(batches), "text", 3)) == 12
+    assert pool.released == 5
+
+
+def test_memory_of_sets_does_not_follow_the_batch(spark, monkeypatch):
+    """pipeline: sets are made for a slice of texts at a time, and only their prefixes are held."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.randrange(10**5)}" for _ in range(400)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts,
+         "text_key": pa.array(range(len(texts)), pa.int64())}
+    )
+    monkeypatch.setattr(ngram_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    docs = SimpleNamespace(
+        schema=spark.createDataFrame([], "doc_id long, text string").schema, mapInArrow=lambda work, schema: work
+    )
+    build = ngram_join._sets_and_postings(docs, 5, 80, 64)
+    tracemalloc.start()
+    try:
+        rows = [b.num_rows for b in build(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(rows[:-1]) == len(texts) and rows[-1] == 65
+    assert peak < 10 * sum(map(len, texts))
