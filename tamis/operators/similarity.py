@@ -192,11 +192,29 @@ def similarity_column(dataset: Dataset, threshold: float) -> Column | None:
     return _signatures_udf(threshold)(hashes) if threshold >= PARTS_FROM else hashes
 
 
+def _one_each(scan: DataFrame) -> DataFrame:
+    """``id, sig`` of each content: its first record's ``rec_ord`` and its signatures.
+
+    Only contents that may be repeated, known by hashes of their keys, are shuffled and staged with their
+    signatures. All others are read from ``scan`` as they are, unless the hashes are too many for each task.
+    """
+    at = F.xxhash64("key").alias("at")
+    repeated = stage(scan.groupBy(at).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("at"))
+    few = repeated.count() <= BROADCAST_KEYS
+    rows = scan.select("rec_ord", "key", "sig", at)
+    grouped = rows.join(F.broadcast(repeated), "at", "left_semi") if few else rows
+    # Copies have equal signatures, so grouping by both merges them map-side.
+    firsts = grouped.groupBy("key", "sig").agg(F.min("rec_ord").alias("id")).select("id", "sig")
+    firsts = stage_table(firsts, "signatures")
+    if not few:
+        return firsts
+    alone = rows.join(F.broadcast(repeated), "at", "left_anti")
+    return alone.select(F.col("rec_ord").alias("id"), "sig").unionByName(firsts)
+
+
 def _pairs_by_parts(scan: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs of distinct contents that share a signature."""
-    # Copies have equal signatures, so grouping by both merges them map-side.
-    distinct = scan.groupBy("key", "sig").agg(F.min("rec_ord").alias("id"))
-    signed = stage_table(distinct.select("id", "sig.*"), "signatures")
+    signed = _one_each(scan).select("id", "sig.*")
 
     def signs(kind: str, at_home: bool) -> Column:
         return F.transform(kind, lambda s: F.struct(s.alias("s"), F.lit(at_home).alias("at_home")))
