@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,17 +52,40 @@ def rows_in(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str =
     return keyed.join(other, match, how).drop(*names[:2])
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold of freed memory to the system.
+
+    A worker, which later tasks and stages use again, would keep it, and its size would add up over stages.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim:
+        trim(0)
+
+
+def map_batches(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
+) -> DataFrame:
+    """``df.mapInArrow``, whose tasks give back at their end what they have used."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
 ) -> Iterator[pa.Table]:
     """Cut record batches so that the texts of a slice hold about ``limit`` bytes.
 
-    After each batch Arrow gives back the memory of those before; the worker, which later tasks and
-    stages use again, would keep it.
+    After each batch the memory of those before is given back.
     """
-    pool = pa.default_memory_pool()
     for batch in batches:
-        pool.release_unused()
+        give_back()
         sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(sizes):
@@ -72,7 +96,7 @@ def text_slices(
         if start < batch.num_rows:
             yield pa.Table.from_batches([batch.slice(start)])
         del batch
-    pool.release_unused()
+    give_back()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

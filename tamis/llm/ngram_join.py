@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tamis.llm.common import free_names, text_slices
+from tamis.llm.common import free_names, give_back, map_batches, text_slices
 from tamis.llm.components import components
 from tamis.llm.hashing import shingle_sets
 from tamis.staging import stage_table
@@ -150,14 +150,14 @@ def _sets_and_postings(docs: DataFrame, words: int, percent: int, buckets: int)
         if held:
             yield emit()
 
-    return docs.mapInArrow(build, from_arrow_schema(schema))
+    return map_batches(docs, build, from_arrow_schema(schema))
 
 
 def _count_shared(records: DataFrame, docs: DataFrame) -> DataFrame:
     """Document rows as they are, and per document and bucket the number of shared hashes."""
     schema = _schema(_FOUND, docs)
 
-    def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    def counted(rows: pa.Table) -> pa.Table:
         given = rows.filter(rows["row"].is_valid()).select(schema.names[:-1])
         given = given.append_column("shared", pa.nulls(given.num_rows, pa.int64()))
         sent = rows.filter(rows["row"].is_null())
@@ -190,6 +190,11 @@ def _count_shared(records: DataFrame, docs: DataFrame) -> DataFrame:
             [given.cast(schema), pa.Table.from_batches([_rows(schema, len(row), row=row, shared=n)])]
         )
 
+    def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        found = counted(rows)
+        give_back()
+        return found
+
     return records.groupBy("bucket").applyInArrow(count, from_arrow_schema(schema))
 
 
@@ -216,7 +221,7 @@ def _full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                  "grams": pa.array([k[1] for k in kept], pa.list_(pa.int64()))}
             )
 
-    return wanted.mapInArrow(build, "node long, n long, grams array<long>").dropDuplicates(["node"])
+    return map_batches(wanted, build, "node long, n long, grams array<long>").dropDuplicates(["node"])
 
 
 def _by_rarity(sets: DataFrame, percent: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tamis.llm.common import partitions_for, text_slices
+from tamis.llm.common import map_batches, partitions_for, text_slices
 from tamis.llm.tokenizing import byte_encoder
 from tamis.staging import stage_table
 
@@ -66,7 +66,7 @@ def token_pieces(
             )
 
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(cut, ddl)
+    return map_batches(narrow, cut, ddl)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -136,7 +136,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, node_pieces: int = LOCAL_P
                 placed = _pack_node(pa.Table.from_batches(held), TaskContext.get().partitionId(), level, capacity)
                 yield from placed.cast(schema).to_batches()
 
-        return stage_table(rows.repartition(nodes).mapInArrow(node, ddl), "packed")
+        return stage_table(map_batches(rows.repartition(nodes), node, ddl), "packed")
 
     def bins(rows: DataFrame) -> int:
         return rows.where(F.col("offset") == 0).count()

@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tamis.llm.common import free_names, row_keys, text_slices
+from tamis.llm.common import free_names, map_batches, row_keys, text_slices
 from tamis.operators.skew import attach_by_key
 from tamis.staging import stage_table
 
@@ -42,6 +43,7 @@ SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
 # Distinct terms that a task counts before it sends them, or remembers.
 HELD_TERMS = 1_000_000
+SENT_TERMS = 20_000  # in a batch
 # Chance that any pair of a term and an entity, of all that are tested, counts though they are independent.
 CHANCE = 0.05
 # Tasks get the revealing terms themselves if they are so many at most (8 MB). Beyond that they get a
@@ -127,8 +129,9 @@ def _observed(docs: DataFrame) -> DataFrame:
         counts: Counter[str] = Counter()
         first = TaskContext.get().partitionId() << 40
 
-        def counted() -> pa.RecordBatch:
-            return rows(len(counts), term=[_number(t) for t in counts], docs=list(counts.values()))
+        def counted() -> Iterator[pa.RecordBatch]:
+            for some in batched(counts.items(), SENT_TERMS):
+                yield rows(len(some), term=[_number(t) for t, _ in some], docs=[n for _, n in some])
 
         for part in text_slices(batches, "text"):
             base, entities, terms = [], [], []
@@ -148,12 +151,11 @@ def _observed(docs: DataFrame) -> DataFrame:
             )
             first += len(base)
             if len(counts) > HELD_TERMS:
-                yield counted()
+                yield from counted()
                 counts.clear()
-        if counts:
-            yield counted()
+        yield from counted()
 
-    return docs.mapInArrow(run, from_arrow_schema(schema))
+    return map_batches(docs, run, from_arrow_schema(schema))
 
 
 def _unlikely(total: int, tested: int, chance: float) -> Column:
@@ -264,7 +266,7 @@ def _places(docs: DataFrame, revealing: DataFrame, number: int) -> DataFrame:
                     [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema
                 )
 
-    return docs.select("row_key", "row_key2", "text").mapInArrow(run, ddl)
+    return map_batches(docs.select("row_key", "row_key2", "text"), run, ddl)
 
 
 def personal_spans(
@@ -343,7 +345,7 @@ def sanitise(
             columns = [texts if n == at else batch.column(n).cast(schema.field(n).type) for n in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], base_spans_of, terms_of).mapInArrow(run, fields)
+    return map_batches(marked.select(*[F.col(f"`{c}`") for c in docs.columns], base_spans_of, terms_of), run, fields)
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.common import text_slices
+from tamis.llm.common import map_batches, text_slices
 from tamis.staging import stage_table
 
 # The lexicon is learned from at most so many labelled rows, those with the smallest hashes.
@@ -125,30 +125,42 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
 
 
 _COUNTS = ("t_texts", "c_texts", "toxic", "clean")
+# Distinct features that a task counts before it sends them (some 25 MB).
+HELD_FEATURES = 100_000
 
 
 def _count(sample: DataFrame, features) -> DataFrame:
     """Numbers of toxic and clean texts with a feature (t_texts, c_texts), and of its occurrences there.
 
-    ``features()`` makes the function, in the task, that lists a folded text's features. Counted per
-    task before the shuffle.
+    ``features()`` makes the function, in the task, that lists a folded text's features. Counted in
+    the task, for texts of some ``HELD_FEATURES`` distinct features at a time, and summed up before the shuffle.
     """
+    held = HELD_FEATURES
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, counts, texts = features(), (Counter(), Counter()), (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
+            names = list(counts[0].keys() | counts[1].keys())
+            columns = dict(zip(_COUNTS, (texts[1], texts[0], counts[1], counts[0]), strict=True))
+            return pa.RecordBatch.from_pydict(
+                {"feature": pa.array(names, pa.string()),
+                 **{c: pa.array([by[f] for f in names], pa.int64()) for c, by in columns.items()}}
+            )
+
         for part in text_slices(batches, "text"):
             for text, toxic in zip(part["text"].to_pylist(), part["toxic"].to_pylist(), strict=True):
                 found = of(fold(text or ""))
                 counts[toxic].update(found)
                 texts[toxic].update(set(found))
-        names = sorted({*counts[0], *counts[1]})
-        columns = dict(zip(_COUNTS, (texts[1], texts[0], counts[1], counts[0]), strict=True))
-        yield pa.RecordBatch.from_pydict(
-            {"feature": pa.array(names, pa.string()),
-             **{c: pa.array([by[f] for f in names], pa.int64()) for c, by in columns.items()}}
-        )
-
-    partials = sample.mapInArrow(partial, "feature string, " + ", ".join(f"{c} long" for c in _COUNTS))
+                if len(counts[0]) + len(counts[1]) > held:
+                    yield counted()
+                    for by in (*counts, *texts):
+                        by.clear()
+        if counts[0] or counts[1]:
+            yield counted()
+
+    partials = map_batches(sample, partial, "feature string, " + ", ".join(f"{c} long" for c in _COUNTS))
     return partials.groupBy("feature").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
@@ -226,7 +238,7 @@ def learn(
                  "words": pa.array([len(f.split()) for f in folded], pa.int64())}
             )
 
-    rows = sample.mapInArrow(measured, "toxic int, weight double, words long").collect()  # sample_rows
+    rows = map_batches(sample, measured, "toxic int, weight double, words long").collect()  # sample_rows
     rows.sort()
     x = np.array([_measures(r["weight"], r["words"]) for r in rows])
     lexicon.curve = _fit(x, np.array([r["toxic"] for r in rows], dtype=float))
@@ -296,7 +308,7 @@ def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
                 names=schema.names,
             )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, schema)
 
 
 def kept(
@@ -315,4 +327,4 @@ def kept(
                 clean.append(lexicon.score(weight, len(folded.split())) < threshold)
             yield from part.filter(pa.array(clean, pa.bool_())).to_batches()
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -398,6 +400,39 @@ def test_a_task_gives_its_memory_back(monkeypatch):
     assert pool.released == 5
 
 
+def test_a_task_gives_back_what_its_last_batch_used(monkeypatch):
+    """pipeline: memory goes back when a task ends, after the last rows it has made."""
+    events = []
+    monkeypatch.setattr(common, "give_back", lambda: events.append("given back"))
+
+    def run(batches):
+        events.extend(batches)
+        yield "rows"
+        events.append("end")
+
+    task = common.map_batches(SimpleNamespace(mapInArrow=lambda work, schema: work), run, "text string")
+    assert list(task(iter(["batch"]))) == ["rows"]
+    assert events == ["batch", "end", "given back"]
+
+
+def test_freed_memory_leaves_the_process():
+    """pipeline: numpy's freed arrays go back to the system, not just to the C library."""
+    script = """
+import re
+import numpy as np
+from tamis.llm.common import give_back
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+arrays = [np.ones(12_000) for _ in range(1000)]  # below the C library's threshold for pages of their own
+last = np.ones(12_000)
+before = held()
+del arrays
+give_back()
+print(before - held())
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True)
+    assert float(done.stdout) > 60
+
+
 def test_memory_of_sets_does_not_follow_the_batch(spark, monkeypatch):
     """pipeline: sets are made for a slice of texts at a time, and only their prefixes are held."""
     rng = random.Random(3)

@@ -6,7 +6,9 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -251,6 +253,59 @@ def test_held_out_accuracy_and_disguises(spark):
     assert [found[i] >= toxicity.THRESHOLD for i in range(len(odd))] == [True] * 5 + [False] * 4
 
 
+def test_features_are_counted_in_bounded_memory(monkeypatch):
+    """pipeline, in toxicity: a task holds some HELD_FEATURES features, whatever its texts have, and counts all."""
+    monkeypatch.setattr(toxicity, "HELD_FEATURES", 100)
+    docs, labels = labelled()
+    texts = [None, "", *(t for _, t in docs)]
+    toxic = [1, 0, *(m for _, m in labels)]
+    sent = []
+
+    class Sample:
+        def mapInArrow(self, task, schema):  # noqa: N802
+            batches = pa.table({"text": texts, "toxic": toxic}).to_batches(max_chunksize=100)
+            sent.extend(task(iter(batches)))
+            return self
+
+        def groupBy(self, *by):  # noqa: N802
+            return self
+
+        def agg(self, *sums):
+            return sent
+
+    monkeypatch.setattr(toxicity.F, "sum", lambda c: SimpleNamespace(alias=lambda name: None))
+    of = toxicity._words_and_beginnings()
+    largest = max(len(set(of(toxicity.fold(t or "")))) for t in texts)
+    found = {}
+    for batch in toxicity._count(Sample(), toxicity._words_and_beginnings):
+        assert 0 < batch.num_rows <= 100 + largest
+        for name, *counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found[name] = [x + y for x, y in zip(found.get(name, [0] * 4), counts, strict=True)]
+    uses, holders = (Counter(), Counter()), (Counter(), Counter())
+    for text, mark in zip(texts, toxic, strict=True):
+        features = of(toxicity.fold(text or ""))
+        uses[mark].update(features)
+        holders[mark].update(set(features))
+    assert len(sent) > 1
+    assert found == {f: [holders[1][f], holders[0][f], uses[1][f], uses[0][f]] for f in {*uses[0], *uses[1]}}
+
+
+def test_counted_terms_are_sent_in_small_batches(spark, monkeypatch):
+    """pipeline, in personal_data: all terms of a task are sent, not in one batch."""
+    monkeypatch.setattr(sanitising, "SENT_TERMS", 10)
+    monkeypatch.setattr(sanitising, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    docs = SimpleNamespace(
+        schema=spark.createDataFrame([], "doc_id long, text string").schema, mapInArrow=lambda work, schema: work
+    )
+    table = pa.table({"doc_id": [1, 2, 3], "text": [prose(1, 200), None, prose(2, 50)], "row_key": [1, 2, 3],
+                      "row_key2": pa.array([1, 2, 3], pa.int32())})
+    _, *terms = sanitising._observed(docs)(iter(table.to_batches()))
+    counts = {t: n for b in terms for t, n in zip(b["term"].to_pylist(), b["docs"].to_pylist(), strict=True)}
+    words = [{w.lower() for w in sanitising.TERM.findall(t)} for t in (prose(1, 200), prose(2, 50))]
+    assert counts == {sanitising._number(w): (w in words[0]) + (w in words[1]) for w in words[0] | words[1]}
+    assert max(b.num_rows for b in terms) == 10
+
+
 def test_toxicity_without_labels_and_with_odd_ones(spark):
     docs = documents(spark)
     ddl = "doc_id long, toxic int, score string"
