@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.staging import new_folder
+from tamis.staging import give_back, new_folder
 
 # A task works on texts in slices of about this many bytes, so its memory does not follow the table.
 SLICE_BYTES = 4_000_000
@@ -52,17 +51,6 @@ def rows_in(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str =
     return keyed.join(other, match, how).drop(*names[:2])
 
 
-def give_back() -> None:
-    """Return what Arrow and the C library hold of freed memory to the system.
-
-    A worker, which later tasks and stages use again, would keep it, and its size would add up over stages.
-    """
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
-    if trim:
-        trim(0)
-
-
 def map_batches(
     df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
 ) -> DataFrame:
